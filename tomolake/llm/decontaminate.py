@@ -177,7 +177,7 @@ def _large(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
 
     Documents and items travel as rows, an item once for each document that shares a fingerprint with it.
     """
-    lengths = [r["n"] for r in items.select(F.size(F.expr("filter(split(lower(text), '[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+'), w -> w <> '')")).alias("n")).where(f"n > 0 AND n < {span}").distinct().collect()]
+    lengths = [r["n"] for r in items.select(F.size(F.expr("filter(split(lower(text), '[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+') if x <> '']")).alias("n")).where(f"n > 0 AND n < {span}").distinct().collect()]
 
     def prints(whole: bool, key: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     return _small(spark, docs, items, span, k) if size <= 8 * broadcast_words else _large(docs, items, span, k)
 
 
-_WORDS = "[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '')"
+_WORDS = "[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') if x <> '']"
 ORACLE_SQL = f"""
 WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 win AS (SELECT DISTINCT item_id, least({SPAN}, len(w)) AS n, array_to_string(w[s : s + least({SPAN}, len(w)) - 1], ' ') AS g
