@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
@@ -11,33 +9,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomolake.operators.graph import connected_components
+from tomolake.sources.shared import drop_path, new_path, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tomolake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tomolake/{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage and survives the loss of executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+__all__ = ["connected_components", "drop_path", "filtered", "fold", "held_out", "new_path", "open_fs", "slices", "texts_of", "written"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -84,31 +62,3 @@ def filtered(docs: DataFrame, keep: Callable[[], Callable[[pa.Array], np.ndarray
             yield batch.filter(pa.array(accept(pc.cast(texts_of(batch, text), pa.string())), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node on an edge (a long, b long), root being the smallest node reachable.
-
-    Alternates the large-star and small-star steps on the edge table until it is a set of stars. A step is a
-    map-side combined minimum and an equi-join, which adaptive execution splits where one node has many edges;
-    each round is written to the shared folder. Self-loops and edges with a null end are ignored.
-    """
-    spark = edges.sparkSession
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    path, mark = None, None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        old, path = path, new_path(spark, "stars")
-        small.write.parquet(path)
-        e = spark.read.schema(small.schema).parquet(path)
-        if old:
-            drop_path(spark, old)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = now
