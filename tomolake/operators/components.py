@@ -37,8 +37,8 @@ def label_block(values: np.ndarray, offsets: Sequence[tuple[int, int, int]]) ->
         for o, same in zip(offsets, links, strict=True):
             a, b = _paired(root, o)
             low = np.minimum(a, b)
-            np.copyto(a, low, where=same)
-            np.copyto(b, low, where=same)
+            np.minimum(a, low, out=a, where=same)  # the views overlap: only ever lower
+            np.minimum(b, low, out=b, where=same)
         flat = np.append(root.ravel(), values.size)
         root = flat[root]
         if (root == before).all():
