@@ -187,7 +187,7 @@ def _large(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
 
         return run
 
-    keyed = written(docs.withColumn("id", F.monotonically_increasing_id()), "keyed")
+    keyed = written(docs.withColumn("id", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("string")), "keyed")
     theirs = items.where("item_id IS NOT NULL").select(F.col("item_id").alias("id"), "text").mapInArrow(prints(True, "item_id"), "item_id long, print long").distinct()
     ours = keyed.select("id", "text").mapInArrow(prints(False, "id"), "id long, print long")
     met = ours.join(theirs, "print").select("id", "item_id").distinct().join(items.withColumnRenamed("text", "item"), "item_id")
@@ -199,7 +199,7 @@ def _large(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
             words = words_of((x or "").encode())
             hit, seen = windows.search(words)
             found.append((len(words), int(hit.sum()), seen))
-        ids = [None if pd.isna(i) else int(i) for i in left["doc_id"]]
+        ids = [None if i is None else int(i) for i in left["doc_id"]]
         return _report(ids, found).to_pandas()
 
     return keyed.groupBy("id").cogroup(met.groupBy("id")).applyInPandas(search, REPORT)
