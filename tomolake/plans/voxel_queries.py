@@ -238,7 +238,7 @@ def c02_components(spark: S, d: str) -> D:
     return comp.label_components(voxels(spark, d).where("label = 1"), dims(spark, d), chunk=16)
 
 
-@query(WITH + LINKS + " SELECT 1 AS volume_id, component, count(*) AS voxel_count, round(count(*) * 1.0, 6) AS volume_um3, round(count(*) * 1e-9, 6) AS volume_mm3, sum(x) // count(*) AS center_x, sum(y) // count(*) AS center_y, sum(z) // count(*) AS center_z, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM c JOIN k ON k.i = c.i GROUP BY component HAVING count(*) >= 20")
+@query(WITH + LINKS + " SELECT 1 AS volume_id, component, count(*) AS voxel_count, round(count(*) * 1.0, 6) AS volume_um3, round(count(*) * 1e-9, 6) AS volume_mm3, CAST(sum(x) // count(*) AS BIGINT) AS center_x, CAST(sum(y) // count(*) AS BIGINT) AS center_y, CAST(sum(z) // count(*) AS BIGINT) AS center_z, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM c JOIN k ON k.i = c.i GROUP BY component HAVING count(*) >= 20")
 def a08_particles(spark: S, d: str) -> D:
     """Particles of at least 20 voxels, measured."""
     found = comp.separate_particles(voxels(spark, d), 1, dims(spark, d), conservative=True)
@@ -389,12 +389,12 @@ def n15_air_crop_row(spark: S, d: str) -> D:
     return stencil.air_crop_row(voxels(spark, d), 0.9)
 
 
-@query(WITH + "SELECT volume_id, x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(gray) // count(*) AS gray, 0 AS label FROM v, dim WHERE x // 2 < w // 2 AND y // 2 < h // 2 AND z // 2 < d // 2 GROUP BY ALL")
+@query(WITH + "SELECT volume_id, x // 2 AS x, y // 2 AS y, z // 2 AS z, CAST(sum(gray) // count(*) AS BIGINT) AS gray, 0 AS label FROM v, dim WHERE x // 2 < w // 2 AND y // 2 < h // 2 AND z // 2 < d // 2 GROUP BY ALL")
 def r01_bin_volume(spark: S, d: str) -> D:
     return resample.bin_volume(voxels(spark, d), 2, dims(spark, d))
 
 
-@query(WITH + ", f AS (SELECT volume_id, x // 2 AS x, y // 2 AS y, z, sum(gray) // count(*) AS g FROM v, dim WHERE x // 2 < w // 2 AND y // 2 < h // 2 GROUP BY ALL) SELECT volume_id, x, y, z // 2 AS z, sum(g) // count(*) AS gray FROM f, dim WHERE z // 2 < d // 2 GROUP BY ALL")
+@query(WITH + ", f AS (SELECT volume_id, x // 2 AS x, y // 2 AS y, z, sum(gray) // count(*) AS g FROM v, dim WHERE x // 2 < w // 2 AND y // 2 < h // 2 GROUP BY ALL) SELECT volume_id, x, y, z // 2 AS z, CAST(sum(g) // count(*) AS BIGINT) AS gray FROM f, dim WHERE z // 2 < d // 2 GROUP BY ALL")
 def r02_bin_slices(spark: S, d: str) -> D:
     return resample.bin_slices(voxels(spark, d), 2, dims(spark, d))
 
