@@ -283,7 +283,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for k, n in sizes.items():
         share = F.when(F.col("y") == k, min(1.0, per_class / n)).otherwise(share)
     picked = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "y")
+    # Broadcast: about per_class ids of each class, whatever the tables' sizes.
+    return docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, kernel: Kernel = Kernel()) -> Model:
