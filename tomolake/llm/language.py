@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from tomolake.llm.common import filtered, fold, held_out, slices, texts_of
 CLASSES = 64
 ORDERS = (1, 2, 3)
 SIZES = [CLASSES**n for n in ORDERS]
-BLOCK = 256
+BLOCK = 64
 UNKNOWN = "und"
 
 
@@ -62,22 +62,33 @@ def grams_of(text: str) -> np.ndarray:
 @dataclass(frozen=True)
 class Landmarks:
     grams: np.ndarray  # of any landmark
-    matrix: np.ndarray  # a column for each landmark, over its norm
+    packed: np.ndarray  # a row of bits for each landmark: which of them it has
+    sizes: np.ndarray
+
+    @cached_property
+    def matrix(self) -> np.ndarray:
+        """A column for each landmark, over its norm; unpacked once a process."""
+        bits = np.unpackbits(self.packed, axis=1, count=len(self.grams)).astype(np.float32)
+        return (bits / np.sqrt(np.maximum(self.sizes, 1))[:, None].astype(np.float32)).T
 
     def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Values against the landmarks; whether each text has a letter."""
-        rows, size = np.zeros((len(texts), len(self.grams)), np.float32), np.zeros(len(texts))
-        for i, x in enumerate(texts):
-            flags = grams_of(x)
-            rows[i], size[i] = flags[self.grams], np.count_nonzero(flags)
-        return rows @ self.matrix / np.sqrt(np.maximum(size, 1))[:, None], size > 0
+        """Values against the landmarks, block by block; whether each text has a letter."""
+        out, size = np.zeros((len(texts), len(self.sizes)), np.float32), np.zeros(len(texts))
+        for at in range(0, len(texts), BLOCK):
+            rows = np.zeros((len(texts[at : at + BLOCK]), len(self.grams)), np.float32)
+            for i, x in enumerate(texts[at : at + BLOCK]):
+                flags = grams_of(x)
+                rows[i], size[at + i] = flags[self.grams], np.count_nonzero(flags)
+            out[at : at + BLOCK] = rows @ self.matrix
+        return out / np.sqrt(np.maximum(size, 1))[:, None], size > 0
 
 
 def landmarks_of(texts: list[str]) -> Landmarks:
-    flags = [grams_of(x) for x in texts]
-    grams = np.flatnonzero(np.logical_or.reduce(flags)) if flags else np.zeros(0, np.int64)
-    columns = [f[grams].astype(np.float32) / np.sqrt(max(1, np.count_nonzero(f))) for f in flags]
-    return Landmarks(grams, np.stack(columns, axis=1) if columns else np.zeros((0, 0), np.float32))
+    flags = [np.packbits(grams_of(x)) for x in texts]
+    grams = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(flags), count=sum(SIZES))) if flags else np.zeros(0, np.int64)
+    own = [np.unpackbits(f, count=sum(SIZES))[grams] for f in flags]
+    packed = np.packbits(np.array(own, np.uint8), axis=1) if own else np.zeros((0, 0), np.uint8)
+    return Landmarks(grams.astype(np.int32), packed, np.array([int(o.sum()) for o in own], np.int64))
 
 
 @dataclass(frozen=True)
@@ -131,6 +142,7 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 40, ridge: fl
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(list(k.astype(float)), pa.list_(pa.float64())), pa.array(lettered)], ["doc_id", "lang", "k", "lettered"])
 
     values = [r for r in picked.mapInArrow(run, "doc_id long, lang string, k array<double>, lettered boolean").collect() if r["lettered"]]
+    shared.unpersist()
     values.sort(key=lambda r: (r["doc_id"], r["lang"], r["k"]))
     languages = sorted({r["lang"] for r in values})
     if not languages:
