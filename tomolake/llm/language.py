@@ -117,22 +117,22 @@ class Model:
         return names, scores
 
 
-def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """(doc_id, text, lang) of about `per_language` rows of each language outside the held-out fold, by hash of the id."""
+def sample(docs: DataFrame, per_language: int, seed: int) -> DataFrame:
+    """(doc_id, text, lang) of about `per_language` rows of each language outside the held-out fold, by a seeded hash of the id."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(fold() != 0)
     sizes = known.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")) * (1 << 20)
-    return known.join(F.broadcast(sizes.limit(10_000)), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("doc_id", "text", "lang")
+    return known.join(F.broadcast(sizes.limit(10_000)), "lang").where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < share).select("doc_id", "text", "lang")
 
 
-def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 40, ridge: float = 1e-2) -> Model:
+def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: float = 1e-2) -> Model:
     """The model from about `per_language` texts of each language, `landmarks` of which are landmarks.
 
     Landmarks leave Spark as whole texts, the other rows of the sample as kernel values only.
     """
     spark = docs.sparkSession
-    picked = sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_language)
-    rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in sample(picked, landmarks).collect())
+    picked = sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_language, 1)
+    rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in sample(picked, landmarks, 2).collect())
     marks = landmarks_of([r[2] for r in rows])
     shared = spark.sparkContext.broadcast(marks)
 
@@ -159,10 +159,11 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 40, ridge: fl
     mean, level = weight @ phi, weight @ y
     a = (phi - mean) * weight[:, None]
     solved = np.linalg.solve(a.T @ (phi - mean) + ridge / len(languages) * np.eye(phi.shape[1]) * 1e-2, a.T @ (y - level))
-    return Model(languages, marks, whiten @ solved, level - mean @ solved)
+    # Without what the driver has unpacked.
+    return Model(languages, Landmarks(marks.grams, marks.packed, marks.sizes), whiten @ solved, level - mean @ solved)
 
 
-def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 40) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 64) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, texts read whole.
 
     Null and empty texts, and texts without a letter, are `und` with score 0; so is everything where no row has a
@@ -178,7 +179,7 @@ def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 40) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def reject_unidentified(docs: DataFrame, per_language: int = 400, landmarks: int = 40) -> DataFrame:
+def reject_unidentified(docs: DataFrame, per_language: int = 400, landmarks: int = 64) -> DataFrame:
     """docs without the rows whose language is `und`: null and empty texts, and texts without a letter."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, landmarks))
     return filtered(docs, lambda: lambda texts: np.array([x != UNKNOWN for x in model.value.predict(texts.to_pylist())[0]], bool))
