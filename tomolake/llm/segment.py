@@ -40,11 +40,25 @@ SCHEMA = "key long, sample int, ids array<int>, log_prob double, perturbed doubl
 
 def uniform(seed: np.ndarray | int, counter: np.ndarray | int) -> np.ndarray:
     """Uniform variables in (0, 1): a mixing hash of seed and counter."""
-    x = np.atleast_1d(np.asarray(seed, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.atleast_1d(np.asarray(counter, np.uint64)) * np.uint64(0xD1B54A32D192ED03)
+    return mixed(blend(seed, counter))
+
+
+def blend(seed: np.ndarray | int, counter: np.ndarray | int) -> np.ndarray:
+    """Linear in both, so that counters may be added up later: blend(s, a + b) = blend(s, a) + blend(0, b)."""
+    return np.atleast_1d(np.asarray(seed, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.atleast_1d(np.asarray(counter, np.uint64)) * np.uint64(0xD1B54A32D192ED03)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Uniform variables in (0, 1) of what blend() gives; x is used up."""
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
     x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    x >>= np.uint64(11)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
 
 
 def truncated_gumbel(log_mass: np.ndarray, limit: float, u: np.ndarray) -> np.ndarray:
@@ -246,24 +260,29 @@ class Lattice:
         edge = np.searchsorted(self.cumulative, place + u, side="right")
         return np.clip(edge, self.begin[place], self.begin[place + 1] - 1)
 
-    def paths(self, word: np.ndarray, turn: np.ndarray, seeds: np.ndarray, number: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-        """An independent path for each word occurrence: edges one word after another, and how many each word has.
+    def paths(self, word: np.ndarray, seeds: np.ndarray, number: np.ndarray, samples: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each sample an independent path for each word occurrence: edges one word after another, and how many each word has.
 
-        seeds and number: the row's seed and the word's number in its text; turn: the order to work in.
+        seeds and number: the row's seed and the word's number in its text.
         """
-        live, place = turn, self.first[word[turn]]
-        counts, taken, step = np.zeros(len(word), np.int64), [], 0
-        while len(live):
-            edge = self.draw(place, uniform(seeds[live], (number[live] * 4096 + step) * 64 + sample))
-            taken.append((live, edge))
-            counts[live] += 1
-            more = ~self.end_of_word[edge]
-            live, place = live[more], self.stop[edge[more]]
-            step += 1
-        out, at = np.zeros(int(counts.sum()), np.int64), np.cumsum(counts) - counts
-        for step, (who, edge) in enumerate(taken):
-            out[at[who] + step] = edge
-        return out, counts
+        turn = np.argsort(word.astype(np.uint32))  # equal words together, for the caches
+        heads, noise = self.first[word[turn]], blend(seeds, number * (4096 * 64))[turn]
+        out = []
+        for sample in range(samples):
+            live, place, mine = turn, heads, noise
+            counts, taken, step = np.zeros(len(word), np.int64), [], 0
+            while len(live):
+                edge = self.draw(place, mixed(mine + blend(0, step * 64 + sample)))
+                taken.append((live, edge))
+                counts[live] += 1
+                more = ~self.end_of_word[edge]
+                live, place, mine = live[more], self.stop[edge[more]], mine[more]
+                step += 1
+            edges, at = np.zeros(int(counts.sum()), np.int64), np.cumsum(counts) - counts
+            for step, (who, edge) in enumerate(taken):
+                edges[at[who] + step] = edge
+            out.append((edges, counts))
+        return out
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         ids = self.emit[edges]
@@ -285,13 +304,10 @@ class Chain:
 
     def best(self) -> tuple[float, int]:
         top = self.values.max(initial=-np.inf)
-        begin, start = self.lattice.begin, self.lattice.start
         while (at := self.own + len(self.values)) < len(self.edges) and self.prefix[at] + FLOOR >= top:
-            to = min(len(self.edges), at + AHEAD)
+            to = min(len(self.edges), at + max(AHEAD, len(self.values)))
             to = at + max(1, int(np.searchsorted(-self.prefix[at:to], FLOOR - top, side="right")))
-            rest = -np.expm1(self.log_p[at:to])
-            place = start[self.edges[at:to]]
-            rest[begin[place + 1] - begin[place] == 1] = 0.0
+            rest = -np.expm1(self.log_p[at:to])  # 0 where an edge is the only one of its place
             if at == self.own:
                 rest[0] = self._left()
             mass = self.prefix[at:to] + np.log(np.maximum(rest, 1e-300))
@@ -365,8 +381,7 @@ def segment_texts(texts: pa.Array, seeds: np.ndarray, v: Vocabulary, k: int) ->
     lattice = Lattice(words, v)
     ends = np.cumsum(count)
     number = np.arange(len(index)) - np.repeat(ends - count, count)
-    turn = np.argsort(index, kind="stable")  # equal words together, for the caches
-    draws = [lattice.paths(index, turn, np.repeat(seeds, count), number, s) for s in range(k)]
+    draws = lattice.paths(index, np.repeat(seeds, count), number, k)
     edge_ends = [np.concatenate(([0], np.cumsum(c)))[np.concatenate(([0], ends))] for _, c in draws]
     out = []
     for i, x in enumerate(texts):
