@@ -273,3 +273,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 4
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_t2_distribution_takes_ties_low_and_ends_at_the_grid(spark):
+    from tomolake.operators import relaxation
+
+    grid = relaxation.log_grid(1, 100, 3)
+    rows = [(0.1, 1.0), (500.0, 2.0), ((grid[0] + grid[1]) / 2, 4.0), (9.0, 1.0), (None, 5.0), (3.0, None)]
+    df = spark.createDataFrame(rows, "t2 double, amplitude double")
+    assert [round(r["share"] * 8, 9) for r in relaxation.t2_distribution(df, 1, 100, 3).orderBy("bin").collect()] == [5, 1, 2]
+    assert [r["share"] for r in relaxation.t2_distribution(df.limit(0), 1, 100, 3).collect()] == [0, 0, 0]
+    empty = spark.createDataFrame([], "t2 double, amplitude double, tortuosity double, porosity double")
+    assert relaxation.summary(empty, empty).first().asDict() == {"total_porosity": 0, "average_tortuosity": 0, "average_t2": 0}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import cos, pi, radians, sin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,8 +84,6 @@ def elastic_energy(stress: Column, strain: Column, yield_stress: Column, youngs:
 
 
 def mohr_coulomb_fails(s1: Column, s3: Column, cohesion: float, friction_degrees: float, tensile: float) -> Column:
-    from math import cos, radians, sin
-
     phi = radians(friction_degrees)
     return (s1 - s3 >= 2 * cohesion * cos(phi) + (s1 + s3) * sin(phi)) | (s3 <= -tensile)
 
@@ -170,3 +168,37 @@ def estimated_t2(radius_um: Column, porosity: Column) -> Column:
 
 def relaxation_strength(connections: Column) -> Column:
     return F.when(connections < 3, 0.6).when(connections < 6, 1.0).otherwise(1.5)
+
+
+def volumetric_strain(axial: Column, nu: Column) -> Column:
+    return axial * (1 - 2 * nu)
+
+
+def biot(bulk_mpa: Column, grain_mpa: float = 36000.0) -> Column:
+    return F.when(bulk_mpa < 0.01, 0.9).otherwise(clamp(1 - bulk_mpa / grain_mpa, 0.5, 1))
+
+
+def skempton_b(porosity: Column, bulk_mpa: Column, fluid_mpa: float = 2200.0) -> Column:
+    return clamp(1 / (1 + porosity * fluid_mpa / bulk_mpa), 0.01, 0.99)
+
+
+def pore_pressure(axial: Column, nu: Column, bulk_mpa: Column, porosity: Column, permeability: Column, initial: float = 0.1) -> Column:
+    """MPa, never below 0: what volumetric strain adds where the rock doesn't drain."""
+    undrained = 1 - clamp(permeability * 10, 0.01, 1)
+    change = -volumetric_strain(axial, nu) * bulk_mpa * skempton_b(porosity, bulk_mpa) * undrained
+    return F.greatest(F.lit(0.0), initial + change)
+
+
+#: Ratio of differential stress to its threshold, and the probability of a fracture; straight between.
+FRACTURE_KNOTS = [(0.0, 0.0), (0.4, 0.01), (0.7, 0.1), (0.9, 0.5), (1.0, 0.9), (1.5, 1.0)]
+
+
+def fracture_probability(s1: Column, s3: Column, cohesion: float, friction_degrees: float) -> Column:
+    """From the Mohr-Coulomb threshold, lowered by up to 30 % under tension. The first piece also holds below 0."""
+    s, c = sin(radians(friction_degrees)), cos(radians(friction_degrees))
+    tension = F.least(F.lit(1.0), F.abs(s3) / (0.5 * cohesion))
+    threshold = F.when(s3 < 0, 2 * cohesion * c * (1 - 0.3 * tension)).otherwise(2 * cohesion * c + (s1 + s3) * s) / (1 - s)
+    ratio, out = (s1 - s3) / threshold, F.lit(FRACTURE_KNOTS[-1][1])
+    for (a, p), (b, q) in reversed(list(zip(FRACTURE_KNOTS, FRACTURE_KNOTS[1:], strict=False))):
+        out = F.when(ratio < b, p + (ratio - a) * ((q - p) / (b - a))).otherwise(out)
+    return out

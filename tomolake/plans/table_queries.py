@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomolake.functions import physics as fx
-from tomolake.operators import calibrate, network, series, stats
+from tomolake.operators import calibrate, network, relaxation, series, stats
 from tomolake.plans import fixtures as fix
 from tomolake.plans.fixtures import FRAMES, POINTS, PORES, SERIES, VOX
 from tomolake.plans.registry import query
@@ -291,3 +291,35 @@ def u01_mask_sets(spark: S, d: str) -> D:
     parts = [("union", a.unionByName(b).distinct()), ("difference", a.subtract(b)), ("intersection", a.intersect(b)), ("labels", v.select("label").distinct())]
     counts = [p.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, p in parts]
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+@query(f"WITH {PORES}, q AS (SELECT id, x / 10 AS s1, (radius - 10) / 4 AS s3 FROM pores), t AS (SELECT *, (CASE WHEN s3 < 0 THEN 20 * cos(radians(30)) * (1 - 0.3 * least(1.0, abs(s3) / 5)) ELSE 20 * cos(radians(30)) + (s1 + s3) * sin(radians(30)) END) / (1 - sin(radians(30))) AS threshold FROM q), r AS (SELECT id, (s1 - s3) / threshold AS ratio FROM t) SELECT id, round(CASE WHEN ratio < 0.4 THEN ratio * 0.025 WHEN ratio < 0.7 THEN 0.01 + (ratio - 0.4) * 0.3 WHEN ratio < 0.9 THEN 0.1 + (ratio - 0.7) * 2 WHEN ratio < 1 THEN 0.5 + (ratio - 0.9) * 4 ELSE least(1.0, 0.9 + (ratio - 1) * 0.2) END, 6) AS probability FROM r")
+def f17_fracture_probability(spark: S, d: str) -> D:
+    p = fix.pores(spark, d)
+    return p.select("id", fx.fracture_probability(F.col("x") / 10, (F.col("radius") - 10) / 4, 10.0, 30.0).alias("probability"))
+
+
+@query(f"WITH {POINTS}, q AS (SELECT id, (pressure_mpa - 4) / 1000 AS e, poisson AS nu, youngs / (3 * (1 - 2 * poisson)) AS k, vp_vs / 10 AS phi, gray / 2560 AS perm FROM pts), b AS (SELECT *, e * (1 - 2 * nu) AS vol, least(0.99, greatest(0.01, 1 / (1 + phi * 2200 / k))) AS skempton FROM q) SELECT id, round(vol, 6) + 0.0 AS volumetric, round(CASE WHEN k < 0.01 THEN 0.9 ELSE least(1.0, greatest(0.5, 1 - k / 36000)) END, 6) AS biot, round(skempton, 6) AS skempton, round(greatest(0.0, 0.1 - vol * k * skempton * (1 - least(1.0, greatest(0.01, perm * 10)))), 6) AS pressure FROM b")
+def f14_poroelastic(spark: S, d: str) -> D:
+    p, e, nu = fix.calibration(spark, d), (F.col("pressure_mpa") - 4) / 1000, F.col("poisson")
+    k, phi = F.col("youngs") / (3 * (1 - 2 * nu)), F.col("vp_vs") / 10
+    return p.select("id", fx.volumetric_strain(e, nu).alias("volumetric"), fx.biot(k).alias("biot"), fx.skempton_b(phi, k).alias("skempton"), fx.pore_pressure(e, nu, k, phi, F.col("gray") / 2560).alias("pressure"))
+
+
+COMPONENTS = f"WITH {PORES}, c AS (SELECT id, least(5000.0, greatest(1.0, 2 * radius / 3 * 1.15)) AS t2, radius AS amplitude, 1 + x / 1000 AS tortuosity FROM pores)"
+
+
+def _components(spark: S, d: str) -> D:
+    """A component for each pore."""
+    return fix.pores(spark, d).select("id", fx.estimated_t2(F.col("radius"), F.lit(0.3)).alias("t2"), F.col("radius").alias("amplitude"), (1 + F.col("x") / 1000).alias("tortuosity"))
+
+
+@query(COMPONENTS + ", g AS (SELECT CAST(i AS BIGINT) AS bin, pow(10, i * log10(5000) / 31) AS v FROM range(32) r(i)), n AS (SELECT id, amplitude, arg_min(bin, (abs(t2 - v), bin)) AS bin FROM c, g GROUP BY id, amplitude), s AS (SELECT bin, sum(amplitude) AS amount FROM n GROUP BY bin) SELECT bin, round(v, 6) AS t2, round(coalesce(amount, 0) / (SELECT sum(amplitude) FROM c), 6) AS share FROM g LEFT JOIN s USING (bin)")
+def a24_t2_distribution(spark: S, d: str) -> D:
+    return relaxation.t2_distribution(_components(spark, d))
+
+
+@query(COMPONENTS + " SELECT round((SELECT sum(volume) / 1e9 FROM pores), 6) AS total_porosity, round(sum(amplitude * tortuosity) / sum(amplitude), 6) AS average_tortuosity, round(sum(amplitude * t2) / sum(amplitude), 6) AS average_t2 FROM c")
+def a25_relaxation_summary(spark: S, d: str) -> D:
+    p = fix.pores(spark, d).withColumn("volume", 4 / 3 * F.pi() * F.pow("radius", F.lit(3)))
+    return relaxation.summary(_components(spark, d), p.groupBy((F.col("id") % 3).alias("material")).agg((F.sum("volume") / 1e9).alias("porosity")))
