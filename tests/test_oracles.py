@@ -7,7 +7,7 @@ from tests.conftest import DATA
 from tomolake.plans import table_queries, voxel_queries  # noqa: F401
 from tomolake.plans.registry import ORACLES, QUERIES
 
-SOME = ["a01_material_statistics", "a03_otsu", "a08_particles", "a13_pore_size_distribution", "a23_local_pore_size", "a24_t2_distribution", "a25_relaxation_summary", "f14_poroelastic", "f17_fracture_probability", "a29_glcm_features", "a30_lbp_histogram", "c02_components", "c05_remove_islands", "g06_orthogonal_selection", "g19_fill_between", "g22_smooth_mask", "g27_mask_fusion", "g33_box_points", "j06_connectable_pairs", "j13_density_from_gray", "k02_pressure_models", "n02_gaussian_3d", "n05_median_3d", "n10_sobel_3d", "r03_resample_gray", "v06_arrivals_and_velocities", "w08_run_lengths", "w12_envelope"]
+SOME = ["a01_material_statistics", "a03_otsu", "a08_particles", "a13_pore_size_distribution", "a23_local_pore_size", "a24_t2_distribution", "a25_relaxation_summary", "f08_apparent_permeability", "f09_axial_pressures", "f14_poroelastic", "f17_fracture_probability", "a29_glcm_features", "a30_lbp_histogram", "c02_components", "c05_remove_islands", "g06_orthogonal_selection", "g19_fill_between", "g22_smooth_mask", "g27_mask_fusion", "g33_box_points", "j06_connectable_pairs", "j13_density_from_gray", "k02_pressure_models", "n02_gaussian_3d", "n05_median_3d", "n10_sobel_3d", "r03_resample_gray", "v06_arrivals_and_velocities", "w08_run_lengths", "w12_envelope"]
 
 
 def plain(x):

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tomolake.functions import physics as fx
 from tomolake.operators.graph import connected_components, shortest_paths
 from tomolake.operators.stats import MILLIDARCY
 
@@ -271,3 +272,28 @@ def path_distance(voxels: DataFrame, path: Sequence[tuple[float, float, float]])
         t = F.lit(0.0) if length2 == 0 else F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(((F.col(c) - a) * (b - a) for c, a, b in zip("xyz", p, q, strict=True)), F.lit(0.0)) / length2))
         best.append(F.sqrt(sum(((F.col(c) - (F.lit(float(a)) + t * (b - a))) * (F.col(c) - (F.lit(float(a)) + t * (b - a))) for c, a, b in zip("xyz", p, q, strict=True)), F.lit(0.0))))
     return voxels.withColumn("distance", F.least(*best) if len(best) > 1 else best[0])
+
+
+def apparent_permeability(samples: DataFrame, viscosity: float, density: float) -> DataFrame:
+    """Adds reynolds, velocity and apparent (m2) to rows of gradient (Pa/m), throat_radius (m), porosity and permeability (m2).
+
+    Forchheimer's velocity is the root of its quadratic. A permeability that is null or not above 0 is taken from the
+    throats, r2 / 8; a porosity that is null or not above 0 as 0.4.
+    """
+    r = F.col("throat_radius")
+    k = F.when(F.col("permeability") > 0, F.col("permeability")).otherwise(r * r / 8)
+    phi = F.when(F.col("porosity") > 0, F.col("porosity")).otherwise(0.4)
+    velocity = fx.forchheimer_velocity(F.col("gradient"), k, viscosity, density, 1.75 / (phi * 2 * r))
+    found = samples.withColumn("reynolds", 2 * r * (k / viscosity * F.col("gradient")) * density / viscosity).withColumn("velocity", velocity)
+    return found.withColumn("apparent", F.try_divide(F.col("velocity") * viscosity, F.col("gradient")))
+
+
+def axial_pressures(pores: DataFrame, axis: str, inlet: float, outlet: float, reynolds: float) -> DataFrame:
+    """(id, pressure): falling along the axis from inlet to outlet, raised in the middle where reynolds is above 0.1.
+
+    Pores that share one place on the axis get the inlet's pressure.
+    """
+    ends = pores.agg(F.min(axis).alias("low"), F.max(axis).alias("high"))  # one row
+    t = F.coalesce(F.try_divide(F.col(axis) - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    bend = 1 + 0.2 * reynolds * 4 * t * (1 - t) if reynolds > 0.1 else F.lit(1.0)
+    return pores.crossJoin(F.broadcast(ends)).select("id", ((inlet - t * abs(inlet - outlet)) * bend).alias("pressure"))

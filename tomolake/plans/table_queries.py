@@ -323,3 +323,15 @@ def a24_t2_distribution(spark: S, d: str) -> D:
 def a25_relaxation_summary(spark: S, d: str) -> D:
     p = fix.pores(spark, d).withColumn("volume", 4 / 3 * F.pi() * F.pow("radius", F.lit(3)))
     return relaxation.summary(_components(spark, d), p.groupBy((F.col("id") % 3).alias("material")).agg((F.sum("volume") / 1e9).alias("porosity")))
+
+
+@query(f"WITH {PORES}, q AS (SELECT id, 1e5 * (1 + x) AS g, radius * 1e-6 AS r, z / 2000 AS phi FROM pores), k AS (SELECT id, g, r, r * r / 8 AS k, 1.75 / (CASE WHEN phi > 0 THEN phi ELSE 0.4 END * 2 * r) * 1000 AS a FROM q), v AS (SELECT *, (sqrt(pow(1e-3 / k, 2) + 4 * a * g) - 1e-3 / k) / (2 * a) AS velocity FROM k) SELECT id, round(2 * r * (k / 1e-3 * g) * 1000 / 1e-3, 6) AS reynolds, round(velocity, 6) AS velocity, round(velocity * 1e-3 / g * 1e12, 6) AS apparent_um2 FROM v")
+def f08_apparent_permeability(spark: S, d: str) -> D:
+    """A sample for each pore, of its radius; none has a permeability of its own."""
+    samples = fix.pores(spark, d).select("id", (1e5 * (1 + F.col("x"))).alias("gradient"), (F.col("radius") * 1e-6).alias("throat_radius"), (F.col("z") / 2000).alias("porosity"), F.lit(None).cast("double").alias("permeability"))
+    return network.apparent_permeability(samples, 1e-3, 1000.0).select("id", "reynolds", "velocity", (F.col("apparent") * 1e12).alias("apparent_um2"))
+
+
+@query(f"WITH {PORES}, s AS (SELECT min(z) AS low, max(z) AS high FROM pores), t AS (SELECT id, (z - low) / (high - low) AS t FROM pores, s) SELECT id, round((2000 - t * 1500) * (1 + 0.2 * 0.5 * 4 * t * (1 - t)), 6) AS pressure FROM t")
+def f09_axial_pressures(spark: S, d: str) -> D:
+    return network.axial_pressures(fix.pores(spark, d), "z", 2000.0, 500.0, 0.5)
