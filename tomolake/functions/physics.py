@@ -202,3 +202,19 @@ def fracture_probability(s1: Column, s3: Column, cohesion: float, friction_degre
     for (a, p), (b, q) in reversed(list(zip(FRACTURE_KNOTS, FRACTURE_KNOTS[1:], strict=False))):
         out = F.when(ratio < b, p + (ratio - a) * ((q - p) / (b - a))).otherwise(out)
     return out
+
+
+def strain_from_pressure(pressure: Column, youngs: Column, tensile: float) -> Column:
+    """Strain in three pieces: elastic up to 0.6 of the tensile strength, transition up to 1.5 of it, hardening beyond.
+
+    Never below pressure / modulus; strength counts as 1 at least, the modulus as 1000.
+    """
+    strength, e = max(tensile, 1.0), F.greatest(youngs, F.lit(1000.0))
+    knee, top, soft = 0.6 * strength, 1.5 * strength, 0.15 * e
+    over = (pressure - knee) / max(strength - knee, 0.1)
+    elastic = pressure / e * (1 + 0.2 * pressure / knee)
+    transition = knee / e + (pressure - knee) / soft * (1 + 1.05 * over * over)
+    beyond = pressure - top
+    hardening = beyond / (soft * (1 + 0.2 * F.sqrt(F.greatest(beyond / strength, F.lit(0.001)))))
+    plastic = knee / e + (top - knee) / soft * 2.05 + hardening
+    return F.greatest(pressure / e, F.when(pressure <= knee, elastic).when(pressure <= top, transition).otherwise(plastic))

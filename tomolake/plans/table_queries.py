@@ -335,3 +335,9 @@ def f08_apparent_permeability(spark: S, d: str) -> D:
 @query(f"WITH {PORES}, s AS (SELECT min(z) AS low, max(z) AS high FROM pores), t AS (SELECT id, (z - low) / (high - low) AS t FROM pores, s) SELECT id, round((2000 - t * 1500) * (1 + 0.2 * 0.5 * 4 * t * (1 - t)), 6) AS pressure FROM t")
 def f09_axial_pressures(spark: S, d: str) -> D:
     return network.axial_pressures(fix.pores(spark, d), "z", 2000.0, 500.0, 0.5)
+
+
+@query(f"WITH {POINTS}, q AS (SELECT id, pressure_mpa * 10 - 5 + gray / 8 AS p, greatest(1000.0, youngs) AS e FROM pts) SELECT id, round(1000 * greatest(p / e, CASE WHEN p <= 18 THEN p / e * (1 + 0.2 * p / 18) WHEN p <= 45 THEN 18 / e + (p - 18) / (0.15 * e) * (1 + 1.05 * pow((p - 18) / 12, 2)) ELSE 18 / e + 27 / (0.15 * e) * 2.05 + (p - 45) / (0.15 * e * (1 + 0.2 * sqrt(greatest(0.001, (p - 45) / 30)))) END), 6) AS millistrain FROM q")
+def f35_strain_from_pressure(spark: S, d: str) -> D:
+    pressure = F.col("pressure_mpa") * 10 - 5 + F.col("gray") / 8
+    return fix.calibration(spark, d).select("id", (1000 * fx.strain_from_pressure(pressure, F.col("youngs"), 30.0)).alias("millistrain"))
