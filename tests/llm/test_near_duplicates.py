@@ -50,6 +50,18 @@ def test_null_ids_repeats_and_empty_tables(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_goes_by_rows(spark):
+    rng = np.random.default_rng(2)
+    t = [" ".join(rng.choice([f"w{i}" for i in range(500)], 60)) for _ in range(12)]
+    rows = [(7, t[0]), (3, t[0]), (7, t[1]), (3, t[2])]  # 7 is led by 3 in one text only
+    rows += [(8, t[3]), (8, t[3]), (8, t[4])] + [(50, x) for x in t[5:9]]  # one id, several texts
+    rows += [(None, t[9]), (None, t[9]), (None, t[10]), (60, t[10]), (None, t[11])]
+    docs = spark.createDataFrame([(i, x, "x") for i, x in rows], DOCS).repartition(3)
+    want = [(3, t[0]), (7, t[1]), (3, t[2]), (8, t[3]), (8, t[4]), *((50, x) for x in t[5:9]), (None, t[9]), (60, t[10]), (None, t[11])]
+    for hot in (64, 1):
+        assert sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs, hot).collect()), key=str) == sorted(want, key=str)
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((60, 16))

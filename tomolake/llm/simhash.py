@@ -105,13 +105,14 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, hot: int = 64) -> DataFrame:
-    """docs without the rows whose component is led by another row: the smallest doc_id of each component stays.
+    """docs with one row of each component: that of the smallest doc_id, of several the first in a numbering of the rows.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id can't lead a component and stay.
+    Rows are told apart by their number, not by doc_id: rows with repeated or null ids are judged each by its text. A
+    row with a null doc_id stays only where no row of its component has an id.
     """
-    found = written(near_duplicates(docs, hot=hot), "near_duplicates")
-    kept = docs.join(found.where("id != component").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    kept = kept.select(docs.columns)
-    if found.where("id = component").groupBy("id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, "__row", hot=hot).select(F.col("id").alias("__row"), "component")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
+    least = rows.select("__row", "doc_id").join(found, "__row").groupBy("component").agg(F.min(order).alias("least"))
+    first = written(least.select(F.col("least.__row").alias("__row")), "first")
+    return rows.join(first, "__row", "left_semi").select(docs.columns)
