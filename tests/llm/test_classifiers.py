@@ -67,6 +67,15 @@ def test_edges(spark):
     assert language.identify(empty).count() == 0 and {r["lang_pred"] for r in language.identify(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_nothing_but_letterless_texts_goes_where_no_language_is_known(spark):
+    docs = tables(spark)[0].limit(40).withColumn("lang", F.lit(None).cast("string"))
+    blank = docs.limit(3).withColumns({"doc_id": -F.col("doc_id") - 1, "text": F.lit("12 -- 34")})
+    part = docs.unionByName(blank).cache()
+    assert {r["doc_id"] for r in language.reject_unidentified(part).collect()} == {r["doc_id"] for r in docs.where(F.col("text").rlike("\\p{L}")).collect()}
+    held = part.withColumn("lang", F.when(language.held_out(), "en"))
+    assert language.reject_unidentified(held).count() == language.reject_unidentified(part).count() > 30
+
+
 def test_scores_do_not_read_ids_or_labels(spark):
     docs, labels = tables(spark)
     part = docs.limit(50)

@@ -99,12 +99,13 @@ class Model:
     constants: np.ndarray
     sharpness: float = 8.0
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text; `und` and 0 where it has no letter or no language was learned."""
-        names, scores = [], np.zeros(len(texts))
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, `und` and 0 where it has no letter or no language was learned; whether it has a letter."""
+        names, scores, letters = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
         for at in range(0, len(texts), BLOCK):
             block = texts[at : at + BLOCK]
             k, lettered = self.landmarks.kernel(block)
+            letters[at : at + len(block)] = lettered
             if not self.languages:
                 names += [UNKNOWN] * len(block)
                 continue
@@ -114,7 +115,7 @@ class Model:
             best = p.argmax(axis=1)
             scores[at : at + len(block)] = np.where(lettered, p[np.arange(len(block)), best], 0.0)
             names += [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-        return names, scores
+        return names, scores, letters
 
 
 def sample(docs: DataFrame, per_language: int, seed: int) -> DataFrame:
@@ -173,13 +174,16 @@ def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 64) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            names, scores = model.value.predict(texts_of(batch, "text").to_pylist())
+            names, scores, _ = model.value.predict(texts_of(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def reject_unidentified(docs: DataFrame, per_language: int = 400, landmarks: int = 64) -> DataFrame:
-    """docs without the rows whose language is `und`: null and empty texts, and texts without a letter."""
+    """docs without null and empty texts, and texts without a letter.
+
+    No other row goes, also where no language can be learned: what was learned decides nothing here.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, landmarks))
-    return filtered(docs, lambda: lambda texts: np.array([x != UNKNOWN for x in model.value.predict(texts.to_pylist())[0]], bool))
+    return filtered(docs, lambda: lambda texts: model.value.predict(texts.to_pylist())[2])
