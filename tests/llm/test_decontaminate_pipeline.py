@@ -55,6 +55,17 @@ def test_against_brute_force(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_hit(spark):
+    long, short = " ".join(f"w{i}" for i in range(14)), "two words"
+    bench = spark.createDataFrame([(None, long), (None, short), ((1 << 60) + 1, short)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {long} b", "x"), (2, f"a {short}", "x"), (3, "a b", "x")], DOCS)
+    digest = lambda x: sha256(x.encode()).hexdigest()
+    want = {(1, 16, 14, 0, digest(""), True), (2, 3, 2, 1, digest(str((1 << 60) + 1)), True), (3, 2, 0, 0, digest(""), False)}
+    for bound in (2_000_000, 0):
+        assert {tuple(r) for r in decontaminate.contamination(docs, bench, broadcast_words=bound).collect()} == want
+        assert [r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench, broadcast_words=bound).collect()] == [3]
+
+
 def test_winnowing_shares_a_fingerprint():
     rng = random.Random(1)
     for _ in range(200):

@@ -65,7 +65,7 @@ def winnow(h: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.
 class Windows:
     """The benchmark's windows, as arrays for lookups from documents."""
 
-    def __init__(self, items: list[tuple[int, bytes]], span: int = SPAN, k: int = K):
+    def __init__(self, items: list[tuple[int | None, bytes]], span: int = SPAN, k: int = K):
         self.span, self.k, self.ids = span, k, {}
         found: dict[tuple[int, ...], set[int]] = defaultdict(set)
         self.prints: dict[int, np.ndarray] = {}
@@ -74,7 +74,7 @@ class Windows:
             ids = [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)]
             n = min(span, len(ids))
             for i in range(len(ids) - n + 1 if ids else 0):
-                found[tuple(ids[i : i + n])].add(item)
+                found[tuple(ids[i : i + n])].update(() if item is None else (item,))
             if len(ids) >= span:
                 prints.append(winnow(self.hashes(np.array(ids)), span, k)[1])
         self.fingerprints = np.unique(np.concatenate([*prints, np.zeros(0, np.uint64)]))
@@ -142,7 +142,7 @@ def _report(doc_ids: list, found: list[tuple[int, int, set[int]]]) -> pa.RecordB
 
 def _small(spark: SparkSession, docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
     """The benchmark, its size checked, goes to every task."""
-    shared = spark.sparkContext.broadcast([(r["item_id"], (r["text"] or "").encode()) for r in items.where("item_id IS NOT NULL").collect()])
+    shared = spark.sparkContext.broadcast([(r["item_id"], (r["text"] or "").encode()) for r in items.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(shared.value, span, k)
@@ -188,12 +188,13 @@ def _large(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
         return run
 
     keyed = written(docs.withColumn("id", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("string")), "keyed")
-    theirs = items.where("item_id IS NOT NULL").select(F.col("item_id").alias("id"), "text").mapInArrow(prints(True, "item_id"), "item_id long, print long").distinct()
+    named = written(items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("item_text")), "items")
+    theirs = named.select(F.col("item").alias("id"), F.col("item_text").alias("text")).mapInArrow(prints(True, "item"), "item long, print long").distinct()
     ours = keyed.select("id", "text").mapInArrow(prints(False, "id"), "id long, print long")
-    met = ours.join(theirs, "print").select("id", "item_id").distinct().join(items.withColumnRenamed("text", "item"), "item_id")
+    met = ours.join(theirs, "print").select("id", "item").distinct().join(named, "item")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        windows = Windows([(int(i), (t or "").encode()) for i, t in zip(right["item_id"], right["item"], strict=True)], span, k)
+        windows = Windows([(None if i is None else int(i), (t or "").encode()) for i, t in zip(right["item_id"], right["item_text"], strict=True)], span, k)
         found = []
         for x in left["text"]:
             words = words_of((x or "").encode())
@@ -217,7 +218,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and no hits. Items that are null or empty have no windows; items without an
-    id are left out; repeated items count once for each item_id. An empty benchmark hits nothing.
+    id count for n_hit and contaminated, not for n_items and items_sha256 (the SQL leaves them out altogether); repeated
+    items count once for each item_id. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
