@@ -76,6 +76,12 @@ def test_nothing_but_letterless_texts_goes_where_no_language_is_known(spark):
     assert language.reject_unidentified(held).count() == language.reject_unidentified(part).count() > 30
 
 
+def test_every_language_is_sampled(spark):
+    docs = spark.range(13_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id) AS lang")
+    got = {r["lang"] for r in language.sample(docs, 1, 1).collect()}
+    assert got == {r["lang"] for r in docs.where(language.fold() != 0).collect()} and len(got) > 10_000
+
+
 def test_scores_do_not_read_ids_or_labels(spark):
     docs, labels = tables(spark)
     part = docs.limit(50)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import filtered, fold, held_out, slices, texts_of
+from tomolake.llm.common import filtered, fold, held_out, slices, texts_of, written
 
 CLASSES = 64
 ORDERS = (1, 2, 3)
@@ -121,9 +121,9 @@ class Model:
 def sample(docs: DataFrame, per_language: int, seed: int) -> DataFrame:
     """(doc_id, text, lang) of about `per_language` rows of each language outside the held-out fold, by a seeded hash of the id."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(fold() != 0)
-    sizes = known.groupBy("lang").count()
+    sizes = written(known.groupBy("lang").count(), "sizes")  # broadcast only where its files are small
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")) * (1 << 20)
-    return known.join(F.broadcast(sizes.limit(10_000)), "lang").where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < share).select("doc_id", "text", "lang")
+    return known.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < share).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: float = 1e-2) -> Model:
