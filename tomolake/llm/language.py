@@ -24,6 +24,7 @@ CLASSES = 64
 ORDERS = (1, 2, 3)
 SIZES = [CLASSES**n for n in ORDERS]
 BLOCK = 64
+LEAST_LANDMARKS = 16  # under these, a text unlike all of them may still be in their languages
 UNKNOWN = "und"
 
 
@@ -100,12 +101,15 @@ class Model:
     sharpness: float = 8.0
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language and score of each text, `und` and 0 where it has no letter or no language was learned; whether it has a letter."""
-        names, scores, letters = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
+        """Language and score of each text, `und` and 0 where it has no letter or no language was learned; its greatest kernel value.
+
+        The latter is against any landmark: -1 without a letter, 1 where no language was learned, or from too few landmarks to tell.
+        """
+        names, scores, nearest = [], np.zeros(len(texts)), np.full(len(texts), -1.0)
         for at in range(0, len(texts), BLOCK):
             block = texts[at : at + BLOCK]
             k, lettered = self.landmarks.kernel(block)
-            letters[at : at + len(block)] = lettered
+            nearest[at : at + len(block)] = np.where(lettered, k.max(axis=1) if self.languages and len(self.landmarks.sizes) >= LEAST_LANDMARKS else 1.0, -1.0)
             if not self.languages:
                 names += [UNKNOWN] * len(block)
                 continue
@@ -115,15 +119,18 @@ class Model:
             best = p.argmax(axis=1)
             scores[at : at + len(block)] = np.where(lettered, p[np.arange(len(block)), best], 0.0)
             names += [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-        return names, scores, letters
+        return names, scores, nearest
 
 
 def sample(docs: DataFrame, per_language: int, seed: int) -> DataFrame:
-    """(doc_id, text, lang) of about `per_language` rows of each language outside the held-out fold, by a seeded hash of the id."""
+    """(doc_id, text, lang) of about `per_language` rows of each language outside the held-out fold, by a seeded hash of id and text.
+
+    The text is hashed too, so that an id that many rows share doesn't bring them all in; copies of one row with one id do.
+    """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(fold() != 0)
     sizes = written(known.groupBy("lang").count(), "sizes")  # broadcast only where its files are small
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")) * (1 << 20)
-    return known.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < share).select("doc_id", "text", "lang")
+    return known.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 20)) < share).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: float = 1e-2) -> Model:
@@ -132,29 +139,34 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: fl
     Landmarks leave Spark as whole texts, the other rows of the sample as kernel values only.
     """
     spark = docs.sparkSession
-    picked = sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_language, 1)
+    # Written once: the landmarks, their counts and the kernel values are all read from the bounded sample.
+    picked = written(sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_language, 1), "language_sample")
     rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in sample(picked, landmarks, 2).collect())
     marks = landmarks_of([r[2] for r in rows])
     shared = spark.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             k, lettered = shared.value.kernel(texts_of(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(list(k.astype(float)), pa.list_(pa.float64())), pa.array(lettered)], ["doc_id", "lang", "k", "lettered"])
 
     values = [r for r in picked.mapInArrow(run, "doc_id long, lang string, k array<double>, lettered boolean").collect() if r["lettered"]]
     shared.unpersist()
     values.sort(key=lambda r: (r["doc_id"], r["lang"], r["k"]))
-    languages = sorted({r["lang"] for r in values})
+    return ridge_model(np.array([r["k"] for r in values]), [r["lang"] for r in values], marks, ridge)
+
+
+def ridge_model(x: np.ndarray, langs: list[str], marks: Landmarks, ridge: float) -> Model:
+    """One ridge regression for each language against the rest, on kernel values x whitened by the landmarks' own kernel matrix."""
+    languages = sorted(set(langs))
     if not languages:
         return Model([], marks, np.zeros((0, 0)), np.zeros(0))
-    x = np.array([r["k"] for r in values])
     own = marks.matrix.T.astype(float) @ marks.matrix.astype(float)
     spectrum, vectors = np.linalg.eigh(own)
     good = spectrum > 1e-6 * spectrum.max()
     whiten = vectors[:, good] / np.sqrt(spectrum[good])
     phi = x @ whiten
-    y = np.where(np.array([r["lang"] for r in values])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
+    y = np.where(np.array(langs)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     weight = (1 / (y > 0).sum(axis=0))[(y > 0).argmax(axis=1)]  # each language counts alike
     weight /= weight.sum()
     mean, level = weight @ phi, weight @ y
@@ -168,22 +180,26 @@ def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 64) -> D
     """doc_id, held_out, lang_pred, score of every row, texts read whole.
 
     Null and empty texts, and texts without a letter, are `und` with score 0; so is everything where no row has a
-    language to learn.
+    language to learn. Of languages that tie, the first by name. Repeated rows are each predicted alike; other columns of
+    docs, whatever their names, are left out. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, landmarks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             names, scores, _ = model.value.predict(texts_of(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def reject_unidentified(docs: DataFrame, per_language: int = 400, landmarks: int = 64) -> DataFrame:
-    """docs without null and empty texts, and texts without a letter.
+def reject_unidentified(docs: DataFrame, per_language: int = 400, landmarks: int = 64, least: float = 0.15) -> DataFrame:
+    """docs without the rows whose language is not identified: no letter, or a kernel value below `least` against every landmark.
 
-    No other row goes, also where no language can be learned: what was learned decides nothing here.
+    Such a text shares next to no n-grams with a text of any learned language: it is in none of them. Null and empty texts
+    have no letter. Where no language can be learned, or only from under LEAST_LANDMARKS texts, every text with a letter
+    stays. Rows with repeated or null ids are
+    judged each, equal texts alike; other columns pass through; an empty table stays empty.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, landmarks))
-    return filtered(docs, lambda: lambda texts: model.value.predict(texts.to_pylist())[2])
+    return filtered(docs, lambda: lambda texts: model.value.predict(texts.to_pylist())[2] >= least)
