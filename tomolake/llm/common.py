@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -15,7 +17,27 @@ from pyspark.sql import functions as F
 from tomolake.operators.graph import connected_components
 from tomolake.sources.shared import drop_path, new_path, written
 
-__all__ = ["connected_components", "drop_path", "filtered", "fold", "held_out", "new_path", "open_fs", "slices", "texts_of", "written"]
+__all__ = ["SLICE", "connected_components", "drop_path", "filtered", "fold", "give_back", "held_out", "new_path", "numbered", "open_fs", "slices", "texts_of", "written"]
+
+
+#: Bytes of text that a task works on at a time.
+SLICE = 1 << 20
+
+
+@cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers live on from task to task and stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -35,8 +57,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, budget: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about `budget` bytes of text (one row at least), to bound memory."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, budget: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about `budget` bytes of text (one row at least), to bound memory.
+
+    At the end of the task, memory is given back.
+    """
     for batch in batches:
         n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start, size = 0, 0
@@ -47,18 +72,27 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, budget: int) -> Iterato
             size += int(n[i])
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
     return pc.fill_null(batch.column(text), "")
 
 
-def filtered(docs: DataFrame, keep: Callable[[], Callable[[pa.Array], np.ndarray]], text: str = "text", budget: int = 8 << 20) -> DataFrame:
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs written with a number for each row, in a column of a name that docs doesn't have; and that name."""
+    name = "__row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def filtered(docs: DataFrame, keep: Callable[[], Callable[[pa.Array], np.ndarray]], text: str = "text") -> DataFrame:
     """The rows of docs whose text keep() accepts: it is called once a task and returns a function of texts to flags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accept = keep()
-        for batch in slices(batches, text, budget):
+        for batch in slices(batches, text):
             yield batch.filter(pa.array(accept(pc.cast(texts_of(batch, text), pa.string())), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,24 +6,23 @@ sharing `span` words in a row also share a fingerprint. Training and benchmark f
 is extended to the windows around it, which are compared word by word: hash collisions report nothing. Items of fewer
 than `span` words have one fingerprint, that of the whole item, compared with the documents' n-grams of its length.
 
-The benchmark goes to every task as arrays only if its words are counted first and are at most `broadcast_words`;
-beyond that, fingerprints are joined by a shuffle and windows are checked in the document's row.
+The benchmark goes to every task, as arrays built once, only if its text was measured and is of at most eight bytes for
+each of `broadcast_words`; beyond that, fingerprints are joined by a shuffle, and the windows around hits are joined to the
+benchmark's distinct windows by their words. Neither texts nor items are copied for each other.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import slices, texts_of, written
+from tomolake.llm.common import numbered, slices, texts_of, written
 
 SPAN = 10
 K = 7
@@ -62,29 +61,39 @@ def winnow(h: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.
     return at, grams[at]
 
 
+def row_hashes(h: np.ndarray) -> np.ndarray:
+    """gram_hashes of each row of word hashes, the row as one gram."""
+    return gram_hashes(h.ravel(), h.shape[1])[:: h.shape[1]] if len(h) else np.zeros(0, np.uint64)
+
+
 class Windows:
-    """The benchmark's windows, as arrays for lookups from documents."""
+    """The benchmark's windows, as arrays for lookups from documents: some 100 bytes for each word of the benchmark."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], span: int = SPAN, k: int = K):
         self.span, self.k, self.ids = span, k, {}
-        found: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        self.prints: dict[int, np.ndarray] = {}
-        prints = []
+        prints, rows, owners = [np.zeros(0, np.uint64)], {}, {}
         for item, text in items:
-            ids = [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)]
+            ids = np.array([self.ids.setdefault(w, len(self.ids)) for w in words_of(text)], np.int32)
             n = min(span, len(ids))
-            for i in range(len(ids) - n + 1 if ids else 0):
-                found[tuple(ids[i : i + n])].update(() if item is None else (item,))
+            if n:
+                windows = np.lib.stride_tricks.sliding_window_view(ids, n)
+                rows.setdefault(n, []).append(windows)
+                owners.setdefault(n, []).append((item, len(windows)))
             if len(ids) >= span:
-                prints.append(winnow(self.hashes(np.array(ids)), span, k)[1])
-        self.fingerprints = np.unique(np.concatenate([*prints, np.zeros(0, np.uint64)]))
+                prints.append(winnow(self.hashes(ids), span, k)[1])
+        self.fingerprints = np.unique(np.concatenate(prints))
+        self.items = np.array(sorted({i for i, _ in items if i is not None}), np.int64)
         self.by_length = {}
-        for n in sorted({len(w) for w in found}):
-            rows = [w for w in found if len(w) == n]
-            words = np.array(rows, np.int64)
-            h = np.array([gram_hashes(self.hashes(w), n)[0] for w in words], np.uint64)
+        for n in sorted(rows):
+            words, place = np.unique(np.concatenate(rows[n]), axis=0, return_inverse=True)
+            h = row_hashes(self.hashes(words))
             order = np.argsort(h, kind="stable")
-            self.by_length[n] = h[order], words[order], [sorted(found[rows[i]]) for i in order]
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            whose = np.concatenate([np.full(m, -1 if i is None else np.searchsorted(self.items, i)) for i, m in owners[n]])
+            pairs = np.unique(np.stack([rank[place.ravel()], whose], axis=1)[whose >= 0], axis=0).astype(np.int32)
+            first = np.searchsorted(pairs[:, 0], np.arange(len(order) + 1))
+            self.by_length[n] = h[order], words[order], first, pairs[:, 1].copy()
 
     @staticmethod
     def hashes(ids: np.ndarray) -> np.ndarray:
@@ -109,7 +118,7 @@ class Windows:
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         hit, items = np.zeros(len(words) + 1, np.int64), set()
         known = ids >= 0
-        for n, (sorted_h, win, owners) in self.by_length.items():
+        for n, (sorted_h, win, first, owners) in self.by_length.items():
             if len(ids) < n:
                 continue
             ahead = np.concatenate(([0], np.cumsum(known)))
@@ -130,7 +139,7 @@ class Windows:
                 np.add.at(hit, here[same], 1)
                 np.add.at(hit, here[same] + n, -1)
                 for i in np.unique(place[same]):
-                    items.update(owners[i])
+                    items.update(self.items[owners[first[i] : first[i + 1]]].tolist())
         return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -141,12 +150,12 @@ def _report(doc_ids: list, found: list[tuple[int, int, set[int]]]) -> pa.RecordB
 
 
 def _small(spark: SparkSession, docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
-    """The benchmark, its size checked, goes to every task."""
-    shared = spark.sparkContext.broadcast([(r["item_id"], (r["text"] or "").encode()) for r in items.collect()])
+    """The benchmark, its size checked, goes to every task as arrays."""
+    shared = spark.sparkContext.broadcast(Windows([(r["item_id"], (r["text"] or "").encode()) for r in items.collect()], span, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, span, k)
-        for batch in slices(batches, "text", 4 << 20):
+        windows = shared.value
+        for batch in slices(batches, "text"):
             found = []
             for x in texts_of(batch, "text"):
                 words = words_of(x.as_buffer().to_pybytes())
@@ -161,60 +170,83 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def _prints(text: bytes, span: int, k: int, lengths: list[int], whole: bool) -> dict[int, int]:
-    """Fingerprint to length of its windows; `whole`: of an item, where a short one has a single fingerprint."""
-    h = _word_hashes(words_of(text))
-    if whole and 0 < len(h) < span:
-        return {int(gram_hashes(h, len(h)).view(np.int64)[0]): len(h)}
-    out = dict.fromkeys(winnow(h, span, k)[1].view(np.int64).tolist(), span)
-    for n in lengths:
-        out |= dict.fromkeys(gram_hashes(h, n).view(np.int64).tolist(), n)
-    return out
-
-
-def _large(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
-    """Fingerprints of both sides are joined by a shuffle; each document then meets the items that share one.
-
-    Documents and items travel as rows, an item once for each document that shares a fingerprint with it.
-    """
-    lengths = [r["n"] for r in items.select(F.size(F.expr("filter(split(lower(text), '[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+'), w -> w <> '')")).alias("n")).where(f"n > 0 AND n < {span}").distinct().collect()]
-
-    def prints(whole: bool, key: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", 1 << 20):
-                rows = [(i, p) for i, x in zip(batch.column("id").to_pylist(), texts_of(batch, "text"), strict=True) for p in _prints(x.as_buffer().to_pybytes(), span, k, [] if whole else lengths, whole)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], [key, "print"])
-
-        return run
+def _window_prints(h: np.ndarray, n: int, span: int, k: int) -> np.ndarray:
+    """The fingerprint of the window of n words from each place on: of whole windows the least k-gram, of short ones the gram."""
+    grams, run = gram_hashes(h, min(n, k) if n >= span else n), span - k + 1 if n >= span else 1
+    return (np.lib.stride_tricks.sliding_window_view(grams, run).min(axis=1) if len(grams) >= run else np.zeros(0, np.uint64)).view(np.int64)
 
-    keyed = written(docs.withColumn("id", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("string")), "keyed")
-    named = written(items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("item_text")), "items")
-    theirs = named.select(F.col("item").alias("id"), F.col("item_text").alias("text")).mapInArrow(prints(True, "item"), "item long, print long").distinct()
-    ours = keyed.select("id", "text").mapInArrow(prints(False, "id"), "id long, print long")
-    met = ours.join(theirs, "print").select("id", "item").distinct().join(named, "item")
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        windows = Windows([(None if i is None else int(i), (t or "").encode()) for i, t in zip(right["item_id"], right["item_text"], strict=True)], span, k)
-        found = []
-        for x in left["text"]:
-            words = words_of((x or "").encode())
-            hit, seen = windows.search(words)
-            found.append((len(words), int(hit.sum()), seen))
-        ids = [None if i is None else int(i) for i in left["doc_id"]]
-        return _report(ids, found).to_pandas()
+def _windows_at(words: list[bytes], starts: np.ndarray, n: int) -> list[str]:
+    return [b" ".join(words[i : i + n]).decode() for i in starts.tolist()]
 
-    return keyed.groupBy("id").cogroup(met.groupBy("id")).applyInPandas(search, REPORT)
 
+def _large(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
+    """Fingerprints of both sides are joined by a shuffle, then windows with shared fingerprints by their words.
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, broadcast_words: int = 2_000_000) -> DataFrame:
-    """docs without the rows that contamination() reports as contaminated; rows with repeated or null ids are judged each."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, span, k, broadcast_words)
-    hit = written(found.where("contaminated").select(F.col("doc_id").alias("__row")), "contaminated")
-    return rows.join(hit, "__row", "left_anti").select(docs.columns)
+    A window that many documents or items hold is one row of the distinct windows: adaptive execution splits its join.
+    """
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = []
+            for item, x in zip(batch.column("item_id").to_pylist(), texts_of(batch, "text"), strict=True):
+                words = words_of(x.as_buffer().to_pybytes())
+                n = min(span, len(words))
+                if n:
+                    prints = _window_prints(_word_hashes(words), n, span, k)
+                    rows += [(item, n, p, w) for p, w in zip(prints.tolist(), _windows_at(words, np.arange(len(prints)), n), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.string()))], ["item_id", "n", "print", "win"])
+
+    windows = written(items.mapInArrow(of_items, "item_id long, n int, print long, win string").distinct(), "windows")
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most `span`
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text"), "keyed")
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            counts, prints = [], []
+            for x in texts_of(batch, "text"):
+                h = _word_hashes(words_of(x.as_buffer().to_pybytes()))
+                counts.append(len(h))
+                prints.append(np.unique(np.concatenate([np.zeros(0, np.int64), *(_window_prints(h, n, span, k) for n in lengths)])))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], ["id", "doc_id", "n_words", "prints"])
+
+    printed = written(keyed.mapInArrow(of_docs, "id long, doc_id long, n_words long, prints array<long>"), "printed")
+    shared = printed.select("id", F.explode("prints").alias("print")).join(windows.select("print").distinct(), "print", "left_semi")
+    live = keyed.join(shared.groupBy("id").agg(F.collect_list("print").alias("prints")), "id").select("id", "text", "prints")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for key, x, hits in zip(batch.column("id").to_pylist(), texts_of(batch, "text"), batch.column("prints"), strict=True):
+                words = words_of(x.as_buffer().to_pybytes())
+                h = _word_hashes(words)
+                for n in lengths:
+                    starts = np.flatnonzero(np.isin(_window_prints(h, n, span, k), hits.values.to_numpy()))
+                    if len(starts):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), key)), pa.array(starts), pa.array(np.full(len(starts), n, np.int32)), pa.array(_windows_at(words, starts, n), pa.string())], ["id", "s", "n", "win"])
+
+    found = live.mapInArrow(extend, "id long, s long, n int, win string").join(windows.select("n", "win").distinct(), ["n", "win"], "left_semi")
+    found = written(found, "hits")
+    before = Window.partitionBy("id").orderBy("s", "n").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("s") + F.col("n")
+    covered = found.withColumn("before", F.coalesce(F.max(end).over(before), F.lit(0))).groupBy("id").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("s", "before"))).alias("n_hit"))
+    owned = found.select("id", "n", "win").distinct().join(windows.where("item_id IS NOT NULL").select("n", "win", "item_id").distinct(), ["n", "win"])
+    named = owned.select("id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    out = printed.select("id", "doc_id", "n_words").join(covered, "id", "left").join(named, "id", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, broadcast_words: int = 200_000) -> DataFrame:
+    """docs without the rows that contamination() reports as contaminated.
+
+    Rows with repeated or null ids are judged each; null and empty texts stay; all columns pass through.
+    """
+    rows, number = numbered(docs)
+    found = contamination(rows.select(F.col(number).alias("doc_id"), "text"), benchmark, span, k, broadcast_words)
+    hit = written(found.where("contaminated").select(F.col("doc_id").alias(number)), "contaminated")
+    return rows.join(hit, number, "left_anti").select(docs.columns)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, broadcast_words: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, broadcast_words: int = 200_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and no hits. Items that are null or empty have no windows; items without an
