@@ -80,3 +80,24 @@ def test_rollup(spark):
     once = [t for i, t, *_ in rows if not (t == "hello world" and i in (50, None))]  # id 3 leads, in both of its rows
     assert left == {old: (0, 0), new: (len(once), sum(len(e[new].encode_ordinary(t or "")) for t in once))}
     assert rollup.maintained_totals(docs.limit(0)).count() == 0
+
+
+def test_rollup_commits_and_compaction(spark):
+    row = lambda n: spark.createDataFrame([("s", None, "v", n, 10 * n)], rollup.SCHEMA)
+    state = rollup.Rollup(spark)
+    assert state.commit("a", row(1)) and state.commit("b", row(2)) and not state.commit("b", row(2))
+    try:
+        state.commit("b", row(5))
+        raise AssertionError("other counts under a committed id")
+    except ValueError:
+        pass
+    row(9).write.parquet(f"{state.path}/_attempt-broken")  # of a writer that died
+    want = [("s", None, "v", 3, 30)]
+    assert [tuple(r) for r in state.totals().collect()] == want
+    state.compact()
+    assert len(state._live()[0]) == 1 and [tuple(r) for r in state.totals().collect()] == want
+    assert not state.commit("a", row(1)) and state.commit("c", row(4))
+    state.compact()
+    assert [tuple(r) for r in rollup.Rollup(spark, state.path).totals().collect()] == [("s", None, "v", 7, 70)]
+    state.spark.read.schema(rollup.SCHEMA).parquet(f"{state.path}/batch-c").write.parquet(f"{state.path}/_attempt-late")
+    assert not state._rename("_attempt-late", "batch-c")  # a second writer comes too late
