@@ -20,6 +20,7 @@ edges of each distinct word of a block of texts are found once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -43,17 +44,28 @@ def uniform(seed: np.ndarray | int, counter: np.ndarray | int) -> np.ndarray:
     return mixed(blend(seed, counter))
 
 
+def key_of(seed: np.ndarray | int, number: np.ndarray | int) -> np.ndarray:
+    """A seed of its own for each number (a word's place, or a sample's) under a seed, whatever the counters used with it."""
+    return scramble(blend(seed, number))
+
+
 def blend(seed: np.ndarray | int, counter: np.ndarray | int) -> np.ndarray:
     """Linear in both, so that counters may be added up later: blend(s, a + b) = blend(s, a) + blend(0, b)."""
     return np.atleast_1d(np.asarray(seed, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.atleast_1d(np.asarray(counter, np.uint64)) * np.uint64(0xD1B54A32D192ED03)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Uniform variables in (0, 1) of what blend() gives; x is used up."""
+def scramble(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of 64-bit values; x is used up."""
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x ^= x >> np.uint64(shift)
         x *= np.uint64(factor)
     x ^= x >> np.uint64(31)
+    return x
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Uniform variables in (0, 1) of what blend() gives; x is used up."""
+    x = scramble(x)
     x >>= np.uint64(11)
     out = x.astype(np.float64)
     out += 0.5
@@ -136,6 +148,12 @@ class Vocabulary:
         self.piece = np.full(len(edges) + 1, -1, np.int32)
         self.piece[list(ends)] = list(ends.values())
 
+    def decode_all(self, ids: np.ndarray, size: np.ndarray) -> tuple[bytes, list[int]]:
+        """The bytes of runs of ids, one after another, and where each run's end; the space before each text is left in."""
+        length = self.length[ids]
+        ends = np.concatenate(([0], np.cumsum(length)))[np.cumsum(size)]
+        return gather(self.bytes, self.start[ids], length).tobytes(), ends.tolist()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids; the space put before it on encoding is taken off."""
         return gather(self.bytes, self.start[ids], self.length[ids])[1:].tobytes()
@@ -154,7 +172,7 @@ def vocabulary(model_file: str, alpha: float) -> Vocabulary:
     return Vocabulary(model_file, alpha)
 
 
-def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, each with the spaces before it, with the index of each text's words and their counts.
 
     A text is read with one space before it. Spaces are SPACE; one in the text itself is put as U+FFFFF, outside any
@@ -164,24 +182,23 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.dictionary_encode(pc.list_flatten(lists))
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    words = coded.dictionary.to_pylist()
-    marked = pc.any(pc.match_substring(coded.dictionary, SPACE)).as_py()
-    words = [SPACE + (x.replace(SPACE, "\U000fffff") if marked else x) for x in words]
+    empty = pc.index(coded.dictionary, "").as_py()
+    words = pc.binary_join_element_wise(SPACE, pc.replace_substring(coded.dictionary, SPACE, "\U000fffff"), "")
     index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    empty = words.index(SPACE) if SPACE in words else -1
     follows = np.zeros(len(index), bool)  # words that belong to a run of spaces before them
     if empty >= 0:
         text = np.repeat(np.arange(len(count)), count)
         follows[1:] = (index[:-1] == empty) & (text[1:] == text[:-1])
     if follows.any():
-        known = {x: i for i, x in enumerate(words)}
+        known: dict[str, int] = {}  # they begin with two spaces at least, or are spaces only: no other word does
+        if empty >= 0:
+            known[SPACE] = empty
         head = np.flatnonzero(~follows)
         tail = np.append(head[1:], len(index))
         for a in np.flatnonzero(tail - head > 1):
-            x = SPACE * int(tail[a] - head[a] - 1) + words[index[tail[a] - 1]]
-            index[head[a]] = known.setdefault(x, len(known))
-            if len(known) > len(words):
-                words.append(x)
+            x = SPACE * int(tail[a] - head[a] - 1) + words[int(index[tail[a] - 1])].as_py()
+            index[head[a]] = known.setdefault(x, len(words) + len(known) - (empty >= 0))
+        words = pa.concat_arrays([words, pa.array([x for x in known if x != SPACE], words.type)])
         index, count = index[head], np.bincount(text[head], minlength=len(count))
     return words, index, count
 
@@ -189,9 +206,10 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 class Lattice:
     """The lattices of distinct words: places, edges in order of their start, and cumulative edge probabilities."""
 
-    def __init__(self, words: list[str], v: Vocabulary):
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.fromiter(map(len, words), np.int32, len(words))
+    def __init__(self, words: pa.Array, v: Vocabulary):
+        letters = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")[0].as_py()
+        codes = np.frombuffer(letters.encode("utf-32-le"), np.uint32)
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int32)
         self.first = np.cumsum(size, dtype=np.int32) - size
         end = np.repeat(self.first + size, size)  # of the word each place is in
         letters = v.letter[codes]
@@ -266,13 +284,13 @@ class Lattice:
         seeds and number: the row's seed and the word's number in its text.
         """
         turn = np.argsort(word.astype(np.uint32))  # equal words together, for the caches
-        heads, noise = self.first[word[turn]], blend(seeds, number * (4096 * 64))[turn]
+        heads, noise = self.first[word[turn]], blend(key_of(seeds, number), 0)[turn]
         out = []
         for sample in range(samples):
             live, place, mine = turn, heads, noise
             counts, taken, step = np.zeros(len(word), np.int64), [], 0
             while len(live):
-                edge = self.draw(place, mixed(mine + blend(0, step * 64 + sample)))
+                edge = self.draw(place, mixed(mine + blend(0, step * samples + sample)))
                 taken.append((live, edge))
                 counts[live] += 1
                 more = ~self.end_of_word[edge]
@@ -284,9 +302,14 @@ class Lattice:
             out.append((edges, counts))
         return out
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
+    def ids(self, edges: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of paths that lie one after another, and how many each has; size: of the paths in edges."""
         ids = self.emit[edges]
-        return ids if self.simple else gather(self.flat, self.flat_start[ids], self.flat_length[ids])
+        if self.simple:
+            return ids, size
+        length = self.flat_length[ids]
+        ends = np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(size)))]
+        return gather(self.flat, self.flat_start[ids], length), np.diff(ends)
 
 
 class Chain:
@@ -296,7 +319,7 @@ class Chain:
     """
 
     def __init__(self, lattice: Lattice, edges: np.ndarray, value: float, own: int, banned: list[int], seed: int, number: int):
-        self.lattice, self.edges, self.value, self.own, self.banned, self.seed, self.number = lattice, edges, value, own, [*banned, int(edges[own])], seed, number
+        self.lattice, self.edges, self.value, self.own, self.banned, self.seed = lattice, edges, value, own, [*banned, int(edges[own])], int(key_of(seed ^ 0x5851F42D4C957F2D, number)[0])
         self.log_p = lattice.log_p[edges]
         self.prefix = np.cumsum(self.log_p) - self.log_p
         self.gone: set[int] = set()
@@ -311,7 +334,7 @@ class Chain:
             if at == self.own:
                 rest[0] = self._left()
             mass = self.prefix[at:to] + np.log(np.maximum(rest, 1e-300))
-            u = uniform(self.seed ^ 0x5851F42D4C957F2D, np.arange(at, to, dtype=np.uint64) * np.uint64(64) + np.uint64(self.number))
+            u = uniform(self.seed, np.arange(at, to, dtype=np.uint64))
             values = truncated_gumbel(mass, self.value, u)
             values[rest <= 0] = -np.inf
             self.values = np.concatenate((self.values, values))
@@ -353,13 +376,14 @@ def search(lattice: Lattice, fresh: list[tuple[np.ndarray, np.ndarray]], k: int,
         number = len(chains)
         choices = parent.others(at)
         p = np.cumsum(np.exp(lattice.log_p[choices]))
-        u = uniform(seed ^ 0x2545F4914F6CDD1D, np.arange(32) * 64 + number)
+        own = int(key_of(seed ^ 0x2545F4914F6CDD1D, number)[0])
+        u = uniform(own, np.arange(32))
         edge = choices[min(int(np.searchsorted(p, u[0] * p[-1], side="right")), len(choices) - 1)]
         bans = parent.bans(at)
         word = int(lattice.end_of_word[parent.edges[:at]].sum())
         part, step = [edge], 1
         while not lattice.end_of_word[part[-1]]:
-            more = u[step] if step < len(u) else uniform(seed ^ 0x2545F4914F6CDD1D, step * 64 + number)[0]
+            more = u[step] if step < len(u) else uniform(own, step)[0]
             part.append(int(lattice.draw(np.array([lattice.stop[part[-1]]]), np.array([more]))[0]))
             step += 1
         edges, counts = fresh[number]
@@ -375,25 +399,52 @@ def log_inclusion(log_prob: float, threshold: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(x))))
 
 
-def segment_texts(texts: pa.Array, seeds: np.ndarray, v: Vocabulary, k: int) -> list[list[tuple]]:
-    """For each text its samples: (ids, log_prob, perturbed, log_inclusion, decoded_ok)."""
+@dataclass(frozen=True)
+class Samples:
+    """The samples of a block of texts, one after another: `count` of each text, `size` ids of each sample."""
+
+    count: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+    log_prob: np.ndarray
+    perturbed: np.ndarray
+    log_inclusion: np.ndarray
+    decoded_ok: np.ndarray
+
+
+def segment_block(texts: pa.Array, seeds: np.ndarray, v: Vocabulary, k: int) -> Samples:
     words, index, count = words_of(texts)
     lattice = Lattice(words, v)
     ends = np.cumsum(count)
     number = np.arange(len(index)) - np.repeat(ends - count, count)
     draws = lattice.paths(index, np.repeat(seeds, count), number, k)
     edge_ends = [np.concatenate(([0], np.cumsum(c)))[np.concatenate(([0], ends))] for _, c in draws]
-    out = []
-    for i, x in enumerate(texts):
+    edges, scores, found = [np.zeros(0, np.int64)], [], np.zeros(len(texts), np.int64)
+    for i in range(len(texts)):
         a, b = int(ends[i] - count[i]), int(ends[i])
         fresh = [(e[cut[i] : cut[i + 1]], c[a:b]) for (e, c), cut in zip(draws, edge_ends, strict=True)]
         chains, threshold = search(lattice, fresh, k, int(seeds[i]))
-        data, rows = x.as_buffer().to_pybytes(), []
+        found[i] = len(chains)
         for c in chains:
-            ids, log_prob = lattice.ids(c.edges), float(c.log_p.sum())
-            rows.append((ids.astype(np.int32), log_prob, c.value, log_inclusion(log_prob, threshold), v.decode(ids) == data))
-        out.append(rows)
-    return out
+            log_prob = float(c.log_p.sum())
+            edges.append(c.edges)
+            scores.append((log_prob, c.value, log_inclusion(log_prob, threshold)))
+    size = np.array([len(e) for e in edges[1:]], np.int64)
+    edges = np.concatenate(edges)
+    ids, size = lattice.ids(edges, size)
+    data, made = v.decode_all(ids, size)
+    want = [x.as_buffer().to_pybytes() for x in texts]
+    ok = [data[a + 1 : b] == want[i] for i, a, b in zip(np.repeat(np.arange(len(want)), found).tolist(), [0, *made[:-1]], made, strict=True)] if made else []
+    log_prob, perturbed, included = np.array(scores, float).reshape(-1, 3).T
+    return Samples(found, size, ids.astype(np.int32), log_prob, perturbed, included, np.array(ok, bool))
+
+
+def segment_texts(texts: pa.Array, seeds: np.ndarray, v: Vocabulary, k: int) -> list[list[tuple]]:
+    """For each text its samples: (ids, log_prob, perturbed, log_inclusion, decoded_ok)."""
+    s = segment_block(texts, seeds, v, k)
+    rows = list(zip(np.split(s.ids, np.cumsum(s.size)[:-1]), s.log_prob.tolist(), s.perturbed.tolist(), s.log_inclusion.tolist(), s.decoded_ok.tolist(), strict=True)) if len(s.size) else []
+    ends = np.cumsum(s.count).tolist()
+    return [rows[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def sample_segmentations(docs: DataFrame, model_file: str = DEFAULT_MODEL, k: int = 2, alpha: float = 1.0, seed: int = 42, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -407,15 +458,14 @@ def sample_segmentations(docs: DataFrame, model_file: str = DEFAULT_MODEL, k: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file, alpha)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             texts = texts_of(batch, "text")
             seeds = batch.column("seed").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            found = segment_texts(texts, seeds, v, k)
-            keys = pc.take(batch.column("key"), pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
-            rows = [(n, *r) for x in found for n, r in enumerate(x)]
-            lengths = np.cumsum([0, *(len(r[1]) for r in rows)])
-            ids = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([r[1] for r in rows]) if rows else [], pa.int32()))
-            columns = [keys, pa.array([r[0] for r in rows], pa.int32()), ids, *(pa.array([r[i] for r in rows], pa.float64()) for i in (2, 3, 4)), pa.array([bool(r[5]) for r in rows])]
+            found = segment_block(texts, seeds, v, k)
+            keys = pc.take(batch.column("key"), pa.array(np.repeat(np.arange(len(texts)), found.count)))
+            number = np.arange(len(found.size)) - np.repeat(np.cumsum(found.count) - found.count, found.count)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(found.size))), pa.int32()), pa.array(found.ids))
+            columns = [keys, pa.array(number, pa.int32()), ids, *(pa.array(x) for x in (found.log_prob, found.perturbed, found.log_inclusion, found.decoded_ok))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "decoded_ok"])
 
     return docs.select(F.col(key_col).cast("long").alias("key"), F.xxhash64(F.lit(seed), F.col(key_col)).alias("seed"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
