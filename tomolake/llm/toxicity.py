@@ -26,12 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import filtered, fold, held_out, slices, texts_of
+from tomolake.llm.common import filtered, fold, give_back, held_out, slices, texts_of
 
 SYMBOLS = 48  # 0: no letter; 1 to 26: a to z; others by code point
 #: Digits written for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 NOTHING = -30.0  # the margin of a text without a word
+ROWS = 128  # words whose subsequence weights are laid out at a time
 
 
 @cache
@@ -252,7 +253,7 @@ def train(texts: list[str], toxic: np.ndarray, kernel: Kernel = Kernel(), landma
         y = np.concatenate((np.ones(len(plus)), -np.ones(len(pool))))
         weight = np.concatenate((np.array([n for _, n in plus]), np.ones(len(pool))))
         weight[y > 0] *= 0.5 * len(pool) / weight[y > 0].sum()
-        x = np.vstack([explicit(rows[at : at + 1024], kernel, columns, len(triples)) @ basis.T for at in range(0, len(rows), 1024)])
+        x = np.vstack([explicit(rows[at : at + ROWS], kernel, columns, len(triples)) @ basis.T for at in range(0, len(rows), ROWS)])
         u, constant = fit_svm(x, y, weight)
         table = np.zeros(SYMBOLS**3)
         table[triples] = u @ basis
@@ -290,19 +291,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, kernel: Kernel = Kernel()) -> Model:
     """The model from at most about `per_class` labelled texts of each class (whole texts)."""
     rows = sorted((r["doc_id"], r["text"], r["y"]) for r in labelled_sample(docs, labels, "toxic", per_class).collect())
-    return train([r[1] for r in rows], np.array([r[2] for r in rows], int), kernel)
+    model = train([r[1] for r in rows], np.array([r[2] for r in rows], int), kernel)
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, texts scored whole.
 
     Null and empty texts, and texts without a letter, get the score of a text without a word, near 0. Without two
-    classes among the labels, all rows get the prior.
+    classes among the labels, all rows get the prior. Words that tie for a text's highest give the same score. Repeated
+    rows are scored each, alike; other columns of docs, whatever their names, are left out. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 12 << 20):
+        for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(model.value.scores(texts_of(batch, "text")))], ["doc_id", "held_out", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -310,6 +314,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500) ->
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose score reaches the threshold."""
+    """docs without the rows whose score reaches the threshold.
+
+    Null and empty texts stay, unless the labels know toxic texts only. Rows with repeated or null ids are judged each, by
+    text alone; all columns pass through, whatever their names; an empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class))
     return filtered(docs, lambda: lambda texts: model.value.scores(texts) < threshold)
