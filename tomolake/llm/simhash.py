@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import connected_components, slices, texts_of, written
+from tomolake.llm.common import connected_components, numbered, slices, texts_of, written
 
 BITS = 2
 LEAST_BYTES = 8 - BITS
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long) of every row; null and empty texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             fps = [int.from_bytes(simhash(x.as_buffer().to_pybytes() if x.is_valid else b""), "big", signed=True) for x in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64())], ["id", "fp"])
 
@@ -108,11 +108,14 @@ def keep_one(docs: DataFrame, hot: int = 64) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, of several the first in a numbering of the rows.
 
     Rows are told apart by their number, not by doc_id: rows with repeated or null ids are judged each by its text. A
-    row with a null doc_id stays only where no row of its component has an id.
+    row with a null doc_id stays only where no row of its component has an id. Null and empty texts are near-duplicates of
+    each other. All columns pass through, whatever their names; an empty table stays empty.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows, "__row", hot=hot).select(F.col("id").alias("__row"), "component")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
-    least = rows.select("__row", "doc_id").join(found, "__row").groupBy("component").agg(F.min(order).alias("least"))
-    first = written(least.select(F.col("least.__row").alias("__row")), "first")
-    return rows.join(first, "__row", "left_semi").select(docs.columns)
+    rows, number = numbered(docs)
+    found = near_duplicates(rows, number, hot=hot).select(F.col("id").alias(number), "component")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", number)
+    led = rows.select(number, "doc_id").join(found, number)
+    first = led.groupBy("component").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1")
+    # Only the numbers of rows that go meet the documents: where they are few, these aren't shuffled.
+    gone = written(led.join(first, "component").where(F.col(f"least.{number}") != F.col(number)).select(number), "gone")
+    return rows.join(gone, number, "left_anti").select(docs.columns)
