@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomolake.functions import physics as fx
-from tomolake.operators import calibrate, components, labels, network, resample, series, stats, stencil, voxels
+from tomolake.operators import calibrate, components, core, labels, network, resample, sections, series, stats, stencil, voxels
 from tomolake.operators.graph import connected_components, shortest_paths
 from tomolake.sources import files
 from tomolake.streaming import frames
@@ -193,31 +193,131 @@ def test_suppression_and_throats_against_plain_versions(spark):
     pores = spark.createDataFrame([(*r, 1.0) for r in p], "id long, x double, y double, z double, radius double, volume double")
     found = network.throats(pores)
     assert {(r["pore1"], r["pore2"]) for r in found.collect()} == want
-    joined = network.enforce_flow_path(pores, found)
-    assert joined.count() >= found.count()
-    assert network.tortuosity(pores, joined).count() == 1
+    at = {r[0]: (np.array(r[1:4]), r[4]) for r in p}
+    for r in found.collect():
+        (u, ru), (v, rv) = at[r["pore1"]], at[r["pore2"]]
+        d = float(np.linalg.norm(u - v))
+        radius, length = 0.4 * min(ru, rv), max(0.1, d - ru - rv)
+        assert np.allclose([r["radius"], r["length"], r["volume"], r["distance"]], [radius, length, np.pi * radius**2 * length, d])
+    joined = network.enforce_flow_path(pores, found).cache()
+    edges = {(r["pore1"], r["pore2"]): r["distance"] for r in joined.collect()}
+    assert want <= set(edges)
+    sides = {}
+    for r in network.inlets_outlets(pores).collect():
+        sides.setdefault(r["side"], set()).add(r["id"])
+    order = sorted(range(80), key=lambda i: (at[i][0][2], i))
+    assert sides == {"inlet": set(order[:8]), "outlet": set(order[-8:])}
+    root = list(range(80))
+    for _ in range(80):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {root[i] for i in sides["inlet"]} & {root[i] for i in sides["outlet"]}
+    ratios = []
+    for axis in range(3):
+        x = np.array([at[i][0][axis] for i in range(80)])
+        near = 2 * mean
+        inlet, outlet = [i for i in range(80) if x[i] <= x.min() + near], [i for i in range(80) if x[i] >= x.max() - near]
+        d = np.full((80, 80), np.inf)
+        np.fill_diagonal(d, 0)
+        for (a, b), w in edges.items():
+            d[a, b] = d[b, a] = min(d[a, b], w)
+        for k in range(80):
+            d = np.minimum(d, d[:, [k]] + d[[k], :])
+        straight = x.max() - x.min()
+        paths = sorted(d[a, b] for a in inlet for b in outlet if straight <= d[a, b] < 15 * straight)
+        if paths:
+            c = 2 * len(edges) / 80
+            top = 11.0 if c < 2 else 8.0 if c < 3 else 6.5 if c < 4 else 5.0
+            ratios.append(min(max(paths[len(paths) // 2] / straight, 1.0), top))
+    got = network.tortuosity(pores, joined).first()["tortuosity"]
+    assert abs(got - (np.mean(ratios) if ratios else np.inf)) < 1e-9
+
+
+def plain_peaks(v, prominence, distance):
+    found = {}
+    for i in range(1, len(v) - 1):
+        if v[i] > v[i - 1] and v[i] > v[i + 1]:
+            left = max([j for j in range(i) if v[j] > v[i]], default=0)
+            right = min([j for j in range(i + 1, len(v)) if v[j] > v[i]], default=len(v) - 1)
+            out = v[i] - max(min(v[left : i + 1]), min(v[i : right + 1]))
+            if out >= prominence or (v[i] > 0 and out >= 0.5 * v[i]):
+                found[i] = out
+    kept = []
+    for i in sorted(found, key=lambda i: (-v[i], i)):
+        if all(abs(i - j) >= distance for j in kept):
+            kept.append(i)
+    return {i: found[i] for i in kept}
 
 
 def test_peaks_against_plain_version(spark):
     v = np.random.default_rng(2).random(60) * 10
     df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)], "k long, i long, v double")
-    found = {r["i"] for r in series.peaks(df, ["k"], "i", 2.0, 4).collect()}
-    assert found and all(v[i] > v[i - 1] and v[i] > v[i + 1] for i in found)
-    assert all(abs(a - b) >= 4 for a, b in itertools.combinations(found, 2))
+    found = series.peaks(df, ["k"], "i", 2.0, 4)
+    assert {r["i"]: r["prominence"] for r in found.collect()} == plain_peaks(v.tolist(), 2.0, 4)
+    at = sorted(plain_peaks(v.tolist(), 2.0, 4))
+    want = dict(zip(at, [round((b - a) * 0.5, 9) for a, b in zip(at, at[1:], strict=False)] + [0.0], strict=True))
+    assert {r["i"]: round(r["spacing_mm"], 9) for r in series.peak_spacing(found, ["k"], "i", 0.5).collect()} == want
+    dark = {r["i"] for r in series.dark_peaks(df, ["k"], "i", 2.0, 4).collect()}
+    assert dark == set(plain_peaks((-v).tolist(), 2.0, 4))
+    mirror = {r["i"] for r in series.dark_peaks(df, ["k"], "i", 2.0, 4, mirrored=True).collect()}
+    assert mirror == set(plain_peaks((v.max() - v + v.min()).tolist(), 2.0, 4))
+
+
+def test_band_pass_against_plain_version(spark):
+    v = np.random.default_rng(4).random(30)
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)], "k long, i long, v double")
+    y = out = 0.0
+    want = [(0.0, 0.0)]
+    for a, b in itertools.pairwise(v):
+        y = 0.9 * (y + b - a)
+        out = out + 0.3 * (y - out)
+        want.append((y, out))
+    got = [(r["high_pass"], r["band_pass"]) for r in series.band_pass(df, ["k"], "i", 0.9, 0.3).orderBy("i").collect()]
+    assert np.allclose(got, want)
+
+
+CURVE = "test_id string, step long, axial double, lateral double, volumetric double, stress double"
 
 
-def test_stress_curve_fits(spark):
+@pytest.fixture(scope="module")
+def bilinear(spark):
     rows = [("t", i, i * 1e-3, -0.3 * i * 1e-3, 0.4 * i * 1e-3, min(i, 20) * 50.0 if i < 30 else 700.0) for i in range(40)]
-    c = spark.createDataFrame(rows, "test_id string, step long, axial double, lateral double, volumetric double, stress double")
-    assert abs(calibrate.youngs_modulus(c).first()["youngs"] - 50_000) < 1e-6
-    assert abs(calibrate.poisson_ratio(c).first()["poisson"] - 0.3) < 1e-9
-    assert abs(calibrate.yield_strength(c).first()["yield_strength"] - 1000) < 1e-6
-    b = calibrate.brittleness(c).first()
+    return spark.createDataFrame(rows, CURVE).cache()
+
+
+def test_modulus_of_a_curve(bilinear):
+    """The fit takes in the first row off the line, whose strain is the proportional limit."""
+    assert calibrate.proportional_limit(bilinear).first()["limit"] == 0.021
+    want = np.polyfit(np.arange(22) * 1e-3, np.minimum(np.arange(22), 20) * 50.0, 1)[0]
+    assert abs(calibrate.youngs_modulus(bilinear).first()["youngs"] - want) < 1e-6
+
+
+def test_poisson_yield_and_brittleness(spark, bilinear):
+    assert abs(calibrate.poisson_ratio(bilinear).first()["poisson"] - 0.3) < 1e-9
+    assert abs(calibrate.yield_strength(bilinear).first()["yield_strength"] - 1000) < 1e-6
+    assert abs(calibrate.bounded_yield(bilinear).first()["yield_strength"] - 0.01 * calibrate.youngs_modulus(bilinear).first()["youngs"]) < 1e-6
+    b = calibrate.brittleness(bilinear).first()
     assert b["softens"] and b["peak_stress"] == 1000
-    f = spark.createDataFrame([(2 * (5 + 0.5 * s) - 0.0 + 2 * 0 + s - 5 - 0.5 * s + (s - 5 - 0.5 * s) * 0, s - 5 - 0.5 * s) for s in (20.0, 30.0, 40.0)], "sigma1 double, sigma3 double")
-    f = spark.createDataFrame([(s + 5 + 0.5 * s, s - 5 - 0.5 * s) for s in (20.0, 30.0, 40.0)], f.schema)
+    few = bilinear.where("step < 3").withColumns({"lateral": F.lit(None).cast("double"), "volumetric": F.lit(None).cast("double")})
+    tests = spark.createDataFrame([("t", 0.0, None, 0.24, 30.0, 10.0)], "test_id string, confining double, youngs double, poisson double, sigma1 double, sigma3 double")
+    assert calibrate.poisson_ratio(few, tests).first()["poisson"] == 0.3  # ductile, at a ratio of 2
+    flat = spark.createDataFrame([("f", i, i * 1e-4, None, None, 5.0 * i) for i in range(12)], CURVE)
+    assert calibrate.yield_strength(flat).first()["yield_strength"] == 55  # neither crosses, leaves the line nor bends
+
+
+def test_mohr_coulomb(spark):
+    f = spark.createDataFrame([(s + 5 + 0.5 * s, s - 5 - 0.5 * s) for s in (20.0, 30.0, 40.0)], "sigma1 double, sigma3 double")
     m = calibrate.mohr_coulomb(f).first()
     assert abs(m["friction_angle"] - 30) < 1e-6 and abs(m["cohesion"] - 5 / np.cos(np.pi / 6)) < 1e-6
+    m = calibrate.mohr_coulomb(f, as_line=True).first()
+    assert abs(m["friction_angle"] - np.degrees(np.arctan(0.5))) < 1e-6 and abs(m["cohesion"] - 5) < 1e-6
+    one = calibrate.mohr_coulomb(f.limit(1), brittle=0.9).first()
+    r, c = 15.0, 20.0
+    sine = r / (c + 0.1 * r)
+    assert abs(one["friction_angle"] - min(55, np.degrees(np.arcsin(sine)) * 1.1)) < 1e-9 and abs(one["cohesion"] - max(0.1, (r - c * sine) / np.cos(np.arcsin(sine)) * 0.9)) < 1e-9
+    assert calibrate.mohr_coulomb(f.limit(0)).count() == 0
+    tests = spark.createDataFrame([(1.0,), (2.0,)], "strength double")
+    assert calibrate.tension_cutoff(tests, 10.0, 30.0).first()["cutoff"] and not calibrate.tension_cutoff(tests, 0.5, 30.0).first()["cutoff"]
 
 
 def test_constant_abscissa(spark):
@@ -262,6 +362,144 @@ def test_sources(spark, tmp_path, grays, noise):
     assert "center_x" in spark.read.csv(str(tmp_path / "p"), header=True).columns
 
 
+def test_sinks(spark, tmp_path, grays, noise):
+    lab = (noise > 200).astype(int)
+    found = stats.particles(components.label_components(volume(spark, noise, lab), DIMS), 1e-6)
+    files.write_particle_csv(found, str(tmp_path / "p"))
+    csv = spark.read.csv(str(tmp_path / "p"), header=True, inferSchema=True)
+    assert len(csv.columns) == 16 and csv.agg(F.sum("VoxelCount"), F.min("Width")).first()[:] == (int(lab.sum()), 1)
+    m = spark.createDataFrame([(1, "Pore", 0, 0, 63, False, 1000.0, True)], files.MATERIAL)
+    files.write_materials(m, str(tmp_path / "m"))
+    assert files.read_materials(spark, str(tmp_path / "m")).collect() == m.collect()
+    files.write_statistics_csv(stats.material_statistics(grays, m, 1e-6), str(tmp_path / "s"))
+    assert spark.read.csv(str(tmp_path / "s"), header=True).columns == ["Material", "Voxels", "Volume (µm³)", "Volume (mm³)", "Volume (cm³)", "Percentage"]
+    runs = series.run_lengths(volume(spark, noise, lab))
+    files.write_particle_result(found, runs, str(tmp_path / "r"))
+    back = files.read_particle_result(spark, str(tmp_path / "r"))
+    assert back[0].count() == found.count() and series.from_run_lengths(back[1]).count() == noise.size
+    pores = spark.createDataFrame([(1, 2.0, 3.0, 1.5, 0.0, 1.0, 2.0, 4)], "id long, volume double, area double, radius double, x double, y double, z double, connections long")
+    throats = spark.createDataFrame([(1, 2, 0.5, 2.0, 3.0)], "pore1 long, pore2 long, radius double, length double, volume double")
+    props = spark.createDataFrame([(2.0, 3.0, 0.25)], "pore_volume double, throat_volume double, porosity double")
+    files.write_network_csv(pores, throats, props, str(tmp_path / "n"))
+    assert spark.read.csv(str(tmp_path / "n/pores"), header=True).first()["Connections"] == "4"
+    files.write_network(str(tmp_path / "nw"), pores=pores, throats=throats)
+    assert [t.count() for t in files.read_network(spark, str(tmp_path / "nw"), "pores", "throats")] == [1, 1]
+    files.write_selected(pores, spark.createDataFrame([(1,), (9,)], "id long"), str(tmp_path / "sel"))
+    assert spark.read.csv(str(tmp_path / "sel"), header=True).count() == 1
+    text = ["# Pores", "ID,Volume,a,b,c,d,e,f", "1,1,1,2.0,0,0,0,3", "2,1,1,4.0,0,0,0,5", "", "# Network Statistics", "Porosity,0.2", "Tortuosity,1.7", "", "9,9,9,9,9,9,9,9"]
+    lines = spark.createDataFrame(list(enumerate(text)), "n long, line string")
+    assert files.read_network_lines(lines).first()[:] == (0.2, 1.7, 3.0, 4.0)
+    files.write_permeability_csv(spark.createDataFrame([("darcy", 1.0, 0.5)], "method string, permeability double, corrected double"), spark.createDataFrame([(1, 2.0)], "pore_id long, pressure double"), str(tmp_path / "k"))
+    assert spark.read.csv(str(tmp_path / "k/permeability"), header=True).first()["Method"] == "darcy"
+    files.write_band_csv(spark.createDataFrame([("XZ", 1, 0, 0.5, 1, 0)], "view string, slice long, row long, v double, dark long, bright long"), str(tmp_path / "b"))
+    assert spark.read.csv(str(tmp_path / "b"), header=True).columns == ["Slice Type", "Row/Col", "Value", "Dark Peak", "Bright Peak"]
+    ms = spark.createDataFrame([(1, 'a, "b"', "XY", 2, 0, 0, 3, 4, 5e-6, "2024-05-06 07:08:09")], "id long, name string, view string, slice long, x1 long, y1 long, x2 long, y2 long, distance double, created string").withColumn("created", F.to_timestamp("created"))
+    files.write_measurements(ms, str(tmp_path / "ms"))
+    assert spark.read.csv(str(tmp_path / "ms"), header=True).first()["Distance(µm)"] == "5.00"
+    files.write_calibration_xml(spark.createDataFrame([(2500.0,)], "Density double"), str(tmp_path / "c.xml"))
+    assert files.read_calibration_xml(spark, str(tmp_path / "c.xml"), "Density double").first()[0] == 2500
+    v = files.acoustic_result(spark.createDataFrame([(10, 25)], "p_step long, s_step long"))
+    files.write_parameters(v, {"dead_time": "steps"}, str(tmp_path / "pa"))
+    assert spark.read.csv(str(tmp_path / "pa"), header=True).first()[:] == ("dead_time", "15.0", "steps")
+    curve = files.velocity_series(spark.createDataFrame([(3, 0.5, None)], "step long, displacement double, intensity double"), 0.0012, 1000.0)
+    assert curve.first()[:] == (0.003, 0.5, 0.0)
+    files.write_curve(curve, v, str(tmp_path / "cv"))
+    assert spark.read.json(str(tmp_path / "cv/curve_json")).count() == 1
+
+
+def test_chunked_volume(spark, tmp_path):
+    w, h, d, side = 5, 4, 3, 2
+    cube = np.random.default_rng(6).integers(0, 256, (d, h, w)).astype(np.uint8)
+    n = [-(-x // side) for x in (w, h, d)]
+    head = np.array([w, h, d, side, 8], "<i4").tobytes() + np.array([1e-6], "<f8").tobytes() + np.array(n, "<i4").tobytes()
+    body = b""
+    for cz, cy, cx in np.ndindex(n[2], n[1], n[0]):
+        block = np.zeros((side,) * 3, np.uint8)
+        part = cube[cz * side : cz * side + side, cy * side : cy * side + side, cx * side : cx * side + side]
+        block[: part.shape[0], : part.shape[1], : part.shape[2]] = part
+        body += block.tobytes()
+    (tmp_path / "volume.bin").write_bytes(head + body)
+    got = files.read_chunked_volume(spark, str(tmp_path / "volume.bin"))
+    assert np.array_equal(cube_of(got, "gray", (d, h, w)), cube)
+    (tmp_path / "short.bin").write_bytes(head + body[:-1])
+    with pytest.raises(Exception, match="don't fit"):
+        files.read_chunked_volume(spark, str(tmp_path / "short.bin")).count()
+
+
+def test_core_circle_and_interpolation(spark):
+    dims = (60, 50, 3)
+    z, y, x = np.indices(dims[::-1])
+    cube = np.where((x - 31) ** 2 + (y - 24) ** 2 <= 18**2, 200, 10)
+    r = core.core_circle(volume(spark, cube), dims, "XY", 1).first()
+    assert r["radius"] == 15 and abs(r["a"] - 30) <= 2 and abs(r["b"] - 25) <= 2
+    blank = core.core_circle(volume(spark, np.full(dims[::-1], 7)), dims, "XY", 1).first()
+    assert (blank["a"], blank["b"], blank["radius"]) == (30, 25, 25)
+    marks = spark.createDataFrame([(1, 4, 4, 1), (1, 6, 4, 1), (1, 12, 9, 7)], "volume_id long, x long, y long, z long")
+    size = (20, 16, 10)
+    mask = np.zeros(size[::-1], bool)
+
+    def line(a, b, radius):
+        n = max(abs(p - q) for p, q in zip(a, b, strict=True))
+        for i in range(n + 1):
+            at = [int(np.round(p + (q - p) * i / n)) for p, q in zip(a, b, strict=True)]
+            for o in itertools.product(range(-radius, radius + 1), repeat=3):
+                q = [p + c for p, c in zip(at, o, strict=True)]
+                if sum(c * c for c in o) <= radius * radius and all(0 <= v < m for v, m in zip(q, size, strict=True)):
+                    mask[q[2], q[1], q[0]] = True
+
+    for a, b, radius in (((4, 4, 1), (12, 9, 7), 1), ((6, 4, 1), (12, 9, 7), 1), ((12, 9, 7), (5, 4, 1), 1), ((5, 4, 1), (12, 9, 7), 2)):
+        line(a, b, radius)
+    wide = np.zeros_like(mask)
+    for k, j, i in zip(*np.nonzero(mask), strict=True):
+        for o in itertools.product(range(-3, 4), repeat=3):
+            q = (k + o[0], j + o[1], i + o[2])
+            if sum(c * c for c in o) <= 9 and all(0 <= v < m for v, m in zip(q, mask.shape, strict=True)):
+                wide[q] = True
+    want = set()
+    for k, j, i in np.ndindex(mask.shape):
+        hit = total = 0.0
+        for o in itertools.product((-1, 0, 1), repeat=3):
+            q = (k + o[0], j + o[1], i + o[2])
+            if all(0 <= v < m for v, m in zip(q, mask.shape, strict=True)):
+                weight = 1 / (1 + sum(c * c for c in o))
+                total += weight
+                hit += weight * wide[q]
+        if hit / total >= 0.4 - 1e-12:
+            want.add((i, j, k))
+    got = {(r["x"], r["y"], r["z"]) for r in labels.interpolate_selection(marks, size).collect()}
+    assert len(got ^ want) <= 0.01 * len(want)  # lines may round a half the other way
+
+
+def test_tilted_planes(spark):
+    rng = np.random.default_rng(8)
+    p = [(i, *(float(v) for v in rng.random(3) * 100), float(4 + i % 9), i % 4) for i in range(120)]
+    pores = spark.createDataFrame(p, "id long, x double, y double, z double, radius double, connections long")
+    planes = sections.candidate_planes(pores, 50.0, 40.0, 2).cache()
+    assert planes.count() == 9 * 8
+    section = spark.createDataFrame([(1.0, 1), (2.0, 3), (2.5, 0)], "radius double, connections long")
+    got = {r["plane_id"]: (r["n"], r["score"]) for r in sections.match_scores(section, pores, planes).collect()}
+
+    def shares(r):
+        r = np.array(r)
+        at = (r - r.min()) / (r.max() - r.min()) if r.max() > r.min() else np.full(len(r), 0.5)
+        return np.bincount(np.minimum(4, (at * 5).astype(int)), minlength=5) / len(r)
+
+    checked = 0
+    for q in planes.collect():
+        n, u, v, c = (np.array(q[k]) for k in ("n", "u", "v", "c"))
+        assert abs(n @ u) < 1e-9 and (len(q["orientation"]) == 2 or abs(n @ v) < 1e-9)
+        cut = [r for r in p if abs((np.array(r[1:4]) - c) @ n) <= r[4] and abs((np.array(r[1:4]) - c) @ u) <= 25 and abs((np.array(r[1:4]) - c) @ v) <= 20]
+        if not cut:
+            assert q["plane_id"] not in got
+            continue
+        c3, c2 = np.mean([r[5] for r in cut]), 4 / 3
+        score = 100 * (0.2 * min(1, len(cut) / 3) + 0.4 * (1 - np.abs(shares([r[4] for r in cut]) - shares([1.0, 2.0, 2.5])).sum() / 5) + 0.4 * (1 - abs(c2 - c3) / max(c2, c3)))
+        assert got[q["plane_id"]][0] == len(cut) and abs(got[q["plane_id"]][1] - score) < 1e-6
+        checked += 1
+    assert checked > 40
+    assert sections.candidate_planes(pores, 500.0, 40.0).count() == 0
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("X Axis",), ("0,1,0",), ("",), (None,), ("nonsense",), ("0, 3, 4",)], "t string")
     assert [r[0] for r in df.select(fx.direction(F.col("t"))).collect()] == [[1, 0, 0], [0, 1, 0], [0, 0, 1], [0, 0, 1], None, [0, 0.6, 0.8]]

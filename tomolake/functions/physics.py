@@ -83,6 +83,12 @@ def elastic_energy(stress: Column, strain: Column, yield_stress: Column, youngs:
     return F.when(stress <= yield_stress, 0.5 * stress * strain).otherwise(0.5 * s * s / youngs)
 
 
+def plastic_energy(stress: Column, strain: Column, yield_stress: Column, youngs: Column) -> Column:
+    """The trapezoid under the curve beyond the yield strain; 0 up to it."""
+    beyond = strain - yield_stress / youngs
+    return F.when(beyond > 0, (yield_stress + stress) * 0.5 * beyond).otherwise(0.0)
+
+
 def mohr_coulomb_fails(s1: Column, s3: Column, cohesion: float, friction_degrees: float, tensile: float) -> Column:
     phi = radians(friction_degrees)
     return (s1 - s3 >= 2 * cohesion * cos(phi) + (s1 + s3) * sin(phi)) | (s3 <= -tensile)
@@ -109,6 +115,68 @@ def kinetic_energy(density: Column, vx: Column, vy: Column, vz: Column) -> Colum
     return 0.5 * density * (vx * vx + vy * vy + vz * vz)
 
 
+def strain_energy(stress: dict[str, Column], mu: Column) -> Column:
+    """Energy of the deviatoric stress (xx, yy, zz, xy, xz, yz) under a shear modulus, already lowered by any damage."""
+    mean = (stress["xx"] + stress["yy"] + stress["zz"]) / 3
+    normal = sum(((stress[k] - mean) * (stress[k] - mean) for k in ("xx", "yy", "zz")), F.lit(0.0))
+    shear = sum((stress[k] * stress[k] for k in ("xy", "xz", "yz")), F.lit(0.0))
+    return (0.5 * normal + shear) / (2 * mu)
+
+
+def velocity_from_density(density: Column, mean: Column, vp: float, dims: tuple[int, int, int]) -> Column:
+    """Vp scaled by the root of the density over the mean, falling by up to 10 % from the volume's centre to its corners."""
+    half = [n / 2 for n in dims]
+    far = F.sqrt(sum(((F.col(a) - h) * (F.col(a) - h) for a, h in zip("xyz", half, strict=True)), F.lit(0.0))) / sum(h * h for h in half) ** 0.5
+    return vp * F.sqrt(density / mean) * (1 - 0.1 * far)
+
+
+def chart_units(strain: Column, stress: Column) -> tuple[Column, Column]:
+    """Strain in thousandths and stress in tenths, truncated to whole numbers."""
+    return (strain * 1000).cast("long"), (stress * 10).cast("long")
+
+
+def total_mass(width: Column, height: Column, depth: Column, pixel_mm: Column, density: Column) -> tuple[Column, Column]:
+    """Volume (m3) and mass (kg) of a whole volume with pixels in mm."""
+    m = pixel_mm / 1000
+    volume = width * height * depth * m * m * m
+    return volume, volume * density
+
+
+#: Name, category and density (kg/m3) of common materials.
+DENSITIES = [
+    ("Air", "Gas", 1.225), ("Water", "Liquid", 1000.0), ("Seawater", "Liquid", 1025.0), ("Oil (light)", "Liquid", 850.0),
+    ("Wood (light)", "Organic", 300.0), ("Wood (dense)", "Organic", 900.0), ("PLA", "Plastic", 1250.0), ("ABS", "Plastic", 1050.0),
+    ("PVC", "Plastic", 1400.0), ("Quartz", "Mineral", 2650.0), ("Calcite", "Mineral", 2710.0), ("Feldspar", "Mineral", 2600.0),
+    ("Clay", "Mineral", 1800.0), ("Limestone", "Rock", 2500.0), ("Sandstone", "Rock", 2350.0), ("Granite", "Rock", 2700.0),
+    ("Basalt", "Rock", 3000.0), ("Aluminum", "Metal", 2700.0), ("Iron", "Metal", 7850.0), ("Steel", "Metal", 7800.0),
+    ("Copper", "Metal", 8960.0), ("Gold", "Metal", 19300.0), ("Diamond", "Dense Mineral", 3510.0), ("Pyrite", "Dense Mineral", 5000.0),
+    ("Hematite", "Dense Mineral", 5300.0),
+]
+
+#: Rock names, the density each line starts from, then start and slope of Young's modulus (from 0), Poisson's
+#: ratio, cohesion, friction angle and tensile strength. None: any other rock.
+ROCKS = [
+    (("limestone", "calcite"), 2500.0, (40000.0, 0.02), (0.25, 0.0001), (7.0, 0.012), (35.0, 0.005), (5.0, 0.005)),
+    (("sandstone", "quartz"), 2000.0, (15000.0, 0.015), (0.2, 0.0001), (3.0, 0.01), (30.0, 0.005), (2.0, 0.005)),
+    (("granite",), 2700.0, (50000.0, 0.02), (0.25, 0.0001), (15.0, 0.015), (45.0, 0.005), (8.0, 0.006)),
+    (("shale", "clay"), 2200.0, (8000.0, 0.012), (0.3, 0.0001), (1.5, 0.01), (20.0, 0.005), (0.8, 0.005)),
+    (None, 0.0, (25000.0, 0.015), (0.25, 0.0), (8.0, 0.003), (30.0, 0.001), (4.0, 0.001)),
+]
+
+
+def rock_properties(name: Column, density: Column) -> dict[str, Column]:
+    """youngs, poisson, cohesion, friction_angle and tensile (MPa, degrees) by a rock's name and density."""
+    out = {}
+    for i, k in enumerate(("youngs", "poisson", "cohesion", "friction_angle", "tensile")):
+        lines = {names: row[i] + (density - (0.0 if k == "youngs" else base)) * row[i + 5] for names, base, *pairs in ROCKS for row in [[p[0] for p in pairs] + [p[1] for p in pairs]]}
+        value = lines[None]
+        for names, line in lines.items():
+            if names:
+                value = F.when(F.lower(name).isin(*names), line).otherwise(value)
+        out[k] = value
+    return out | {"poisson": clamp(out["poisson"], 0.05, 0.45), "friction_angle": clamp(out["friction_angle"], 10, 60)}
+
+
 def measured_distance(x1: Column, y1: Column, x2: Column, y2: Column, pixel_size: float) -> Column:
     return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) * pixel_size
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import radians, tan
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomolake.operators.network import nearest_model
+from tomolake.functions.physics import chart_units, vp_vs_from_poisson
+from tomolake.operators.network import bracket, nearest_model
 from tomolake.operators.stats import linear_fit
 
 
@@ -68,19 +71,56 @@ def youngs_modulus(curve: DataFrame) -> DataFrame:
 
 
 def yield_strength(curve: DataFrame, offset: float = 0.002) -> DataFrame:
-    """Stress where the curve first crosses the elastic line moved by the offset, between two rows; else the greatest."""
+    """(test_id, yield_strength): stress where the curve first crosses the elastic line moved by the offset, between two rows;
+    else that of the first row at or beyond the proportional limit; else where the elastic line meets the tangent (over two
+    rows to each side) at the peak, in curves of ten rows with three to each side of it; else the greatest stress."""
     w = Window.partitionBy("test_id").orderBy("step")
     c = curve.join(youngs_modulus(curve), "test_id").withColumn("gap", F.col("stress") - F.col("youngs") * (F.col("axial") - offset))
-    c = c.withColumns({"gap0": F.lag("gap").over(w), "stress0": F.lag("stress").over(w)})
+    c = c.withColumns({"gap0": F.lag("gap").over(w), "stress0": F.lag("stress").over(w), "i": F.row_number().over(w) - 1, "slope": F.regr_slope("stress", "axial").over(w.rowsBetween(-2, 2))})
     cross = c.where("gap0 > 0 AND gap <= 0").groupBy("test_id").agg(F.min_by(F.col("stress0") + (F.col("stress") - F.col("stress0")) * F.col("gap0") / (F.col("gap0") - F.col("gap")), "step").alias("found"))
-    return c.groupBy("test_id").agg(F.max("stress").alias("top")).join(cross, "test_id", "left").select("test_id", F.coalesce("found", "top").alias("yield_strength"))
-
-
-def poisson_ratio(curve: DataFrame) -> DataFrame:
-    """Minus the slope of lateral on axial strain up to the proportional limit, within 0.05 and 0.49."""
-    c = curve.join(proportional_limit(curve), "test_id").where("axial <= limit")
-    fit = linear_fit(c, F.col("axial"), F.col("lateral"), "test_id")
-    return fit.select("test_id", F.least(F.greatest(-F.col("slope"), F.lit(0.05)), F.lit(0.49)).alias("poisson"))
+    limit = c.join(proportional_limit(curve), "test_id").where("axial >= limit").groupBy("test_id").agg(F.min_by("stress", "step").alias("at_limit"))
+    peak = c.groupBy("test_id").agg(F.max("stress").alias("top"), F.count("*").alias("n"), F.first("youngs").alias("youngs"), F.max_by(F.struct("axial", "stress", "slope", "i"), F.struct("stress", -F.col("step"))).alias("p"))
+    meets = F.try_divide(F.col("p.stress") - F.col("p.slope") * F.col("p.axial"), F.col("youngs") - F.col("p.slope"))
+    tangent = F.when((F.col("n") >= 10) & F.col("p.i").between(3, F.col("n") - 3) & meets.between(0, F.col("p.axial")), F.col("youngs") * meets)
+    positive = lambda x: F.when(x > 0, x)
+    found = peak.join(cross, "test_id", "left").join(limit, "test_id", "left")
+    return found.select("test_id", F.coalesce(positive(F.col("found")), positive(F.col("at_limit")), positive(tangent), "top").alias("yield_strength"))
+
+
+def bounded_yield(curve: DataFrame) -> DataFrame:
+    """yield_strength() as a calibration takes it: at least 0.8 of the peak of brittle tests, at most 0.6 of ductile ones'
+    (brittleness above 0.7, below 0.3), and within 0.0005 and 0.01 of the modulus."""
+    y, peak = F.col("yield_strength"), F.col("peak_stress")
+    y = F.when(F.col("brittleness") > 0.7, F.greatest(y, 0.8 * peak)).when(F.col("brittleness") < 0.3, F.least(y, 0.6 * peak)).otherwise(y)
+    both = yield_strength(curve).join(brittleness(curve), "test_id").join(youngs_modulus(curve), "test_id")
+    return both.select("test_id", F.greatest(F.col("youngs") * 0.0005, F.least(F.col("youngs") * 0.01, y)).alias("yield_strength"))
+
+
+def poisson_ratio(curve: DataFrame, tests: DataFrame | None = None, least_rows: int = 5) -> DataFrame:
+    """(test_id, poisson) of tests (test_id, confining, youngs, poisson, sigma1, sigma3; 0, the fit's, 0.25 and none by default).
+
+    Where lateral strains are known, minus their slope on axial ones up to the proportional limit; where only volumetric
+    ones are, from the bulk modulus (their slope of the mean stress) and the shear modulus; each within 0 and 0.499 and
+    from `least_rows` rows. Else by rules: the test's own ratio, less if it dilates, moved by brittleness and by the
+    stresses at failure.
+    """
+    c = curve.join(proportional_limit(curve), "test_id")
+    given = curve.select("test_id").distinct().join(tests, "test_id", "left") if tests is not None else curve.select("test_id", *[F.lit(None).cast("double").alias(x) for x in ("confining", "youngs", "poisson", "sigma1", "sigma3")]).distinct()
+    side = linear_fit(c.where("axial <= limit AND axial > 0"), F.col("axial"), -F.col("lateral"), "test_id").where(F.col("n") >= least_rows).select("test_id", F.col("slope").alias("side"))
+    bulk = c.join(given.select("test_id", "confining"), "test_id").where("abs(volumetric) <= limit AND volumetric <> 0")
+    bulk = linear_fit(bulk, F.col("volumetric"), F.coalesce("confining", F.lit(0.0)) + F.col("stress") / 3, "test_id").where(F.col("n") >= least_rows).select("test_id", F.col("slope").alias("bulk"))
+    known = curve.groupBy("test_id").agg(F.count("lateral").alias("laterals"))
+    t = given.join(known, "test_id").join(side, "test_id", "left").join(bulk, "test_id", "left").join(brittleness(curve), "test_id")
+    t = t.join(youngs_modulus(curve).select("test_id", F.col("youngs").alias("fitted")), "test_id").withColumn("own", F.coalesce("poisson", F.lit(0.25)))
+    shear = F.coalesce("youngs", "fitted") / (2 * (1 + F.col("own")))
+    moduli = F.when((F.col("bulk") > 0) & (shear > 0), (3 * F.col("bulk") - 2 * shear) / (6 * F.col("bulk") + 2 * shear))
+    rule = F.when(F.col("dilates"), 0.85 * F.col("own")).otherwise(F.col("own"))
+    rule = F.when(F.col("brittleness") > 0.7, F.least(rule, F.lit(0.25))).when(F.col("brittleness") < 0.3, F.greatest(rule, F.lit(0.3))).otherwise(rule)
+    ratio = (F.col("sigma1") - F.col("sigma3")) / F.greatest(F.lit(0.1), "sigma3")
+    rule = F.when(ratio > 5, F.least(rule, F.lit(0.2))).when(ratio < 2, F.greatest(rule, F.lit(0.35))).otherwise(rule)
+    measured = F.when(F.col("laterals") > 0, F.col("side")).otherwise(moduli)
+    within = lambda x, low: F.least(F.greatest(x, F.lit(low)), F.lit(0.499))
+    return t.select("test_id", F.coalesce(F.when(measured.isNotNull(), within(measured, 0.0)), within(rule, 0.05)).alias("poisson"))
 
 
 def brittleness(curve: DataFrame) -> DataFrame:
@@ -91,11 +131,92 @@ def brittleness(curve: DataFrame) -> DataFrame:
     return peak.join(after, "test_id").select("test_id", F.col("p.stress").alias("peak_stress"), F.col("p.axial").alias("peak_strain"), F.when(F.col("p.stress") > 0, drop).otherwise(0.0).alias("brittleness"), F.coalesce(drop >= 0.05, F.lit(False)).alias("softens"), (F.col("last_v") < F.col("top_v")).alias("dilates"))
 
 
-def mohr_coulomb(failures: DataFrame) -> DataFrame:
-    """Cohesion and friction angle (degrees) from the line through s = (s1 + s3) / 2, t = (s1 - s3) / 2 of three rows or
-    more, kept within 0.1..100 and 15..55."""
-    s, t = (F.col("sigma1") + F.col("sigma3")) / 2, (F.col("sigma1") - F.col("sigma3")) / 2
-    f = linear_fit(failures, s, t).where("n >= 3")
-    sin = F.least(F.greatest("slope", F.lit(-0.999)), F.lit(0.999))
-    phi = F.asin(sin)
-    return f.select("n", F.least(F.greatest(F.degrees(phi), F.lit(15.0)), F.lit(55.0)).alias("friction_angle"), F.least(F.greatest(F.col("intercept") / F.cos(phi), F.lit(0.1)), F.lit(100.0)).alias("cohesion"), "r2")
+def mohr_coulomb(failures: DataFrame, as_line: bool = False, brittle: float | None = None, tensile: float | None = None) -> DataFrame:
+    """Friction angle (degrees, within 15 and 55) and cohesion (within 0.1 and 100) from failures (sigma1, sigma3): one row.
+
+    Three rows or more: the line through s = (s1 + s3) / 2, t = (s1 - s3) / 2; its slope is the sine of the angle and its
+    intercept the cohesion times the cosine, or with as_line the angle's tangent and the cohesion themselves. With
+    as_line and an R2 below 0.9, both are those of the tangent to a power law at the mean s. Fewer rows: from the greatest
+    circle alone, moved by the test's brittleness and held above tensile / (2 cos) where a tensile strength is given.
+    """
+    r = failures.select(((F.col("sigma1") + F.col("sigma3")) / 2).alias("s"), ((F.col("sigma1") - F.col("sigma3")) / 2).alias("t")).where("s IS NOT NULL AND t IS NOT NULL")
+    f = linear_fit(r, F.col("s"), F.col("t"))
+    power = linear_fit(r, F.log(F.greatest(F.lit(0.01), "s")), F.log(F.greatest(F.lit(0.01), "t"))).select(F.exp("intercept").alias("a"), F.col("slope").alias("b"))
+    mean = r.agg(F.avg("s").alias("mean"), F.max_by("s", "t").alias("centre"), F.max("t").alias("radius"))
+    f = f.crossJoin(power).crossJoin(mean)  # a row each
+    if as_line:
+        tangent = F.col("b") * F.col("a") * F.pow("mean", F.col("b") - 1)
+        bent = (F.col("r2") < 0.9) & tangent.isNotNull()
+        phi = F.atan(F.when(bent, tangent).otherwise(F.col("slope")))
+        cohesion = F.when(bent, F.greatest(F.lit(0.0), F.col("a") * F.pow("mean", F.col("b")) - tangent * F.col("mean"))).otherwise(F.col("intercept"))
+    else:
+        phi = F.asin(F.least(F.greatest("slope", F.lit(-0.999)), F.lit(0.999)))
+        cohesion = F.col("intercept") / F.cos(phi)
+    sine = F.col("radius") / (F.col("centre") + 0.1 * F.col("radius"))
+    alone = F.asin(F.least(F.lit(1.0), sine))
+    single = (F.col("radius") - F.col("centre") * sine) / F.greatest(F.cos(alone), F.lit(1e-9))
+    turn = 1.1 if brittle is not None and brittle > 0.7 else 0.9 if brittle is not None and brittle < 0.3 else 1.0
+    single, angle = single * (2 - turn), F.degrees(alone) * turn
+    if tensile is not None:
+        single = F.greatest(single, tensile / (2 * F.greatest(F.cos(alone), F.lit(1e-9))))
+    many = F.col("n") >= 3
+    out = f.select("n", F.when(many, F.degrees(phi)).otherwise(angle).alias("angle"), F.when(many, cohesion).otherwise(single).alias("c"), "r2")
+    return out.where("n > 0").select("n", F.least(F.greatest("angle", F.lit(15.0)), F.lit(55.0)).alias("friction_angle"), F.least(F.greatest("c", F.lit(0.1)), F.lit(100.0)).alias("cohesion"), "r2")
+
+
+def tension_cutoff(tensile_tests: DataFrame, cohesion: float, friction_degrees: float) -> DataFrame:
+    """(cutoff): whether measured tensile strengths (strength) average below 0.8 of cohesion / tan(angle); null without any."""
+    return tensile_tests.agg((F.avg("strength") < 0.8 * cohesion / tan(radians(friction_degrees))).alias("cutoff"))
+
+
+def state_curve(particles: DataFrame, boxes: DataFrame, confining: float = 0.0, quantize: bool = False) -> DataFrame:
+    """(test_id, step, axial, lateral, volumetric, stress) from states of particles (test_id, step, particle, y, volume, solid,
+    force) and of their box (test_id, step, width, height, volume).
+
+    Stress is the mean of force over volume of the solid ones, or the confining pressure without any. Axial strain is their
+    mean rise since the first state, over its height; lateral and volumetric are the box's. quantize truncates strain
+    to thousandths and stress to tenths.
+    """
+    first = F.min("step").over(Window.partitionBy("test_id"))
+    p = particles.where("solid").withColumn("first", first)
+    start = p.where("step = first").select("test_id", "particle", F.col("y").alias("y0"))
+    moved = p.join(start, ["test_id", "particle"], "left").groupBy("test_id", "step").agg(F.avg(F.col("force") / F.col("volume")).alias("stress"), F.avg(F.col("y") - F.col("y0")).alias("rise"))
+    b = boxes.withColumn("first", first)
+    at = b.where("step = first").select("test_id", *[F.col(c).alias(f"{c}0") for c in ("width", "height", "volume")])
+    c = b.join(at, "test_id").join(moved, ["test_id", "step"], "left")
+    axial, stress = F.coalesce(F.try_divide(F.col("rise"), F.col("height0")), F.lit(0.0)), F.coalesce("stress", F.lit(confining))
+    if quantize:
+        axial, stress = chart_units(axial, stress)
+        axial, stress = axial / 1000, stress / 10
+    return c.select("test_id", "step", axial.alias("axial"), ((F.col("width") - F.col("width0")) / F.col("width0")).alias("lateral"), ((F.col("volume") - F.col("volume0")) / F.col("volume0")).alias("volumetric"), stress.alias("stress"))
+
+
+def predict_by_density(wanted: DataFrame, points: DataFrame, kind: str) -> DataFrame:
+    """wanted (density) with the property interpolated between the calibration points of the densities around it.
+
+    Beyond the ends it is the end's; points of one density count as their mean. kind youngs, or poisson: from points
+    with a ratio within 0 and 0.5, within 0 and 0.49, and 0.25 where there are fewer than two.
+    """
+    good = points.where("poisson > 0 AND poisson < 0.5 AND NOT isnan(poisson)") if kind == "poisson" else points
+    knots = good.where(F.col(kind).isNotNull()).select(F.col("density").alias("x"), F.col(kind).cast("double").alias("y"))
+    found = bracket(wanted, knots, "density").withColumnRenamed("interpolated", kind)
+    if kind != "poisson":
+        return found
+    enough = knots.agg((F.count("*") >= 2).alias("enough"))
+    clamped = F.least(F.greatest(kind, F.lit(0.0)), F.lit(0.49))
+    return found.crossJoin(F.broadcast(enough)).withColumn(kind, F.when(F.col("enough"), clamped).otherwise(0.25)).drop("enough")
+
+
+def predict_vp_vs(wanted: DataFrame, points: DataFrame, default_poisson: float = 0.25) -> DataFrame:
+    """wanted (id, density, pressure_mpa) with vp_vs from the two points nearest in density within 1 MPa.
+
+    Between the two by density, held at their values beyond; one point's own; without any the ratio of default_poisson. Points
+    meet by whole MPa, so the range join is an equi-join.
+    """
+    w = wanted.withColumn("cell", F.explode(F.array(*[F.floor("pressure_mpa") + i for i in (-1, 0, 1)])))
+    p = points.select(F.floor("pressure_mpa").alias("cell"), F.col("pressure_mpa").alias("p"), F.col("density").alias("d"), F.col("vp_vs").alias("r"), F.col("id").alias("point"))
+    met = w.join(p, "cell").where(F.abs(F.col("p") - F.col("pressure_mpa")) <= 1).withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy(F.abs(F.col("d") - F.col("density")), "point"))).where("i <= 2")
+    two = met.groupBy("id").agg(*[F.max(F.when(F.col("i") == k, F.struct("d", "r"))).alias(f"p{k}") for k in (1, 2)])
+    t = F.coalesce(F.try_divide(F.col("density") - F.col("p1.d"), F.col("p2.d") - F.col("p1.d")), F.lit(0.0))
+    found = F.col("p1.r") + F.coalesce(F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)) * (F.col("p2.r") - F.col("p1.r")), F.lit(0.0))
+    return wanted.join(two, "id", "left").withColumn("vp_vs", F.coalesce(found, vp_vs_from_poisson(F.lit(default_poisson)))).drop("p1", "p2")

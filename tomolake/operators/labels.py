@@ -89,7 +89,11 @@ def next_free_id(materials: DataFrame) -> DataFrame:
 
 def add_material(materials: DataFrame, name: str, low: int, high: int) -> DataFrame:
     free = next_free_id(materials).select(F.col("next_id").alias("id"), F.lit(name).alias("name"), F.lit(low).cast("long").alias("min"), F.lit(high).cast("long").alias("max"), F.lit(False).alias("is_exterior"), F.lit(1000.0).alias("density"), F.lit(True).alias("is_visible"))
-    return materials.unionByName(free.where("id IS NOT NULL"))
+    return materials.unionByName(free.where("id IS NOT NULL"), allowMissingColumns=True)
+
+
+def rename_material(materials: DataFrame, material: int, name: str) -> DataFrame:
+    return materials.withColumn("name", F.when(F.col("id") == material, F.lit(name)).otherwise(F.col("name")))
 
 
 def apply_ranges(voxels: DataFrame, materials: DataFrame) -> DataFrame:
@@ -123,9 +127,9 @@ def fill_between(marks: DataFrame, axis: str = "z") -> DataFrame:
 
 
 def fan_lines(marks: DataFrame, axis: str = "z") -> DataFrame:
-    """Lines from each marked place of a slice to the centroid of the next marked slice, and from there back.
+    """Lines between each marked place of a slice and the centroids of the marked slices before and after.
 
-    A line has one place for each step along its longest side, coordinates truncated.
+    A line has one place for each step along its longest side, coordinates rounded, halves to even.
     """
     others = [c for c in "xyz" if c != axis]
     centre = marks.groupBy("volume_id", axis).agg(*[F.floor(F.avg(c)).cast("long").alias(f"c_{c}") for c in others])
@@ -136,7 +140,7 @@ def fan_lines(marks: DataFrame, axis: str = "z") -> DataFrame:
         lines = marks.join(ends, ["volume_id", axis])
         n = F.greatest(*[F.abs(F.col(f"e_{c}") - F.col(c)) for c in "xyz"])
         points = lines.withColumn("__n", n).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), "__n")))
-        at = [(F.col(c) + F.when(F.col("__n") == 0, 0).otherwise(((F.col(f"e_{c}") - F.col(c)) * F.col("__i") / F.col("__n")).cast("long"))).alias(c) for c in "xyz"]
+        at = [F.when(F.col("__n") == 0, F.col(c)).otherwise(F.bround(F.col(c) + F.round((F.col(f"e_{c}") - F.col(c)) * F.col("__i") / F.col("__n"), 9)).cast("long")).alias(c) for c in "xyz"]
         part = points.select("volume_id", *at)
         out = part if out is None else out.unionByName(part)
     return out.distinct()
@@ -153,6 +157,38 @@ def dilate(mask: DataFrame, radius: int, dims: Sequence[int]) -> DataFrame:
     return out.distinct()
 
 
+def interpolate_selection(marks: DataFrame, dims: Sequence[int], axis: str = "z") -> DataFrame:
+    """The places between marked slices: lines to the neighbours' centroids, one thick (two between centroids), then with
+    the marks widened by 3 and smoothed over 3-cubes at 0.4. Two marked slices are needed for more than the marks' own."""
+    others = [c for c in "xyz" if c != axis]
+    centroids = marks.groupBy("volume_id", axis).agg(*[F.floor(F.avg(c)).cast("long").alias(c) for c in others]).select(KEY)
+    lines = dilate(fan_lines(marks, axis), 1, dims).unionByName(dilate(fan_lines(centroids, axis), 2, dims))
+    whole = marks.select(KEY).unionByName(lines).distinct()
+    return smooth_mask(dilate(whole, 3, dims), 3, 0.4, dims)
+
+
+def apply_mask(voxels: DataFrame, mask: DataFrame, material: int) -> DataFrame:
+    """Places of the mask get the material."""
+    hit = mask.select(*KEY, F.lit(True).alias("__hit")).distinct()
+    return relabel(voxels.join(hit, KEY, "left"), F.col("__hit").isNotNull(), material).drop("__hit")
+
+
+def subtract_mask(voxels: DataFrame, mask: DataFrame, material: int) -> DataFrame:
+    """Places of the mask that carry the material become exterior."""
+    hit = mask.select(*KEY, F.lit(True).alias("__hit")).distinct()
+    return relabel(voxels.join(hit, KEY, "left"), F.col("__hit").isNotNull() & (F.col("label") == material), 0).drop("__hit")
+
+
+def smooth_map(maps: DataFrame, passes: int = 1) -> DataFrame:
+    """Each pixel of maps (map_id, x, y, value) as the whole mean of the 3 x 3 around it that exist, `passes` times."""
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    m = maps.select("map_id", "x", "y", "value")
+    for _ in range(passes):
+        sent = m.select("map_id", "value", F.explode(offsets).alias("o"), "x", "y").select("map_id", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"), F.col("value").alias("near"))
+        m = m.join(sent, ["map_id", "x", "y"]).groupBy("map_id", "x", "y").agg(F.floor(F.avg("near") + 1e-9).cast("long").alias("value"))
+    return m
+
+
 def smooth_mask(mask: DataFrame, k: int, level: float, dims: Sequence[int]) -> DataFrame:
     """Places whose share of mask around them, weighted 1 / (1 + d2), reaches the level; outside places don't count.
 

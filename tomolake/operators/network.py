@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tomolake.functions import physics as fx
 from tomolake.operators.graph import connected_components, shortest_paths
-from tomolake.operators.stats import MILLIDARCY
+from tomolake.operators.stats import MILLIDARCY, kozeny_carman
+from tomolake.sources.shared import written
 
 NEAREST = 6
+SIDE_BINS = 1024
 
 
 def pores_from_particles(particles: DataFrame, areas: DataFrame, pixel_size: float) -> DataFrame:
@@ -62,12 +64,19 @@ def nearest_lists(pairs: DataFrame, k: int = NEAREST) -> DataFrame:
 def throats(pores: DataFrame, k: int = NEAREST) -> DataFrame:
     """Throats in order of the lower pore's id and its ranks, each pore keeping at most k.
 
-    A pair is a candidate if the higher pore is on the lower one's list. The cap depends on what was taken before, so
-    candidates run through it in order, separately for each component of the candidate graph (components are
-    independent). Radius is 0.4 of the smaller pore's, length what is between the spheres, at least 0.1.
+    A pair is a candidate if the higher pore is on the lower one's list. Only a pore with more than k candidates can be
+    full, so candidates between others are throats at once. The rest run through the cap in order, a group for each set of
+    such crowded pores that candidates connect: sets don't bear on each other. Radius is 0.4 of the smaller pore's,
+    length what is between the spheres, at least 0.1.
     """
-    lists = nearest_lists(connectable_pairs(pores), k).where("id < other")
-    roots = connected_components(lists.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    lists = written(nearest_lists(connectable_pairs(pores), k).where("id < other"), "candidates")
+    crowded = lists.select(F.explode(F.array("id", "other")).alias("pore")).groupBy("pore").count().where(F.col("count") > k).select("pore")
+    for end in ("id", "other"):
+        lists = lists.join(crowded.select(F.col("pore").alias(end), F.lit(True).alias(f"full_{end}")), end, "left")
+    lists = written(lists, "crowded")
+    free = lists.where("full_id IS NULL AND full_other IS NULL").select(F.col("id").alias("pore1"), F.col("other").alias("pore2"), "distance", F.least("r_id", "r_other").alias("small"), (F.col("r_id") + F.col("r_other")).alias("both"))
+    lists = lists.where("full_id IS NOT NULL OR full_other IS NOT NULL").withColumn("via", F.coalesce(F.when(F.col("full_id"), F.col("id")), "other"))
+    roots = connected_components(lists.where("full_id AND full_other").select(F.col("id").alias("a"), F.col("other").alias("b")))
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         degree: dict[int, int] = {}
@@ -78,8 +87,8 @@ def throats(pores: DataFrame, k: int = NEAREST) -> DataFrame:
                 kept.append((r.id, r.other, r.distance, min(r.r_id, r.r_other), r.r_id + r.r_other))
         return pd.DataFrame(kept, columns=["pore1", "pore2", "distance", "small", "both"])
 
-    named = lists.join(roots, F.col("id") == F.col("node")).drop("node")
-    t = named.groupBy("root").applyInPandas(take, "pore1 long, pore2 long, distance double, small double, both double")
+    named = lists.join(roots, F.col("via") == F.col("node"), "left").withColumn("root", F.coalesce("root", "via"))
+    t = free.unionByName(named.groupBy("root").applyInPandas(take, "pore1 long, pore2 long, distance double, small double, both double"))
     radius, length = 0.4 * F.col("small"), F.greatest(F.lit(0.1), F.col("distance") - F.col("both"))
     return t.select("pore1", "pore2", "distance", radius.alias("radius"), length.alias("length"), (pi * radius * radius * length).alias("volume"))
 
@@ -99,14 +108,35 @@ def clusters(pores: DataFrame, edges: DataFrame) -> DataFrame:
 
 def inlets_outlets(pores: DataFrame, share: float = 0.1) -> DataFrame:
     """The lowest and highest tenth of pores by z (one at least), as (id, side)."""
-    n = max(1, int(pores.count() * share))
-    low = pores.orderBy("z", "id").limit(n).select("id", F.lit("inlet").alias("side"))
-    return low.unionByName(pores.orderBy(F.desc("z"), F.desc("id")).limit(n).select("id", F.lit("outlet").alias("side")))
+    s = pores.agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).first()
+    n = max(1, int(s["n"] * share))
+    if s["low"] is None:
+        return pores.select("id", F.lit("inlet").alias("side")).limit(0)
+    # The tenth ends within one of many bins of z: all of the bins before belong to it, and only that bin is ranked.
+    width = (s["high"] - s["low"]) / SIDE_BINS or 1.0
+    binned = pores.select("id", "z", F.least(F.lit(SIDE_BINS - 1), F.floor((F.col("z") - s["low"]) / width)).alias("bin"))
+    sizes = {r["bin"]: r["count"] for r in binned.groupBy("bin").count().collect()}
+    parts = []
+    for side, order, bins in (("inlet", [F.asc("z"), F.asc("id")], sorted(sizes)), ("outlet", [F.desc("z"), F.desc("id")], sorted(sizes, reverse=True))):
+        left, whole = n, []
+        for last in bins:
+            if sizes[last] >= left:
+                break
+            whole.append(last)
+            left -= sizes[last]
+        before = F.col("bin") < last if side == "inlet" else F.col("bin") > last
+        ranked = binned.where(F.col("bin") == last).withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy(*order))).where(F.col("rank") <= left)
+        parts.append(binned.where(before).select("id").unionByName(ranked.select("id")).select("id", F.lit(side).alias("side")))
+    return parts[0].unionByName(parts[1])
 
 
 def closest_between(a: DataFrame, b: DataFrame, start: float) -> DataFrame:
-    """The closest pair of points between two sets: cells of a doubling edge until one holds a pair."""
-    reach = start
+    """The closest pair of points between two sets: cells of a doubling edge until one holds a pair.
+
+    No row where a set has no point with coordinates: once cells are wider than all points together, none can be left.
+    """
+    ends = a.select(*"xyz").unionByName(b.select(*"xyz")).agg(*[(F.max(x) - F.min(x)).alias(x) for x in "xyz"]).first()
+    reach, widest = max(start, 1e-9), sum(ends[x] or 0.0 for x in "xyz")
     while True:
         cells = {f"c{x}": F.floor(F.col(x) / reach) for x in "xyz"}
         left = a.withColumns(cells)
@@ -116,7 +146,7 @@ def closest_between(a: DataFrame, b: DataFrame, start: float) -> DataFrame:
         d = F.sqrt(sum(((F.col(x) - F.col(f"{x}2")) * (F.col(x) - F.col(f"{x}2")) for x in "xyz"), F.lit(0.0)))
         met = left.join(right, ["cx", "cy", "cz"]).select("id", "id2", "radius", "r2", d.alias("distance")).where(F.col("distance") <= reach)
         best = met.orderBy("distance", "id", "id2").limit(1)
-        if not best.isEmpty():
+        if reach > widest or not best.isEmpty():
             return best
         reach *= 2
 
@@ -158,9 +188,8 @@ def axis_tortuosity(pores: DataFrame, edges: DataFrame, axis: str) -> DataFrame:
     s = pores.agg((F.max(axis) - F.min(axis)).alias("straight"), F.count("*").alias("n"))
     mean = edges.agg(F.count("*").alias("m"))
     kept = ends.crossJoin(F.broadcast(s)).where("distance >= straight AND distance < 15 * straight AND straight > 0")
-    w = Window.orderBy("distance")
-    total = kept.agg(F.count("*").alias("k"))
-    middle = kept.select("distance", "straight", F.row_number().over(w).alias("i")).crossJoin(F.broadcast(total)).where("i = floor(k / 2) + 1")
+    # Falling order makes it the upper one of two middles; paths of equal length are counted before they meet.
+    middle = kept.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY distance DESC)").alias("distance"), F.max("straight").alias("straight"))
     c = s.crossJoin(mean).select(F.when(F.col("n") > 0, 2.0 * F.col("m") / F.col("n")).otherwise(0.0).alias("c"))
     top = F.when(F.col("c") < 2, 11.0).when(F.col("c") < 3, 8.0).when(F.col("c") < 4, 6.5).otherwise(5.0)
     out = c.join(middle, how="left")
@@ -174,6 +203,13 @@ def tortuosity(pores: DataFrame, edges: DataFrame) -> DataFrame:
     return axes.agg(F.avg("tortuosity").alias("mean")).crossJoin(n).select(F.when(F.col("m") == 0, 1.0).otherwise(F.coalesce("mean", F.lit(float("inf")))).alias("tortuosity"))
 
 
+def network_tortuosity(pores: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of a network: its pores, throats (also those that join its clusters along the flow) and tortuosity."""
+    joined = written(enforce_flow_path(pores, edges), "flow_path")
+    n = pores.agg(F.count("*").alias("pores")).crossJoin(joined.agg(F.count("*").alias("throats")))  # a row each
+    return n.crossJoin(tortuosity(pores, joined))
+
+
 def flow_permeability(pores: DataFrame, edges: DataFrame, pressures: DataFrame, viscosity: float, axis: str = "x") -> DataFrame:
     """Darcy permeability from given pressures (pore_id, pressure): conductances, flows, inlet sum, length and area.
 
@@ -297,3 +333,17 @@ def axial_pressures(pores: DataFrame, axis: str, inlet: float, outlet: float, re
     t = F.coalesce(F.try_divide(F.col(axis) - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
     bend = 1 + 0.2 * reynolds * 4 * t * (1 - t) if reynolds > 0.1 else F.lit(1.0)
     return pores.crossJoin(F.broadcast(ends)).select("id", ((inlet - t * abs(inlet - outlet)) * bend).alias("pressure"))
+
+
+def permeability_comparison(pores: DataFrame, edges: DataFrame, pressures: DataFrame, viscosity: float, density: float, tortuosity: float, axis: str = "x") -> DataFrame:
+    """(method, permeability, corrected), in darcy: from flows under the given pressures, from Forchheimer's law at their mean
+    gradient in the mean throat, and by Kozeny-Carman; corrected by the square of a tortuosity above 0."""
+    flow = flow_permeability(pores, edges, pressures, viscosity, axis)
+    side = lambda a: F.max(F.col(a) + F.col("radius")) - F.min(F.col(a) - F.col("radius"))
+    box = pores.agg((side("x") * side("y") * side("z")).alias("volume"), F.sum("volume").alias("pores")).first()
+    solid = float(box["volume"] or 1.0)
+    sample = flow.select((F.col("drop") / F.col("length")).alias("gradient"), (F.col("permeability") * MILLIDARCY).alias("permeability")).crossJoin(edges.agg((F.avg("radius") * 1e-6).alias("throat_radius")))
+    sample = sample.withColumn("porosity", F.lit(float(box["pores"] or 0.0) / solid))
+    rows = [flow.select(F.lit("darcy").alias("method"), "permeability"), apparent_permeability(sample, viscosity, density).select(F.lit("forchheimer").alias("method"), (F.col("apparent") / MILLIDARCY).alias("permeability")), kozeny_carman(pores, edges, solid).select(F.lit("kozeny_carman").alias("method"), (F.col("permeability") * 1e-12 / MILLIDARCY).alias("permeability"))]
+    corrected = F.col("permeability") / (tortuosity * tortuosity) if tortuosity > 0 else F.col("permeability")
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("corrected", corrected)

@@ -27,6 +27,18 @@ def local_maxima(profile: DataFrame, key: list[str], order: str, value: str = "v
     return profile.withColumn("is_peak", F.coalesce((F.col(value) > F.lag(value).over(w)) & (F.col(value) > F.lead(value).over(w)), F.lit(False)))
 
 
+def local_minima(profile: DataFrame, key: list[str], order: str, value: str = "v") -> DataFrame:
+    w = Window.partitionBy(*key).orderBy(order)
+    return profile.withColumn("is_trough", F.coalesce((F.col(value) < F.lag(value).over(w)) & (F.col(value) < F.lead(value).over(w)), F.lit(False)))
+
+
+def dark_peaks(profile: DataFrame, key: list[str], order: str, prominence: float, distance: int, value: str = "v", mirrored: bool = False) -> DataFrame:
+    """peaks() of the profile turned over: -value, or mirrored within its own range (max - value + min)."""
+    w = Window.partitionBy(*key)
+    over = F.max(value).over(w) - F.col(value) + F.min(value).over(w) if mirrored else -F.col(value)
+    return peaks(profile.select(*key, order, over.alias(value)), key, order, prominence, distance, value)
+
+
 def peaks(profile: DataFrame, key: list[str], order: str, prominence: float, distance: int, value: str = "v") -> DataFrame:
     """Local maxima that stand out by the prominence (or by half of a positive height), at least `distance` apart, the
     higher first. Spacing is decided in order of height, so each profile is one group; profiles have an axis's length."""

@@ -13,8 +13,9 @@ MILLIDARCY = 9.869233e-13  # m2 in a darcy, as the unit used for results
 
 def material_statistics(voxels: DataFrame, materials: DataFrame, pixel_size: float) -> DataFrame:
     """Per material, also those without voxels: count, volume in um3, mm3, cm3, percent of all voxels."""
-    n = voxels.groupBy(F.col("label").alias("id")).agg(F.count("*").alias("n"))
-    total = voxels.agg(F.count("*").alias("total"))
+    counts = voxels.groupBy(F.col("label").alias("id")).agg(F.count("*").alias("n"))
+    n = counts.where("id IS NOT NULL")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     s = materials.select("id", "name").join(n, "id", "left").crossJoin(F.broadcast(total)).withColumn("voxel_count", F.coalesce("n", F.lit(0)))
     cube = pixel_size**3
     return s.select("id", "name", "voxel_count", (F.col("voxel_count") * (cube * 1e18)).alias("volume_um3"), (F.col("voxel_count") * (cube * 1e9)).alias("volume_mm3"), (F.col("voxel_count") * (cube * 1e6)).alias("volume_cm3"), (F.when(F.col("total") > 0, 100.0 * F.col("voxel_count") / F.col("total")).otherwise(0.0)).alias("percent"))
@@ -41,6 +42,21 @@ def gray_statistics(voxels: DataFrame, *by: str) -> DataFrame:
     return voxels.groupBy(*by).agg(F.min("gray").alias("min_gray"), F.max("gray").alias("max_gray"), F.avg("gray").alias("mean_gray"), F.count("*").alias("n"))
 
 
+def material_mean(voxels: DataFrame, materials: DataFrame, value: str = "gray", default: float = 1000.0) -> DataFrame:
+    """(id, mean) of every material, the default where it has no voxels."""
+    m = voxels.groupBy(F.col("label").alias("id")).agg(F.avg(value).alias("mean"))
+    return materials.select("id").join(m, "id", "left").withColumn("mean", F.coalesce("mean", F.lit(default)))
+
+
+PARTICLE_ORDERS = {"largest": [F.desc, "voxel_count"], "smallest": [F.asc, "voxel_count"], "first": [F.asc, "component"], "last": [F.desc, "component"]}
+
+
+def top_particles(particles: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n particles by count or by id, falling or rising; of equal ones the least id."""
+    direction, column = PARTICLE_ORDERS[order]
+    return particles.orderBy(direction(column), "volume_id", "component").limit(n)
+
+
 def region_mean(voxels: DataFrame, z: int, low: Sequence[int], high: Sequence[int], default: float = 128.0) -> DataFrame:
     """Mean gray of a half-open rectangle of a slice, the default where it is empty."""
     inside = (F.col("z") == z) & F.col("x").between(low[0], high[0] - 1) & F.col("y").between(low[1], high[1] - 1)

@@ -179,8 +179,9 @@ def non_local_means(voxels: DataFrame, template: int, search: int, strength: flo
     return halo(voxels, kernel, search + template, dims, d, flat=flat)
 
 
-def white_top_hat(voxels: DataFrame, radius: int, dims: Sequence[int], d: int = 64) -> DataFrame:
-    """Value less its opening by a disk, by slice; places beyond the slice don't count."""
+def white_top_hat(voxels: DataFrame, radius: int, dims: Sequence[int], d: int = 64, value: str = "gray", absent: bool = False) -> DataFrame:
+    """Value less its opening by a disk, by slice; places beyond the slice don't count, with `absent` nor those without a row
+    (values are above 0 then)."""
     disk = [(j, i) for j in range(-radius, radius + 1) for i in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
 
     def kernel(b: np.ndarray) -> np.ndarray:
@@ -188,19 +189,19 @@ def white_top_hat(voxels: DataFrame, radius: int, dims: Sequence[int], d: int =
             n, m = x.shape[1] - 2 * radius, x.shape[2] - 2 * radius
             return f([x[:, j + radius : j + radius + n, i + radius : i + radius + m] for j, i in disk], axis=0)
 
-        outside = b < 0
+        outside = b <= 0 if absent else b < 0
         low = part(np.where(outside, np.inf, b), np.min)
         low[outside[:, radius:-radius, radius:-radius]] = -np.inf
         return b[:, 2 * radius : -2 * radius, 2 * radius : -2 * radius] - part(low, np.max)
 
-    return halo(voxels, kernel, 2 * radius, dims, d, flat=True, pad=-1)
+    return halo(voxels, kernel, 2 * radius, dims, d, value, flat=True, pad=-1)
 
 
-def row_gaussian(voxels: DataFrame, sigma: float) -> DataFrame:
+def row_gaussian(voxels: DataFrame, sigma: float, value: str = "gray") -> DataFrame:
     """Gaussian along x over the row's own places, weights renormalised at its ends (join form)."""
     r = max(1, int(3 * sigma))
     w = [(i, float(np.exp(-i * i / (2 * sigma * sigma)))) for i in range(-r, r + 1)]
-    return joined(voxels, [((i, 0, 0), v) for i, v in w], lambda v, w: F.sum(v * w) / F.sum(w))
+    return joined(voxels, [((i, 0, 0), v) for i, v in w], lambda v, w: F.sum(v * w) / F.sum(w), value)
 
 
 def joined(voxels: DataFrame, offsets: Sequence[tuple[tuple[int, int, int], float]], result: Callable[[Column, Column], Column], value: str = "gray", dims: Sequence[int] | None = None) -> DataFrame:

@@ -50,6 +50,30 @@ def inside_cylinder(centre: Sequence[float], radius: float, length: float, axis:
     return (square <= radius * radius) & (F.abs(F.col(axis) - at[axis]) <= length / 2)
 
 
+def of_view(measurements: DataFrame, view: str, at: int) -> DataFrame:
+    """Measurements or annotations (view, slice) drawn on one slice of a view."""
+    return measurements.where((F.col("view") == view) & (F.col("slice") == at))
+
+
+def by_id(rows: DataFrame, *ids: int) -> DataFrame:
+    return rows.where(F.col("id").isin(*ids))
+
+
+def annotations_of_slice(annotations: DataFrame, z: int | None = None, kind: str | None = None) -> DataFrame:
+    """Annotations (x, y, z, type) of a slice or all, of one kind (Point, Box) or any."""
+    out = annotations if z is None else annotations.where(F.col("z") == z)
+    return out if kind is None else out.where(F.col("type") == kind)
+
+
+def set_pixel_size(volumes: DataFrame, volume_id: int, pixel_size: float) -> DataFrame:
+    """volumes with another scale for one of them; units are worked out from it when asked for."""
+    return volumes.withColumn("pixel_size", F.when(F.col("volume_id") == volume_id, F.lit(float(pixel_size))).otherwise(F.col("pixel_size")))
+
+
+def blank_labels(voxels: DataFrame) -> DataFrame:
+    return voxels.withColumn("label", F.lit(0).cast("long"))
+
+
 def crop(voxels: DataFrame, low: Sequence[int], high: Sequence[int]) -> DataFrame:
     """Half-open box."""
     for axis, a, b in zip("xyz", low, high, strict=True):

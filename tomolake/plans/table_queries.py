@@ -106,7 +106,7 @@ def j11_nearest_sample(spark: S, d: str) -> D:
     return network.nearest_sample(p.where("id % 2 = 1").select("id", "x", "y", "z"), samples, 40.0, 1000.0).select("id", "density")
 
 
-@query()
+@query(f"WITH {PORES}, c AS (SELECT p.id, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS d2, q.radius AS r, row_number() OVER (PARTITION BY p.id ORDER BY (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z), q.x, q.y, q.z) AS i FROM pores p JOIN pores q ON p.id % 2 = 1 AND q.id % 2 = 0 AND abs(p.x - q.x) <= 60 AND abs(p.y - q.y) <= 60 AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 3600), b AS (SELECT id, coalesce(max(CASE WHEN d2 = 0 THEN r END), sum(CASE WHEN d2 > 0 THEN r / d2 END) / sum(CASE WHEN d2 > 0 THEN 1 / d2 END)) AS density FROM c WHERE i <= 5 GROUP BY id) SELECT p.id, round(coalesce(density, 1000), 6) AS density FROM pores p LEFT JOIN b ON b.id = p.id WHERE p.id % 2 = 1")
 def j12_interpolated_sample(spark: S, d: str) -> D:
     p = fix.pores(spark, d)
     samples = p.where("id % 2 = 0").select("x", "y", "z", F.col("radius").alias("density"))
@@ -144,11 +144,11 @@ def k02_pressure_models(spark: S, d: str) -> D:
     return m.withColumn("young_intercept", F.round("young_intercept", 4))
 
 
-@query()
+@query(f"WITH {POINTS}, md AS (SELECT pressure_mpa AS pressure, regr_slope(youngs, density) AS a, regr_intercept(youngs, density) AS b FROM pts GROUP BY ALL HAVING count(*) >= 2), w AS (SELECT pressure_mpa + 0.3 AS target, density AS x FROM pts), n AS (SELECT target, arg_min(pressure, (abs(pressure - target), pressure)) AS pressure FROM (SELECT DISTINCT target FROM w), md GROUP BY target) SELECT w.target, round(x, 6) AS x, round(coalesce(a * x + b, 0), 3) AS predicted FROM w JOIN n USING (target) JOIN md USING (pressure)")
 def k03_predictions(spark: S, d: str) -> D:
     """K03 and J15."""
     p = fix.calibration(spark, d)
-    return calibrate.predict(p.select((F.col("pressure_mpa") + 0.3).alias("target"), F.col("density").alias("x")), calibrate.pressure_models(p), "young")
+    return calibrate.predict(p.select((F.col("pressure_mpa") + 0.3).alias("target"), F.col("density").alias("x")), calibrate.pressure_models(p), "young").withColumn("predicted", F.round("predicted", 3))
 
 
 @query(f"WITH {POINTS} SELECT count(*) AS n, {FIT.format(x='log10(sim_t2)', y='log10(ref_t2)')}, round(sqrt(var_pop(log10(ref_t2)) - pow(covar_pop(log10(ref_t2), log10(sim_t2)), 2) / var_pop(log10(sim_t2))), 6) AS rmse FROM pts")
@@ -161,9 +161,9 @@ def k05_amplitude_calibration(spark: S, d: str) -> D:
     return calibrate.amplitude_calibration(fix.calibration(spark, d))
 
 
-@query(f"WITH {SERIES}, w AS (SELECT *, avg(abs(v)) OVER (PARTITION BY series_id ORDER BY step ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS e0 FROM series), " + ", ".join(f"w{i} AS (SELECT *, coalesce((lag(e{i - 1}) OVER s + 2 * e{i - 1} + lead(e{i - 1}) OVER s) / 4, e{i - 1}) AS e{i} FROM {'w' if i == 1 else f'w{i - 1}'} WINDOW s AS (PARTITION BY series_id ORDER BY step))" for i in (1, 2, 3)) + " SELECT series_id, step, round(v, 6) AS v, round(e3 + 1e-9, 6) AS envelope FROM w3")
+@query(f"WITH {SERIES}, w AS (SELECT *, avg(abs(v)) OVER (PARTITION BY series_id ORDER BY step ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS e0 FROM series), " + ", ".join(f"w{i} AS (SELECT *, coalesce((lag(e{i - 1}) OVER s + 2 * e{i - 1} + lead(e{i - 1}) OVER s) / 4, e{i - 1}) AS e{i} FROM {'w' if i == 1 else f'w{i - 1}'} WINDOW s AS (PARTITION BY series_id ORDER BY step))" for i in (1, 2, 3)) + " SELECT series_id, step, round(v, 6) AS v, round(e3, 4) AS envelope FROM w3")
 def w12_envelope(spark: S, d: str) -> D:
-    return series.envelope(fix.series(spark, d), ["series_id"], "step").withColumn("envelope", F.col("envelope") + 1e-9)
+    return series.envelope(fix.series(spark, d), ["series_id"], "step").withColumn("envelope", F.round("envelope", 4))
 
 
 @query(f"WITH {SERIES} SELECT series_id, step, round(v, 6) AS v, coalesce(v > lag(v) OVER s AND v > lead(v) OVER s, false) AS is_peak FROM series WINDOW s AS (PARTITION BY series_id ORDER BY step)")
@@ -223,10 +223,10 @@ def f25_cosine(spark: S, d: str) -> D:
     return a.join(b, F.col("id2") == F.col("id1") + 1).select("id1", "id2", fx.cosine(F.col("e1"), F.col("e2")).alias("cosine"))
 
 
-@query(f"WITH {PORES} SELECT id, round(cbrt(3 * volume / (4 * pi())), 6) AS sphere, round(sqrt(volume / pi()), 6) AS disc, round(greatest(1.0, least(5000.0, 2 * radius / 3 * 1.15)), 6) AS t2, round(pow(0.25, 3) / pow(0.75, 2) / (pow(0.3, 3) / pow(0.7, 2)), 6) AS ratio, round(45 + radius / 2, 6) AS angle, round(sqrt(2 * (1 - radius / 200) / (1 - 2 * (radius / 200))), 6) AS vp_vs FROM pores WHERE radius < 50")
+@query(f"WITH {PORES} SELECT id, round(cbrt(3 * volume / (4 * pi())), 6) AS sphere, round(sqrt(volume / pi()), 6) AS disc, round(greatest(1.0, least(5000.0, 2 * radius / 3 * 1.15)), 6) AS t2, round(pow(0.25, 3) / pow(0.75, 2) / (pow(0.3, 3) / pow(0.7, 2)), 6) AS ratio, round(45 + radius / 2, 6) AS angle, round(sqrt(2 * (1 - radius / 200) / (1 - 2 * (radius / 200))), 6) AS vp_vs FROM pores")
 def f03_rock_formulas(spark: S, d: str) -> D:
     """F03, F10, F13, F33 and F36 over the pores."""
-    p = fix.pores(spark, d).where("radius < 50")
+    p = fix.pores(spark, d)
     r = F.col("radius")
     return p.select("id", fx.sphere_radius(F.col("volume")).alias("sphere"), fx.disc_radius(F.col("volume")).alias("disc"), fx.estimated_t2(r, F.lit(0.3)).alias("t2"), fx.permeability_ratio(F.lit(0.25), F.lit(0.3)).alias("ratio"), fx.failure_angle(r).alias("angle"), fx.vp_vs_from_poisson(r / 200).alias("vp_vs"))
 

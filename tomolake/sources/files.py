@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomolake.functions.physics import number_in_name
@@ -30,7 +30,9 @@ def read_raw_stack(spark: SparkSession, folder: str, width: int, height: int, pa
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples():
-                g = np.frombuffer(r.content, np.uint8)[: width * height].astype(np.int64)
+                if len(r.content) != width * height:
+                    raise ValueError(f"{r.path}: {len(r.content)} bytes, not {width} x {height}")
+                g = np.frombuffer(r.content, np.uint8).astype(np.int64)
                 at = np.arange(len(g))
                 yield pd.DataFrame({"volume_id": 1, "x": at % width, "y": at // width, "z": int(r.z), "gray": g, "label": 0})
 
@@ -111,3 +113,159 @@ def relaxation_log(lines: DataFrame, marker: str) -> DataFrame:
 def unpivot(row: DataFrame, units: dict[str, str]) -> DataFrame:
     """Rows of parameter, value and unit from the columns of one row."""
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("parameter"), F.col(c).cast("double").alias("value"), F.lit(u).alias("unit")) for c, u in units.items()])))
+
+
+MATERIAL = "id long, name string, argb long, min long, max long, is_exterior boolean, density double, is_visible boolean"
+
+
+def write_materials(materials: DataFrame, path: str) -> None:
+    materials.select(*[c.split()[0] for c in MATERIAL.split(", ")]).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_materials(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MATERIAL).parquet(path)
+
+
+def _csv(table: DataFrame, path: str, **columns: Column | str) -> None:
+    table.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]).write.mode("overwrite").csv(path, header=True, quoteAll=False)
+
+
+def _fixed(column: str, places: int) -> Column:
+    """A number with that many decimals, without separators of thousands."""
+    return F.format_string(f"%.{places}f", F.col(column).cast("double"))
+
+
+def write_statistics_csv(statistics: DataFrame, path: str) -> None:
+    """material_statistics() in six columns."""
+    _csv(statistics.orderBy("id"), path, **{"Material": "name", "Voxels": "voxel_count", "Volume (µm³)": "volume_um3", "Volume (mm³)": "volume_mm3", "Volume (cm³)": "volume_cm3", "Percentage": "percent"})
+
+
+def write_particle_csv(particles: DataFrame, path: str) -> None:
+    """particles() in sixteen columns, volumes with four and six decimals; bounds include both ends."""
+    side = lambda a: F.col(f"bounds.max_{a}") - F.col(f"bounds.min_{a}") + 1
+    at = {f"{k.title()}{a.upper()}": F.col(f"bounds.{k}_{a}") for k in ("min", "max") for a in "xyz"}
+    centre = {f"Center{a.upper()}": F.col(f"center.{a}") for a in "xyz"}
+    _csv(particles, path, ID="component", VoxelCount="voxel_count", VolumeMicrometers=_fixed("volume_um3", 4), VolumeMillimeters=_fixed("volume_mm3", 6), **centre, **at, Width=side("x"), Height=side("y"), Depth=side("z"))
+
+
+def write_particle_result(particles: DataFrame, runs: DataFrame, path: str) -> None:
+    """Particles and the run-length form of their labels, under one folder."""
+    particles.write.mode("overwrite").parquet(f"{path}/particles")
+    runs.write.mode("overwrite").parquet(f"{path}/runs")
+
+
+def read_particle_result(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/particles"), spark.read.parquet(f"{path}/runs")
+
+
+def write_network_csv(pores: DataFrame, throats: DataFrame, properties: DataFrame, path: str) -> None:
+    """Pores (with connections), throats and one row of properties as three tables, numbers with two (four) decimals."""
+    _csv(pores, f"{path}/pores", ID="id", **{"Volume (µm³)": _fixed("volume", 2), "Surface Area (µm²)": _fixed("area", 2), "Equivalent Radius (µm)": _fixed("radius", 2)}, **{f"{a.upper()} (µm)": _fixed(a, 2) for a in "xyz"}, Connections="connections")
+    order = F.row_number().over(Window.partitionBy("pore1").orderBy("pore2"))
+    _csv(throats.withColumn("id", F.concat_ws("-", "pore1", order.cast("string"))), f"{path}/throats", ID="id", **{"Pore1 ID": "pore1", "Pore2 ID": "pore2", "Radius (µm)": _fixed("radius", 2), "Length (µm)": _fixed("length", 2), "Volume (µm³)": _fixed("volume", 2)})
+    _csv(properties, f"{path}/statistics", **{"Total Pore Volume (µm³)": _fixed("pore_volume", 2), "Total Throat Volume (µm³)": _fixed("throat_volume", 2), "Porosity": _fixed("porosity", 4)})
+
+
+def write_network(path: str, **tables: DataFrame) -> None:
+    """Tables of a network or of its permeability (pores, throats, properties, pressures, ...) as Parquet under one folder."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_network(spark: SparkSession, path: str, *names: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{path}/{n}") for n in names]
+
+
+def write_selected(rows: DataFrame, ids: DataFrame, path: str) -> None:
+    """The rows whose id is among the ids, as CSV."""
+    write_csv(rows.join(ids.select("id").distinct(), "id", "left_semi"), path)
+
+
+def write_permeability_csv(results: DataFrame, pressures: DataFrame, path: str) -> None:
+    """The compared methods, and each pore's pressure."""
+    _csv(results, f"{path}/permeability", Method="method", **{"Permeability (D)": "permeability", "Corrected (D)": "corrected"})
+    _csv(pressures, f"{path}/pressures", **{"Pore ID": "pore_id", "Pressure (Pa)": "pressure"})
+
+
+def write_band_csv(bands: DataFrame, path: str) -> None:
+    """Bands of any views (view, row, v, dark, bright), in order of view and row."""
+    _csv(bands.orderBy("view", "slice", "row"), path, **{"Slice Type": "view", "Row/Col": "row", "Value": "v", "Dark Peak": "dark", "Bright Peak": "bright"})
+
+
+def write_measurements(measurements: DataFrame, path: str) -> None:
+    """Twelve columns; distance in m, um and mm; times as text."""
+    d = F.col("distance")
+    rows = measurements.withColumns({"um": d * 1e6, "mm": d * 1e3})
+    places = {f"{k}{a.upper()}": f"{a}{i}" for i, k in ((1, "Start"), (2, "End")) for a in "xy"}
+    _csv(rows, path, ID="id", Name="name", View="view", SliceIndex="slice", **places, **{"Distance(m)": _fixed("distance", 6), "Distance(µm)": _fixed("um", 2), "Distance(mm)": _fixed("mm", 2)}, Created=F.date_format("created", "yyyy-MM-dd HH:mm:ss"))
+
+
+def write_calibration_xml(points: DataFrame, path: str) -> None:
+    points.write.mode("overwrite").format("xml").option("rootTag", "CalibrationDataset").option("rowTag", "CalibrationPoint").save(path)
+
+
+def write_parameters(row: DataFrame, units: dict[str, str], path: str) -> None:
+    """One row as Parameter, Value, Unit."""
+    _csv(unpivot(row, units), path, Parameter="parameter", Value="value", Unit="unit")
+
+
+def acoustic_result(velocities: DataFrame) -> DataFrame:
+    """Velocities with the dead time between the arrivals, in steps."""
+    return velocities.withColumn("dead_time", F.col("s_step") - F.col("p_step"))
+
+
+def velocity_series(receiver: DataFrame, spacing: float, velocity: float) -> DataFrame:
+    """(time_ms, displacement, intensity) of steps (step, displacement, intensity): a step lasts spacing / (1.2 velocity)."""
+    return receiver.select((F.col("step") * (spacing / (1.2 * velocity) * 1000)).alias("time_ms"), "displacement", F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
+
+
+def write_curve(curve: DataFrame, parameters: DataFrame, path: str) -> None:
+    """A curve as CSV and JSON beside its row of parameters as JSON."""
+    write_csv(curve, f"{path}/curve_csv")
+    curve.write.mode("overwrite").json(f"{path}/curve_json")
+    parameters.write.mode("overwrite").json(f"{path}/parameters_json")
+
+
+def read_network_lines(lines: DataFrame) -> DataFrame:
+    """One row of porosity, tortuosity, mean radius and mean connections from a sectioned export (n, line).
+
+    Sections begin with # and end at a blank line or another #; running marks within the file tell them apart.
+    """
+    w = Window.orderBy("n")  # one exported file
+    section = F.when(F.col("line").startswith("# Network Statistics"), "statistics").when(F.col("line").startswith("# Pores"), "pores").when(F.col("line").startswith("#") | (F.trim("line") == ""), "none")
+    named = lines.withColumn("section", F.last(section, ignorenulls=True).over(w)).withColumn("p", F.split("line", ","))
+    value = lambda key: F.max(F.when((F.col("section") == "statistics") & (F.size("p") == 2) & (F.trim(F.get("p", F.lit(0))) == key), F.trim(F.get("p", F.lit(1))).try_cast("double")))
+    column = lambda i: F.avg(F.when((F.col("section") == "pores") & (F.size("p") >= 8), F.get("p", F.lit(i)).try_cast("double")))
+    return named.agg(value("Porosity").alias("porosity"), value("Tortuosity").alias("tortuosity"), column(3).alias("mean_radius"), column(7).alias("mean_connections"))
+
+
+#: Fixed value: bytes of the header of a volume in chunks: five whole numbers of four bytes, a double, three whole numbers.
+HEADER_BYTES = 40
+
+
+def read_chunked_volume(spark: SparkSession, path: str, value: str = "gray") -> DataFrame:
+    """(volume_id, x, y, z, value) of files with a header (width, height, depth, chunk side, bits; pixel size; three counts of
+    chunks) and chunks of bytes in order of z, y, x. A file is one record; what it holds beyond the dims is padding.
+
+    A file whose size doesn't fit its header is an error. volume_id is the place of the file's name among the names.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    ids = files.select("path").withColumn("volume_id", F.row_number().over(Window.orderBy("path")).cast("long"))
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples():
+                w, h, d, side = (int(x) for x in np.frombuffer(r.content, "<i4", 4))
+                n = [-(-x // side) for x in (w, h, d)]
+                if len(r.content) != HEADER_BYTES + n[0] * n[1] * n[2] * side**3:
+                    raise ValueError(f"{r.path}: {len(r.content)} bytes don't fit {w} x {h} x {d} in chunks of {side}")
+                for c in range(n[0] * n[1] * n[2]):
+                    cx, cy, cz = c % n[0], c // n[0] % n[1], c // (n[0] * n[1])
+                    block = np.frombuffer(r.content, np.uint8, side**3, HEADER_BYTES + c * side**3)
+                    at = np.arange(side**3)
+                    x, y, z = cx * side + at % side, cy * side + at // side % side, cz * side + at // (side * side)
+                    inside = (x < w) & (y < h) & (z < d)
+                    yield pd.DataFrame({"volume_id": r.volume_id, "x": x[inside], "y": y[inside], "z": z[inside], "value": block[inside].astype(np.int64)})
+
+    rows = files.select("path", "content").join(ids, "path").mapInPandas(decode, "volume_id long, x long, y long, z long, value long")
+    return rows.withColumnRenamed("value", value)
