@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomolake.operators.graph import connected_components
-from tomolake.sources.shared import drop_path, new_path, written
+from tomolake.sources.shared import drop_path, dropped_after, new_path, written
 
-__all__ = ["SLICE", "connected_components", "drop_path", "filtered", "fold", "give_back", "held_out", "new_path", "numbered", "open_fs", "slices", "texts_of", "written"]
+__all__ = ["SLICE", "connected_components", "drop_path", "dropped_after", "filtered", "fold", "give_back", "held_out", "new_path", "numbered", "open_fs", "slices", "texts_of", "written"]
 
 
 #: Bytes of text that a task works on at a time.

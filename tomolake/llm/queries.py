@@ -19,7 +19,7 @@ def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
