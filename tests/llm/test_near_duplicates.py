@@ -82,4 +82,24 @@ def test_vectors_against_brute_force(spark):
     assert (got[None]["n_links"], got[None]["kept"]) == (0, False)
     whole = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(df, block=50).collect()}
     assert [whole[i] for i, *_ in good] == near.sum(axis=1).tolist()  # one leaf in blocks: exact
+    rows_of = {r["vec_id"]: r for r in embeddings.near_vectors(df, block=50).collect()}
+    place = {i: k for k, (i, *_) in enumerate(good)}
+    want = closure(list(place), lambda a, b: a == b or near[place[a], place[b]])
+    assert {i: rows_of[i]["component_id"] for i in place} == want
+    assert {i: rows_of[i]["kept"] for i in place} == {i: want[i] == i for i in place}
+    deep = {r["vec_id"]: r for r in embeddings.near_vectors(df, leaf=200, most=24, block=20, sample_rows=30).collect()}  # split on in rounds
+    links = np.array([deep[i]["n_links"] for i, *_ in good])
+    assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.95 * near.sum()
     assert embeddings.near_vectors(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_leaves_are_split_on(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 8))
+    x[:150] = x[0] + 1e-4 * rng.standard_normal((150, 8))  # copies that no split tells apart
+    first = embeddings.FIRST
+    routed = spark.createDataFrame([("a" if i % 4 else None, str(i), 8, [float(v) for v in e], [first, first + 7]) for i, e in enumerate(x)], "label string, same string, width int, embedding array<double>, leaves array<long>").where("label = 'a'")
+    out = embeddings.split_on(routed, 60, 0.01, 5)
+    sizes = {r["leaf"]: r["count"] for r in out.select(simhash.F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
+    assert len(sizes) > 12 and sum(n > 60 for n in sizes.values()) <= 2 * 4  # the copies' leaves, in either tree
+    assert out.count() == 450 and all(r["leaves"] == sorted(set(r["leaves"])) and len(r["leaves"]) >= 2 for r in out.collect())

@@ -1,7 +1,9 @@
 """Near-duplicate embeddings by a forest of random-projection trees with spill overlap.
 
 Each tree splits recursively along random directions at the median of a bounded sample; vectors within `spill` of a
-threshold go to both sides. Every vector is routed down every tree. Vectors meet in the leaves, by label, where all
+threshold go to both sides. Every vector is routed down every tree. Leaves that still hold many vectors of a label, as the
+sample is too small to tell them apart, are split on in rounds at medians of all their own rows, until none is over-full or
+a split no longer makes it smaller (near copies). Vectors meet in the leaves, by label, where all
 cosines are computed in double precision as one product of matrices; a pair that shares several leaves counts in the
 first. Leaves return sums and links to the least vector of each local component, never pairs. A leaf with more than
 `block` vectors of a label is compared in blocks, each pair of blocks in a task of its own, so all of it is compared.
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from tomolake.llm.common import connected_components, written
 
 LEAST_IN_NODE = 8
+FIRST = 1 << 20  # a leaf of the sampled trees is numbered from here on, a split doubles the number
+LAST = 1 << 61
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -88,13 +92,53 @@ def _local_roots(mask: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, trees: int = 6, spill: float = 0.0125, leaf: int = 2048, block: int = 1024, sample_rows: int = 20_000, seed: int = 42, id_col: str = "vec_id") -> DataFrame:
+def split_on(routed: DataFrame, most: int, spill: float, seed: int) -> DataFrame:
+    """routed (label, same, width, embedding, leaves, ...) with leaves of more than `most` vectors of a label split further.
+
+    A round takes all over-full leaves at once: a direction drawn from the leaf's number, a threshold from the approximate
+    median of its rows, both by shuffles on the leaf. Numbers of a leaf's children are its own doubled, and doubled plus one.
+    """
+    key, final = ["label", "width", "leaf"], None
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves, widths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "width"))
+            at = np.zeros(len(leaves))
+            for leaf, width in set(zip(leaves.tolist(), widths.tolist(), strict=True)):
+                rows = np.flatnonzero((leaves == leaf) & (widths == width))
+                direction = np.random.default_rng([seed, leaf]).standard_normal(width)
+                at[rows] = unit(matrix(batch.column("embedding").take(pa.array(rows)), width)) @ (direction / np.linalg.norm(direction))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "same", "width", "leaf")), pa.array(at)], ["label", "same", "width", "leaf", "at"])
+
+    while True:
+        counts = routed.select("label", "width", F.explode("leaves").alias("leaf")).groupBy(*key).count()
+        full = counts.where((F.col("count") > most) & (F.col("leaf") < LAST))
+        full = written(full if final is None else full.join(final, key, "left_anti"), "over_full")
+        if full.isEmpty():
+            return routed
+        rows = routed.select("label", "same", "width", "embedding", F.explode("leaves").alias("leaf")).join(full, key).select("label", "same", "width", "leaf", "embedding")
+        places = written(rows.mapInArrow(project, "label " + dict(routed.dtypes)["label"] + ", same string, width int, leaf long, at double"), "projected")
+        cut = places.groupBy(*key).agg(F.percentile_approx("at", 0.5, 1000).alias("cut"))
+        sides = places.join(cut, key).select("label", "same", "width", "leaf", (F.col("at") < F.col("cut") + spill).alias("low"), (F.col("at") >= F.col("cut") - spill).alias("high"))
+        sizes = sides.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col("low").cast("int")).alias("lows"), F.sum(F.col("high").cast("int")).alias("highs"))
+        stuck = written(sizes.where(F.greatest("lows", "highs") > 0.9 * F.col("n")).select(key), "stuck")
+        final = stuck if final is None else written(final.unionByName(stuck), "stuck")
+        kids = F.filter(F.array(F.when(F.col("low"), F.col("leaf") * 2), F.when(F.col("high"), F.col("leaf") * 2 + 1)), lambda c: c.isNotNull())
+        moved = sides.join(stuck, key, "left_anti").groupBy("label", "same", "width").agg(F.map_from_entries(F.collect_list(F.struct("leaf", kids.alias("kids")))).alias("moves"))
+        after = routed.join(moved, ["label", "same", "width"], "left")
+        leaves = F.when(F.col("moves").isNull(), F.col("leaves")).otherwise(F.array_sort(F.flatten(F.transform("leaves", lambda x: F.coalesce(F.col("moves")[x], F.array(x))))))
+        routed = written(after.withColumn("leaves", leaves).select(routed.columns), "routed")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, trees: int = 6, spill: float = 0.0125, leaf: int = 2048, block: int = 1024, most: int = 8192, sample_rows: int = 20_000, seed: int = 42, id_col: str = "vec_id") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Linked are vectors of one label and width with a cosine of at least `cosine`; n_links counts other rows,
     component_id is the least id reachable, kept says that the row leads its component. Vectors that are null, empty,
     zero or hold null or non-finite components, and rows without a label, link with nothing (0 links, a component of
-    their own). So do rows without an id, whose component is null and which aren't kept. Repeated rows link.
+    their own). So do rows without an id, whose component is null and which aren't kept. Repeated rows link. Other columns
+    are left out, whatever their names; an empty table gives no rows. `most` vectors of a label are left in a leaf at the most,
+    but for near copies that no split tells apart.
     """
     e = F.col("embedding")
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
@@ -120,9 +164,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, trees: int = 6, spill
                 rows = np.flatnonzero(widths == width)
                 for i, found in zip(rows, shared.value[width].route(unit(matrix(batch.column("embedding").take(pa.array(rows)), width))), strict=True):
                     leaves[i] = found
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], [*batch.schema.names, "leaves"])
+            leaves = [(x.astype(np.int64) + FIRST) for x in leaves]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], [*batch.schema.names, "leaves"])
 
-    routed = written(nodes.mapInArrow(route, "label " + dict(nodes.dtypes)["label"] + ", same string, node long, weight long, embedding array<double>, width int, leaves array<int>"), "routed")
+    routed = written(nodes.mapInArrow(route, "label " + dict(nodes.dtypes)["label"] + ", same string, node long, weight long, embedding array<double>, width int, leaves array<long>"), "routed")
+    routed = split_on(routed, most, spill, seed)
     spread = routed.select("label", "width", F.explode("leaves").alias("leaf"), "node", "weight", "embedding", "leaves")
     large = routed.select("label", "width", F.explode("leaves").alias("leaf")).groupBy("label", "width", "leaf").count().where(F.col("count") > block)
     large = large.select("label", "width", "leaf", F.ceil(F.col("count") / block).cast("int").alias("parts"))
