@@ -183,12 +183,13 @@ def glcm(voxels: DataFrame, dx: int, dy: int) -> DataFrame:
     return n.join(total, ["volume_id", "z"]).select("volume_id", "z", "i", "j", F.floor(F.col("count") * 1_000_000 / F.col("total")).cast("long").alias("ppm"))
 
 
-def glcm_features(matrix: DataFrame) -> DataFrame:
-    """Contrast, dissimilarity, homogeneity, energy and correlation of each slice's matrix."""
+def glcm_features(matrix: DataFrame, *by: str) -> DataFrame:
+    """Contrast, dissimilarity, homogeneity, energy and correlation of each slice's matrix, or of each group's by other keys."""
+    by = by or ("volume_id", "z")
     p, d = F.col("ppm") / 1e6, F.col("i") - F.col("j")
-    s = matrix.groupBy("volume_id", "z").agg(F.sum(p * d * d).alias("contrast"), F.sum(p * F.abs(d)).alias("dissimilarity"), F.sum(p / (1 + d * d)).alias("homogeneity"), F.sum(p * p).alias("energy"), F.sum(p * F.col("i")).alias("mi"), F.sum(p * F.col("j")).alias("mj"), F.sum(p * F.col("i") * F.col("i")).alias("ii"), F.sum(p * F.col("j") * F.col("j")).alias("jj"), F.sum(p * F.col("i") * F.col("j")).alias("ij"))
+    s = matrix.groupBy(*by).agg(F.sum(p * d * d).alias("contrast"), F.sum(p * F.abs(d)).alias("dissimilarity"), F.sum(p / (1 + d * d)).alias("homogeneity"), F.sum(p * p).alias("energy"), F.sum(p * F.col("i")).alias("mi"), F.sum(p * F.col("j")).alias("mj"), F.sum(p * F.col("i") * F.col("i")).alias("ii"), F.sum(p * F.col("j") * F.col("j")).alias("jj"), F.sum(p * F.col("i") * F.col("j")).alias("ij"))
     si, sj = F.sqrt(F.greatest(F.col("ii") - F.col("mi") * F.col("mi"), F.lit(0.0))), F.sqrt(F.greatest(F.col("jj") - F.col("mj") * F.col("mj"), F.lit(0.0)))
-    return s.select("volume_id", "z", "contrast", "dissimilarity", "homogeneity", "energy", F.when(si * sj > 0, (F.col("ij") - F.col("mi") * F.col("mj")) / (si * sj)).otherwise(0.0).alias("correlation"))
+    return s.select(*by, "contrast", "dissimilarity", "homogeneity", "energy", F.when(si * sj > 0, (F.col("ij") - F.col("mi") * F.col("mj")) / (si * sj)).otherwise(0.0).alias("correlation"))
 
 
 def lbp_histogram(voxels: DataFrame) -> DataFrame:

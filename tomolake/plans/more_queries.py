@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomolake.functions import physics as fx
-from tomolake.operators import bands, calibrate, core, network, relaxation, sections, series, stats
+from tomolake.operators import bands, calibrate, core, network, relaxation, sections, series, stats, textures
 from tomolake.operators import components as comp
 from tomolake.operators import labels as lab
 from tomolake.operators import resample as res
@@ -421,3 +421,27 @@ def c08_pores_from_particles(spark: S, d: str) -> D:
 
 def _labelled(spark: S, d: str) -> D:
     return comp.separate_particles(voxels(spark, d), 1, dims(spark, d)).select("volume_id", "x", "y", "z", "component")
+
+
+def _features_sql(name: str, source: str, by: str) -> str:
+    """A CTE of the five features of matrices (by, i, j, p)."""
+    sd = "sqrt(greatest(sum(p * {0} * {0}) - pow(sum(p * {0}), 2), 0))"
+    both = f"({sd.format('i')} * {sd.format('j')})"
+    return f"{name} AS (SELECT {by}, sum(p * (i - j) * (i - j)) AS f1, sum(p * abs(i - j)) AS f2, sum(p / (1 + (i - j) * (i - j))) AS f3, sum(p * p) AS f4, CASE WHEN {both} > 0 THEN (sum(p * i * j) - sum(p * i) * sum(p * j)) / {both} ELSE 0 END AS f5 FROM {source} GROUP BY {by})"
+
+
+X03 = (
+    ", dir(k, dx, dy) AS (VALUES (0, 1, 0), (1, 1, 1), (2, 0, 1), (3, -1, 1)), box AS (SELECT x, y, gray FROM v WHERE z = 2 AND x >= 3 AND x < 15 AND y >= 4 AND y < 16), rc AS (SELECT k, a.gray AS i, b.gray AS j, count(*) AS n FROM dir, box a, box b WHERE b.x = a.x + dx AND b.y = a.y + dy GROUP BY ALL), rm AS (SELECT k, i, j, floor(n * 1000000.0 / sum(n) OVER (PARTITION BY k)) / 1e6 AS p FROM rc), "
+    + _features_sql("rf", "rm", "k")
+    + ", ref AS (SELECT avg(f1) AS r1, avg(f2) AS r2, avg(f3) AS r3, avg(f4) AS r4, avg(f5) AS r5 FROM rf), pr AS (SELECT a.z, a.x, a.y, a.gray AS i, b.gray AS j FROM v a JOIN v b ON b.z = a.z AND b.y = a.y AND b.x = a.x + 1 WHERE a.z BETWEEN 1 AND 4), ce AS (SELECT z, cx, cy, i, j, floor(count(*) * 1000000.0 / 42) / 1e6 AS p FROM pr, range(3, 22, 2) q(cx), range(3, 22) r(cy) WHERE cx BETWEEN x - 2 AND x + 3 AND cy BETWEEN y - 3 AND y + 3 GROUP BY z, cx, cy, i, j), "
+    + _features_sql("pf", "ce", "z, cx, cy")
+    + ", hit AS (SELECT DISTINCT z, cx + a AS x, cy + b AS y FROM pf, ref, range(-1, 2) m(a), range(-1, 2) n(b) WHERE (f1 * r1 + f2 * r2 + f3 * r3 + f4 * r4 + f5 * r5) / (sqrt(f1 * f1 + f2 * f2 + f3 * f3 + f4 * f4 + f5 * f5) * sqrt(r1 * r1 + r2 * r2 + r3 * r3 + r4 * r4 + r5 * r5)) >= 0.99998) SELECT v.volume_id, v.x, v.y, v.z, CASE WHEN hit.x IS NOT NULL THEN 3 ELSE label END AS label FROM v LEFT JOIN hit ON hit.x = v.x AND hit.y = v.y AND hit.z = v.z"
+)
+
+
+@query(WITH + X03)
+def x03_texture_classes(spark: S, d: str) -> D:
+    """X03 over slices 1 to 4, by the features of a rectangle of slice 2."""
+    v = voxels(spark, d)
+    reference = textures.reference_features(v, (3, 4), (15, 16), 2)
+    return textures.classify_texture(v, dims(spark, d), reference, 3, 0.99998, (1, 4)).select("volume_id", "x", "y", "z", "label")
