@@ -101,8 +101,8 @@ def apply_ranges(voxels: DataFrame, materials: DataFrame) -> DataFrame:
 
     There are 256 gray values, so the ranges are resolved once for each and joined.
     """
-    ranges = materials.where("NOT is_exterior").select("id", "min", "max")
-    grays = ranges.select("id", "min", F.explode(F.sequence("min", "max")).alias("gray"))
+    ranges = materials.where("NOT is_exterior AND max >= greatest(min, 0) AND min <= 255").select("id", "min", "max")
+    grays = ranges.select("id", "min", F.explode(F.sequence(F.greatest("min", F.lit(0).cast("long")), F.least("max", F.lit(255).cast("long")))).alias("gray"))
     table = grays.groupBy("gray").agg(F.min_by("id", F.struct("min", "id")).alias("__id"))
     return voxels.join(F.broadcast(table), "gray", "left").withColumn("label", F.coalesce("__id", F.lit(0).cast("long"))).drop("__id")
 

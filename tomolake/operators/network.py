@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tomolake.functions import physics as fx
 from tomolake.operators.graph import connected_components, shortest_paths
+from tomolake.operators.sizes import bounded
 from tomolake.operators.stats import MILLIDARCY, kozeny_carman
 from tomolake.sources.shared import written
 
@@ -236,7 +237,7 @@ def flow_permeability(pores: DataFrame, edges: DataFrame, pressures: DataFrame,
 def plane_hits(pores: DataFrame, planes: DataFrame) -> DataFrame:
     """Pores cut by windows of planes (plane_id, c struct, n, u, v unit structs, half_u, half_v): the radius of the cut."""
     dot = lambda a, b: sum((F.col(f"{a}.{x}") * F.col(f"{b}.{x}") for x in "xyz"), F.lit(0.0))
-    p = pores.crossJoin(F.broadcast(planes)).withColumn("d", F.struct(*[(F.col(x) - F.col(f"c.{x}")).alias(x) for x in "xyz"]))
+    p = pores.crossJoin(bounded(planes, "planes", 10_000)).withColumn("d", F.struct(*[(F.col(x) - F.col(f"c.{x}")).alias(x) for x in "xyz"]))
     p = p.withColumns({"off": dot("d", "n"), "pu": dot("d", "u"), "pv": dot("d", "v")})
     inside = (F.abs("off") <= F.col("radius")) & (F.abs("pu") <= F.col("half_u")) & (F.abs("pv") <= F.col("half_v"))
     return p.where(inside).select("plane_id", "id", "pu", "pv", F.sqrt(F.col("radius") * F.col("radius") - F.col("off") * F.col("off")).alias("cut_radius"))
@@ -288,14 +289,14 @@ def bracket(values: DataFrame, knots: DataFrame, key: str) -> DataFrame:
     seg = k.select("x", "y", F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"), F.row_number().over(w).alias("i"))
     low = F.when(F.col("i") == 1, F.lit(float("-inf"))).otherwise(F.col("x"))
     seg = seg.select(low.alias("low"), F.coalesce("x2", F.lit(float("inf"))).alias("high"), "x", "y", "x2", "y2")
-    v = values.join(F.broadcast(seg), (F.col(key) >= F.col("low")) & (F.col(key) < F.col("high")), "left")
+    v = values.join(bounded(seg, "knots", 10_000), (F.col(key) >= F.col("low")) & (F.col(key) < F.col("high")), "left")
     y = F.when(F.col("x2").isNull() | (F.col(key) <= F.col("x")), F.col("y")).otherwise(F.col("y") + (F.col("y2") - F.col("y")) * (F.col(key) - F.col("x")) / (F.col("x2") - F.col("x")))
     return v.withColumn("interpolated", y).drop("low", "high", "x2", "y2", "x", "y") if key not in ("x", "y") else v.withColumn("interpolated", y)
 
 
 def nearest_model(wanted: DataFrame, models: DataFrame) -> DataFrame:
     """wanted (target) with the model (pressure, slope, intercept) of the nearest pressure, of equals the lower."""
-    m = wanted.crossJoin(F.broadcast(models))
+    m = wanted.crossJoin(bounded(models, "models", 10_000))
     best = F.min_by(F.struct("pressure", "slope", "intercept"), F.struct(F.abs(F.col("pressure") - F.col("target")), "pressure"))
     return m.groupBy("target").agg(best.alias("m")).select("target", "m.pressure", "m.slope", "m.intercept")
 

@@ -25,7 +25,7 @@ def components(structure: DataFrame, properties: DataFrame, low: float = 1.0, hi
     about the relaxation time, of width 0.5 / strength, lowered in pores that are small against 10 um; the
     tortuosity grows with missing connections and smaller pores and divides T2. Materials without hydrogen have none.
     """
-    m = structure.join(F.broadcast(properties.where("density > 0")), "label").withColumn("t2", F.explode(F.array(*map(F.lit, log_grid(low, high, n)))))
+    m = structure.join(properties.where("density > 0"), "label").withColumn("t2", F.explode(F.array(*map(F.lit, log_grid(low, high, n)))))
     size, t2, sigma = F.col("mean_pore_size"), F.col("t2"), 0.5 / F.col("relaxation_strength")
     off = F.log(t2) - F.log("relaxation_time")
     weight = F.exp(-off * off / (2 * sigma * sigma)) / (t2 * sigma * sqrt(2 * pi))

@@ -118,7 +118,7 @@ def pore_structure(voxels: DataFrame, radius: int, pixel_size: float) -> DataFra
     total = voxels.groupBy("volume_id").agg(F.count("*").alias("total"))
     both = local_pore_size(voxels, radius, pixel_size).join(local_connectivity(voxels), ["volume_id", "x", "y", "z", "label"])
     s = both.groupBy("volume_id", "label").agg(F.count("*").alias("n"), F.avg("pore_size").alias("mean_pore_size"), F.avg("connectivity").alias("mean_connectivity"))
-    return s.join(F.broadcast(total), "volume_id").select("volume_id", "label", "n", (F.col("n") / F.col("total")).alias("porosity"), "mean_pore_size", "mean_connectivity")
+    return s.join(total, "volume_id").select("volume_id", "label", "n", (F.col("n") / F.col("total")).alias("porosity"), "mean_pore_size", "mean_connectivity")
 
 
 def variance_map(voxels: DataFrame, view: str, first: int, last: int) -> DataFrame:

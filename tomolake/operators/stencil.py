@@ -157,7 +157,7 @@ def sobel_3d(voxels: DataFrame, dims: Sequence[int], d: int = 64) -> DataFrame:
     inner = F.col("x").between(1, w - 2) & F.col("y").between(1, h - 2) & F.col("z").between(1, n - 2)
     out = out.withColumn("value", F.when(inner, F.col("value")).otherwise(0.0))
     top = out.groupBy("volume_id").agg(F.max("value").alias("top"))
-    return out.join(F.broadcast(top), "volume_id").select(*KEY, F.when(F.col("top") > 0, F.floor(F.col("value") * 255 / F.col("top") + 1e-9)).otherwise(0.0).cast("double").alias("value"))
+    return out.join(top, "volume_id").select(*KEY, F.when(F.col("top") > 0, F.floor(F.col("value") * 255 / F.col("top") + 1e-9)).otherwise(0.0).cast("double").alias("value"))
 
 
 def non_local_means(voxels: DataFrame, template: int, search: int, strength: float, dims: Sequence[int], d: int = 64, flat: bool = False) -> DataFrame:

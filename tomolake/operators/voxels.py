@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomolake.operators.sizes import small
+
 PLANE = {"XY": ("z", "x", "y"), "XZ": ("y", "x", "z"), "YZ": ("x", "y", "z")}  # fixed axis, then the plane's
 
 
@@ -90,7 +92,7 @@ def material_bounds(voxels: DataFrame, dims: Sequence[int], margin: int = 1) ->
 def sub_volume(voxels: DataFrame, bounds: DataFrame, material: int) -> DataFrame:
     """The material's box: coordinates from its corner, other labels 0, and the original coordinates."""
     box = bounds.where(F.col("label") == material).drop("label")
-    v = voxels.join(F.broadcast(box), "volume_id")
+    v = voxels.join(small(box), "volume_id")
     for a in "xyz":
         v = v.where(F.col(a).between(F.col(f"min_{a}"), F.col(f"max_{a}")))
     shifted = [(F.col(a) - F.col(f"min_{a}")).alias(a) for a in "xyz"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomolake.functions import physics as fx
-from tomolake.operators import bands, calibrate, core, network, relaxation, sections, series, stats, textures
+from tomolake.operators import bands, calibrate, core, network, relaxation, sections, series, stats, stencil, textures
 from tomolake.operators import components as comp
 from tomolake.operators import labels as lab
 from tomolake.operators import resample as res
@@ -445,3 +445,43 @@ def x03_texture_classes(spark: S, d: str) -> D:
     v = voxels(spark, d)
     reference = textures.reference_features(v, (3, 4), (15, 16), 2)
     return textures.classify_texture(v, dims(spark, d), reference, 3, 0.99998, (1, 4)).select("volume_id", "x", "y", "z", "label")
+
+
+# --- masks, points and fields
+
+
+@query(WITH + MASK_LINKS + ", f AS (SELECT i, min(component) AS id FROM c GROUP BY i) SELECT 1 AS volume_id, z, id AS component, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM f JOIN k ON k.i = f.i GROUP BY z, id HAVING max(x) - min(x) + 1 > 2 AND max(y) - min(y) + 1 > 2")
+def g35_mask_boxes(spark: S, d: str) -> D:
+    mask = voxels(spark, d).where("label = 1").select("volume_id", "x", "y", "z", "label")
+    return comp.mask_boxes(mask, dims(spark, d), 2)
+
+
+@query(WITH + " SELECT volume_id, x, y, z FROM v WHERE gray < 40 OR (x + y) % 4 = 0")
+def g34_merged_masks(spark: S, d: str) -> D:
+    v = voxels(spark, d)
+    masks = [v.where(c).select(F.lit(i).alias("mask_id"), "volume_id", "x", "y", "z", F.lit(1).alias("value")) for i, c in enumerate(("gray < 40", "(x + y) % 4 = 0"))]
+    return lab.merge_masks(masks[0].unionByName(masks[1]))
+
+
+@query(WITH + ", e AS (SELECT x, y, z, gray * 3 + x AS value FROM v WHERE z BETWEEN 1 AND 4), p AS (SELECT x * 31 + y * 7 + z AS id, x, y, z FROM v WHERE z BETWEEN 1 AND 4 AND gray % 17 = 0), q AS (SELECT p.id, e.x, e.y, row_number() OVER (PARTITION BY p.id ORDER BY value DESC, e.y, e.x) AS i FROM p JOIN e ON e.z = p.z AND (e.x - p.x) * (e.x - p.x) + (e.y - p.y) * (e.y - p.y) <= 4) SELECT id, x, y FROM q WHERE i = 1")
+def n16_snapped_points(spark: S, d: str) -> D:
+    v = voxels(spark, d).where("z BETWEEN 1 AND 4")
+    edges = v.select("volume_id", "x", "y", "z", (F.col("gray") * 3 + F.col("x")).alias("value"))
+    points = v.where("gray % 17 = 0").select((F.col("x") * 31 + F.col("y") * 7 + F.col("z")).alias("id"), "volume_id", "x", "y", "z")
+    return stencil.snap_to_edge(edges, points, 2)
+
+
+@query(WITH + " SELECT round(min(gray * 20.0), 6) AS min_v, round(max(gray * 20.0), 6) AS max_v, round(avg(gray * 20.0), 6) AS mean_v, count(*) AS n FROM v WHERE gray > 0")
+def a26_velocity_statistics(spark: S, d: str) -> D:
+    return stats.velocity_statistics(voxels(spark, d).select((F.col("gray") * 20.0).alias("v")))
+
+
+@query(f"WITH {PORES}, b AS (SELECT min(x) - 0.01 AS ox, min(y) - 0.01 AS oy, min(z) - 0.01 AS oz FROM pores), c AS (SELECT CAST(floor((x - ox) * 0.01) AS BIGINT) AS cx, CAST(floor((y - oy) * 0.01) AS BIGINT) AS cy, CAST(floor((z - oz) * 0.01) AS BIGINT) AS cz, avg(radius) AS density FROM pores, b GROUP BY ALL), s AS (SELECT min(density) AS lo, max(density) AS hi FROM c) SELECT cx, cy, cz, round(density, 6) AS density, CAST(floor(255 * (density - lo) / (hi - lo)) AS BIGINT) AS gray FROM c, s")
+def r10_points_to_grid(spark: S, d: str) -> D:
+    return res.points_to_grid(fix.pores(spark, d).select("x", "y", "z", F.col("radius").alias("density")), 0.01)
+
+
+@query(WITH + " SELECT i AS x, j AS y, CASE WHEN v.gray < 100 THEN 5 ELSE 0 END AS value FROM range(40) p(i), range(17) q(j) LEFT JOIN v ON v.z = 2 AND v.x = (i * 25) // 40 AND v.y = (j * 25) // 17")
+def r11_resized_mask(spark: S, d: str) -> D:
+    mask = voxels(spark, d).where("z = 2").select("x", "y", F.when(F.col("gray") < 100, 1).otherwise(0).alias("value"))
+    return res.resize_mask(mask, (25, 25), (40, 17), 5)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomolake.functions.physics import number_in_name
+from tomolake.operators.sizes import small
 
 MEASUREMENT = "id long, name string, view string, slice long, x1 long, y1 long, x2 long, y2 long, distance double, unit string, text string, created string"
 
@@ -36,7 +37,7 @@ def read_raw_stack(spark: SparkSession, folder: str, width: int, height: int, pa
                 at = np.arange(len(g))
                 yield pd.DataFrame({"volume_id": 1, "x": at % width, "y": at // width, "z": int(r.z), "gray": g, "label": 0})
 
-    return files.select("path", "content").join(F.broadcast(order.select("path", "z")), "path").mapInPandas(decode, "volume_id long, x long, y long, z long, gray long, label long")
+    return files.select("path", "content").join(small(order.select("path", "z")), "path").mapInPandas(decode, "volume_id long, x long, y long, z long, gray long, label long")
 
 
 def slice_images(voxels: DataFrame, width: int, height: int, prefix: str = "slice_", digits: int = 4, first: int = 0, value: str = "gray") -> DataFrame:
