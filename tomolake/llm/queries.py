@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomolake.llm import chat, collocations, decontaminate, embeddings, language, quality, rollup, segment, simhash, toxicity, warc
+from tomolake.llm import alignment, chat, collocations, decontaminate, embeddings, language, licenses, quality, rollup, segment, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.corpus_alignment(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gumbel_segmentations, op2_warc_archive, op3_toxicity, op4_embedding_neardup, op5_chat_perspectives, op6_language_id, op7_simhash_neardup, op8_token_rollup, op9_quality, op10_decontamination, op11_collocations)}
+    return {f.__name__: f for f in (op1_gumbel_segmentations, op2_warc_archive, op3_toxicity, op4_embedding_neardup, op5_chat_perspectives, op6_language_id, op7_simhash_neardup, op8_token_rollup, op9_quality, op10_decontamination, op11_collocations, op12_license_scan, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_archive": warc.ORACLE_SQL, "op5_chat_perspectives": chat.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL}
+    return {"op2_warc_archive": warc.ORACLE_SQL, "op5_chat_perspectives": chat.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_license_scan": licenses.ORACLE_SQL}
