@@ -73,7 +73,7 @@ def test_a_task_that_forgets(spark, monkeypatch):
     known = alignment.Pieces(tok)
     for words in ([b" one", b" two"], [b" two", b" three four"], [b" one"]):
         at = known.learn(words)
-        assert [known.lines[k] for k in at] == [alignment.aligned(*tok.encode([w.decode()]), tok)[0][3] for w in words]
+        assert [known.lines[k] for k in at] == [alignment.aligned(*tok.encode([w.decode()]), tok)[1][0] for w in words]
 
 
 def test_no_rows(spark):

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from tomolake.llm.common import give_back, slices, written
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct pieces that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: A link's code is a * B_IDS + b.
 B_IDS = 1 << 20
 SPACE_MARK = "▁"
@@ -51,9 +52,37 @@ class Tokenizers:
             raise ValueError(f"{b_file}: a piece goes on after a space, so texts can't be cut at spaces")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
 
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        # Ids as they are spelled in groups, each with what follows it: A "," A "|" B "," B ";".
+        ids = [range(len(x)) for x in (self.a_bytes, self.b_bytes)]
+        self.said = pa.array([f"{i}{mark}" for own, marks in zip(ids, (",|", ",;"), strict=True) for mark in marks for i in own], pa.large_binary())
+        self.spellings = [pa.array(x, pa.large_binary()) for x in (self.a_bytes, self.b_bytes)]
+
+    def encode(self, pieces: list[str]) -> tuple["Tokens", "Tokens"]:
         """Ids of both for pieces that start with a space, which the second tokenizer adds itself."""
-        return [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)], self.b.encode([p[1:] for p in pieces], num_threads=1)
+        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        return Tokens(a, self.a_size, self.spellings[0]), Tokens(self.b.encode([p[1:] for p in pieces], num_threads=1), self.b_size, self.spellings[1])
+
+
+class Tokens:
+    """Token ids of pieces, one after the other."""
+
+    def __init__(self, ids: list[list[int]], size: np.ndarray, spelling: pa.Array) -> None:
+        self.n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids = np.fromiter(chain.from_iterable(ids), np.int64, int(self.n.sum()))
+        self.size, self.spelling = size, spelling
+
+    def bytes_of_pieces(self) -> np.ndarray:
+        return _sums(self.size[self.ids], np.concatenate(([0], np.cumsum(self.n))))
+
+    def only(self, keep: np.ndarray) -> "Tokens":
+        """These, with no tokens in the other pieces."""
+        out = object.__new__(Tokens)
+        out.n, out.ids, out.size, out.spelling = np.where(keep, self.n, 0), self.ids[np.repeat(keep, self.n)], self.size, self.spelling
+        return out
+
+    def spelled(self) -> np.ndarray:
+        return np.frombuffer(self.spelling.take(pa.array(self.ids)).buffers()[2] or b"", np.uint8)
 
 
 @cache
@@ -78,34 +107,44 @@ def terminals(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nd
         succ = farther
 
 
-def aligned(a_ids: list[list[int]], b_ids: list[list[int]], tok: Tokenizers) -> list[tuple[int, int, int, bytes, list[int]]]:
-    """Tokens of a, tokens of b, groups, the groups spelled out and the linked pairs' codes of each piece.
+def faithful(pieces: list[bytes], a: Tokens, b: Tokens) -> np.ndarray:
+    """Whether the tokens of both spell each piece."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ok = (a.bytes_of_pieces() == size) & (b.bytes_of_pieces() == size)
+    want, ends = np.frombuffer(b"".join(p for p, good in zip(pieces, ok.tolist(), strict=True) if good), np.uint8), np.cumsum(size[ok])
+    for tokens in (a, b):
+        wrong = np.flatnonzero(tokens.only(ok).spelled()[: len(want)] != want)
+        bad = np.flatnonzero(ok)[np.searchsorted(ends, wrong, "right")]
+        if len(bad):
+            ok[bad] = False
+            return ok & faithful([p if good else b"" for p, good in zip(pieces, ok.tolist(), strict=True)], a.only(ok), b.only(ok))
+    return ok
 
-    The pieces' tokens must spell the same bytes.
-    """
-    na, nb = np.fromiter(map(len, a_ids), np.int64, len(a_ids)), np.fromiter(map(len, b_ids), np.int64, len(b_ids))
-    flat_a, flat_b = [i for x in a_ids for i in x], [i for x in b_ids for i in x]
-    if not flat_a:
-        return [(0, 0, 0, b"", []) for _ in a_ids]
-    a_ends = np.cumsum(np.fromiter((len(tok.a_bytes[i]) for i in flat_a), np.int64, len(flat_a)))
-    b_ends = np.cumsum(np.fromiter((len(tok.b_bytes[i]) for i in flat_b), np.int64, len(flat_b)))
-    of_a, of_b = terminals(a_ends, b_ends)
-    # Terminals ascend along either sequence: a group is a run of tokens with the same terminal.
-    a_cut = [0, *(np.flatnonzero(of_a[1:] != of_a[:-1]) + 1).tolist(), len(flat_a)]
-    b_cut = [0, *(np.flatnonzero(of_b[1:] != of_b[:-1]) + 1).tolist(), len(flat_b)]
-    groups = np.searchsorted(b_cut[1:], np.cumsum(nb), "right")  # groups up to the end of each piece
-    say_a, say_b = [str(i) for i in flat_a], [str(i) for i in flat_b]
-    out, g = [], 0
-    for k, upto in enumerate(groups.tolist()):
-        own = range(g, upto)
-        line = ";".join([f"{','.join(say_a[a_cut[j]:a_cut[j + 1]])}|{','.join(say_b[b_cut[j]:b_cut[j + 1]])}" for j in own])
-        out.append((int(na[k]), int(nb[k]), upto - g, line.encode(), [flat_a[a_cut[j + 1] - 1] * B_IDS + flat_b[b_cut[j + 1] - 1] for j in own]))
-        g = upto
-    return out
 
+def aligned(a: Tokens, b: Tokens, tok: Tokenizers) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Of each piece the tokens of a and b and the groups (a row of three), the groups spelled out, each followed by ";", the
+    codes of the linked pairs of all pieces, and where each piece's end among these.
 
-def spelled(ids: list[int], tokens: list[bytes]) -> bytes:
-    return b"".join([tokens[i] for i in ids])
+    The tokens of both must spell the same pieces.
+    """
+    if not len(a.ids):
+        return np.zeros((len(a.n), 3), np.int64), [b""] * len(a.n), np.zeros(0, np.int64), np.zeros(len(a.n), np.int64)
+    of_a, of_b = terminals(np.cumsum(a.size[a.ids]), np.cumsum(b.size[b.ids]))
+    # Terminals ascend along either sequence: a group is a run of tokens with the same terminal.
+    last_a, last_b = (np.append(x[1:] != x[:-1], True) for x in (of_a, of_b))
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    upto = np.concatenate(([0], np.cumsum(last_b)))[np.cumsum(b.n)]  # groups up to the end of each piece
+    # Each group is its tokens of a, then those of b; a token's place in that order is what stands before it.
+    order = np.empty(len(a.ids) + len(b.ids), np.int64)
+    before_a, before_b = np.concatenate(([0], np.cumsum(np.bincount(group_a)))), np.concatenate(([0], np.cumsum(np.bincount(group_b))))
+    n, m = len(tok.a_size), len(tok.b_size)
+    order[np.arange(len(a.ids)) + before_b[group_a]] = a.ids + n * last_a
+    order[np.arange(len(b.ids)) + before_a[group_b + 1]] = b.ids + 2 * n + m * last_b
+    said = tok.said.take(pa.array(order))
+    text, offsets = said.buffers()[2].to_pybytes(), np.frombuffer(said.buffers()[1], np.int64)
+    ends = offsets[np.cumsum(a.n + b.n)].tolist()
+    lines = [text[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+    return np.stack((a.n, b.n, np.diff(upto, prepend=0)), axis=1), lines, a.ids[last_a] * B_IDS + b.ids[last_b], upto
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -139,14 +178,12 @@ class Pieces:
         new = [p for p in pieces if p not in self.index]
         if new:
             a, b = self.tok.encode([p.decode() for p in new])
-            odd = [spelled(x, self.tok.a_bytes) != p or spelled(y, self.tok.b_bytes) != p for p, x, y in zip(new, a, b, strict=True)]
-            done = aligned([[] if o else x for o, x in zip(odd, a, strict=True)], [[] if o else x for o, x in zip(odd, b, strict=True)], self.tok)
+            ok = faithful(new, a, b)
+            sizes, lines, links, ends = aligned(a.only(ok), b.only(ok), self.tok)
             self.index.update(zip(new, range(len(self.lines), len(self.lines) + len(new)), strict=True))
-            self.lines += [x[3] for x in done]
-            self.sizes = np.concatenate((self.sizes, np.array([x[:3] for x in done], np.int64)))
-            self.odd = np.concatenate((self.odd, np.array(odd)))
-            self.links = np.concatenate((self.links, np.fromiter((y for x in done for y in x[4]), np.int64)))
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.fromiter((len(x[4]) for x in done), np.int64, len(done)))))
+            self.lines += lines
+            self.sizes, self.odd = np.concatenate((self.sizes, sizes)), np.concatenate((self.odd, ~ok))
+            self.links, self.ends = np.concatenate((self.links, links)), np.concatenate((self.ends, self.ends[-1] + ends))
         return np.fromiter((self.index[p] for p in pieces), np.int64, len(pieces))
 
     def links_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,15 +234,15 @@ def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a_file: s
                 i, j = int(edge[d]), int(edge[d + 1])
                 if odd[i:j].any():
                     picked[i:j] = False
-                    whole = (b" " + texts[d]).decode()
-                    a, b = tok.encode([whole])
-                    same = spelled(a[0], tok.a_bytes) == spelled(b[0], tok.b_bytes) == whole.encode()
-                    na, nb, groups, line, links = aligned(a, b, tok)[0] if same else (0, 0, 0, b"", [])
-                    counts[d] = na, nb, groups
-                    extra += [(d, x) for x in links]
+                    whole = b" " + texts[d]
+                    a, b = tok.encode([whole.decode()])
+                    ok = faithful([whole], a, b)
+                    size, (line,), links, _ = aligned(a.only(ok), b.only(ok), tok)
+                    counts[d] = size[0]
+                    extra += [(d, x) for x in links.tolist()]
                 else:
-                    line = b";".join([known.lines[k] for k in inner[i:j]])
-                lines.append(hashlib.sha256(line).hexdigest() if line else "")
+                    line = b"".join([known.lines[k] for k in inner[i:j]])
+                lines.append(hashlib.sha256(line[:-1]).hexdigest() if line else "")
             code, n = known.links_of(numbers[picked])
             where = np.concatenate((np.repeat(of[picked], n), np.array([d for d, _ in extra], np.int64)))
             code, number = np.unique(np.concatenate((code, np.array([x for _, x in extra], np.int64))), return_inverse=True)
