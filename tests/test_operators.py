@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tomolake.functions import physics as fx
 from tomolake.operators import calibrate, components, core, labels, network, resample, sections, series, stats, stencil, voxels
-from tomolake.operators.graph import connected_components, shortest_paths
+from tomolake.operators.graph import connected_components, paths_within, shortest_paths
 from tomolake.sources import files
 from tomolake.streaming import frames
 
@@ -164,6 +164,75 @@ def test_binning_keeps_the_mean(spark, noise):
     assert resample.bin_volume(v, 2, (4, 4, 4)).agg(F.avg("gray"), F.count("*")).first()[:] == (9.0, 8)
 
 
+def test_paths_within_a_limit(spark):
+    """Several bands, several sources, against all-pairs relaxation."""
+    rng = np.random.default_rng(8)
+    n, edges = 60, {}
+    for a, b in rng.integers(0, 60, (130, 2)).tolist():
+        if a != b:
+            edges[min(a, b), max(a, b)] = float(rng.integers(1, 40)) / 4
+    far = np.full((n, n), np.inf)
+    np.fill_diagonal(far, 0)
+    for (a, b), w in edges.items():
+        far[a, b] = far[b, a] = min(far[a, b], w)
+    for k in range(n):
+        far = np.minimum(far, far[:, k : k + 1] + far[k : k + 1])
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()] + [(3, 3, 1.0)], "a long, b long, w double")
+    for limit in (14.0, 1e9, 0.0):
+        got = paths_within(e, spark.createDataFrame([(i,) for i in (0, 5, 9, 9)], "source long"), spark.createDataFrame([(i,) for i in range(30)] * 2, "node long"), limit)
+        assert {tuple(r) for r in got.collect()} == {(i, j, far[i, j]) for i in (0, 5, 9) for j in range(30) if far[i, j] < limit}
+
+
+def test_capped_edges_against_one_pass(spark):
+    rng = np.random.default_rng(9)
+    for k, hub in ((1, 12), (3, 12), (6, 40)):
+        edges = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, hub, (260, 2)).tolist() if a != b})
+        edges = [(a, b, r) for r, (a, b) in zip(rng.permutation(len(edges)).tolist(), edges, strict=True)]
+        degree, want = {}, set()
+        for a, b, _ in sorted(edges, key=lambda e: (e[0], e[2])):
+            if degree.get(a, 0) < k and degree.get(b, 0) < k:
+                degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+                want.add((a, b))
+        got = network.capped(spark.createDataFrame(edges, "a long, b long, rank long"), k, ["a", "rank"])
+        assert {(r["a"], r["b"]) for r in got.collect()} == want and len(want) < len(edges)
+
+
+def joined_one_by_one(pores, edges):
+    """Clusters in order of size and least pore, each by its closest pore to all that went before."""
+    root = {i: i for i in pores}
+    for _ in pores:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    groups = {}
+    for i, r in root.items():
+        groups.setdefault(r, []).append(i)
+    order = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
+    merged, new = list(order[0]), set()
+    for g in order[1:]:
+        d, i, j = min((float(np.linalg.norm(pores[i][0] - pores[j][0])), i, j) for i in merged for j in g)
+        new.add((min(i, j), max(i, j), round(d, 9)))
+        merged += g
+    return new
+
+
+def test_flow_path_joins_all_clusters(spark):
+    """Far clusters, single pores, equal sizes and pores at one place; at least three joins."""
+    rng = np.random.default_rng(12)
+    at = [*rng.normal(0, 3, (30, 3)), *rng.normal((100, 0, 5), 3, (30, 3)), *rng.uniform(-300, 300, (25, 3)), (5.0, 5.0, 400.0), (5.0, 5.0, 400.0)]
+    at[61], at[75] = at[60] + 1, at[70] + 1  # linked ones lie close, so that no path leads from inlets to outlets
+    pores = {i: (np.array(c, float), float(rng.integers(1, 4))) for i, c in enumerate(at)}
+    edges = {(i, i + 1) for i in [*range(0, 29), *range(30, 59)]} | {(60, 61), (70, 75)}
+    p = spark.createDataFrame([(i, *map(float, c), r, 1.0) for i, (c, r) in pores.items()], "id long, x double, y double, z double, radius double, volume double")
+    e = spark.createDataFrame([(a, b, 1.0, 1.0, 1.0, 1.0) for a, b in edges], "pore1 long, pore2 long, distance double, radius double, length double, volume double")
+    out = network.enforce_flow_path(p, e).collect()
+    new = [r for r in out if (r["pore1"], r["pore2"]) not in edges]
+    assert {(r["pore1"], r["pore2"], round(r["distance"], 9)) for r in new} == joined_one_by_one(pores, edges)
+    assert len(new) == 26 and len(out) == len(edges) + 26
+    for r in new:
+        small, both = min(pores[r["pore1"]][1], pores[r["pore2"]][1]), pores[r["pore1"]][1] + pores[r["pore2"]][1]
+        assert np.allclose([r["radius"], r["length"]], [0.4 * small, max(0.1, r["distance"] - both)])
+
+
 def test_suppression_and_throats_against_plain_versions(spark):
     rng = np.random.default_rng(5)
     b = [(i, 0, int(x), int(y), 6, 6, float(s), True) for i, (x, y, s) in enumerate(zip(rng.integers(0, 40, 60), rng.integers(0, 40, 60), rng.random(60), strict=True))]

@@ -1,4 +1,7 @@
-"""Connected components of voxels: local labels by chunk, merged over the faces of chunks."""
+"""Connected components of voxels: local labels by chunk, merged over the faces of chunks.
+
+Chunks travel as packed pieces (see stencil); after that only their faces and the pairs of labels that touch are shuffled.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +9,13 @@ from collections.abc import Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomolake.operators.graph import connected_components
+from tomolake.operators.sizes import small
+from tomolake.operators.stencil import blocks, places
 from tomolake.sources.shared import written
 
 SIX = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
@@ -53,26 +58,23 @@ def label_components(rows: DataFrame, dims: Sequence[int], offsets: Sequence[tup
     """
     w, h, _ = dims
     mask = rows.where(F.col(value) > 0).select("volume_id", "x", "y", "z", F.col(value).cast("long").alias("value"))
-    keyed = mask.withColumns({f"c{a}": F.floor(F.col(a) / chunk) for a in "xyz"})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = [int(pdf[a].min()) for a in "zyx"]
-        shape = [int(pdf[a].max()) - lo + 1 for a, lo in zip("zyx", low, strict=True)]
-        block = np.zeros(shape, np.int64)
-        at = tuple((pdf[a] - lo).to_numpy() for a, lo in zip("zyx", low, strict=True))
-        block[at] = pdf["value"]
-        z, y, x = np.unravel_index(label_block(block, offsets)[at], shape)
-        return pd.DataFrame({"volume_id": pdf["volume_id"], "x": pdf["x"], "y": pdf["y"], "z": pdf["z"], "value": pdf["value"], "local": ((z + low[0]) * h + y + low[1]) * w + x + low[2]})
-
-    local = written(keyed.groupBy("volume_id", "cx", "cy", "cz").applyInPandas(run, "volume_id long, x long, y long, z long, value long, local long"), "local_labels")
+
+    def work(volume: int, corner: tuple[int, int, int], block: np.ndarray, present: np.ndarray) -> pa.Table:
+        values = block.astype(np.int64)
+        z, y, x = np.unravel_index(np.where(present, label_block(values, offsets), 0), values.shape)
+        return places(volume, corner, present, value=values, local=((z + corner[2]) * h + y + corner[1]) * w + x + corner[0])
+
+    local = written(blocks(mask, work, "volume_id long, x long, y long, z long, value long, local long", 0, dims, chunk, "value"), "local_labels")
+    # Only voxels on a chunk's faces can link to another chunk: they alone are sent to their neighbours.
+    border = local.where(" OR ".join(f"pmod({a}, {chunk}) IN (0, {chunk - 1})" for a in "xyz"))
     o = F.array(*[F.struct(*[F.lit(c).alias(n) for n, c in zip("ijk", off, strict=True)]) for off in offsets])
-    out = local.select("volume_id", "value", F.col("local").alias("a"), "x", "y", "z", F.explode(o).alias("o"))
+    out = border.select("volume_id", "value", F.col("local").alias("a"), "x", "y", "z", F.explode(o).alias("o"))
     out = out.select("volume_id", "value", "a", *[(F.col(a) + F.col(f"o.{c}")).alias(a) for a, c in zip("xyz", "ijk", strict=True)], *[F.col(a).alias(f"p{a}") for a in "xyz"])
     crossing = " OR ".join(f"floor({a} / {chunk}) != floor(p{a} / {chunk})" for a in "xyz")
-    faces = out.where(crossing).join(local.withColumnRenamed("local", "b"), ["volume_id", "x", "y", "z", "value"]).select("volume_id", "a", "b").distinct()
+    faces = out.where(crossing).join(border.withColumnRenamed("local", "b"), ["volume_id", "x", "y", "z", "value"]).select("volume_id", "a", "b").distinct()
     pairs = faces.select(F.struct("volume_id", F.col("a").alias("i")).alias("a"), F.struct("volume_id", F.col("b").alias("i")).alias("b"))
     roots = connected_components(pairs).select(F.col("node.volume_id").alias("volume_id"), F.col("node.i").alias("local"), F.col("root.i").alias("root"))
-    return local.join(roots, ["volume_id", "local"], "left").select("volume_id", "x", "y", "z", F.col("value").alias(value), F.coalesce("root", "local").alias("component"))
+    return local.join(small(roots), ["volume_id", "local"], "left").select("volume_id", "x", "y", "z", F.col("value").alias(value), F.coalesce("root", "local").alias("component"))
 
 
 def separate_particles(voxels: DataFrame, material: int, dims: Sequence[int], flat: bool = False, conservative: bool = False, chunk: int = 64) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomolake.sources.shared import drop_path, new_path, written
+from tomolake.sources.shared import drop_path, new_path, replaced, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -51,3 +51,56 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             return known
         known = written(known.unionByName(frontier).groupBy("source", "node").agg(F.min("distance").alias("distance")), "distances")
+
+
+def paths_within(edges: DataFrame, sources: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
+    """(source, node, distance) of the shortest paths shorter than the limit from the sources (source) to the targets (node).
+
+    Edges are undirected (a, b, w), w not below 0. Distances are settled in bands as wide as the longest edge: a band is relaxed
+    until it no longer changes, its targets are written out, and the band before it is forgotten. No edge leads from
+    later bands back beyond it, so what is kept is the band at hand and what lies ahead, not every pair of source and node.
+    """
+    spark = edges.sparkSession
+    short = edges.where(F.col("w") < limit)
+    arcs = written(short.select("a", "b", "w").unionByName(short.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")), "arcs")
+    width = arcs.agg(F.max("w")).first()[0] or 0.0
+    start = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")).distinct()
+    known, path = replaced(start.where(F.lit(limit > 0)), "band")
+    found, end = new_path(spark, "settled"), 0.0
+    known.drop("fresh").limit(0).write.parquet(found)
+    while True:
+        low = known.where(F.col("distance") >= end).agg(F.min("distance")).first()[0]
+        if low is None:
+            return spark.read.schema(known.drop("fresh").schema).parquet(found)
+        end = low + (width or 1.0)
+        in_band = F.col("distance") < end
+        while not known.where(F.col("fresh") & in_band).isEmpty():
+            arrived = known.where(F.col("fresh") & in_band).join(arcs, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("distance")).where(F.col("distance") < limit)
+            both = known.withColumn("fresh", F.col("fresh") & ~in_band).unionByName(arrived.withColumn("fresh", F.lit(True)))
+            # The shorter of what was known and what has arrived; at equal lengths what was known.
+            shorter = both.groupBy("source", "node").agg(F.min(F.struct("distance", "fresh")).alias("m")).select("source", "node", "m.*")
+            known, path = replaced(shorter, "band", path)
+        band = known.where((F.col("distance") >= low) & in_band).select("source", "node", "distance")
+        band.join(targets.select("node").distinct(), "node", "left_semi").select("source", "node", "distance").write.mode("append").parquet(found)
+        known = known.where(F.col("distance") >= low - 1e-9 * width)
+
+
+def dominated(pairs: DataFrame) -> DataFrame:
+    """(node) of all that a pass from the strongest on drops, if it keeps what it meets and drops all that this dominates.
+
+    pairs: (winner, loser), without circles. In rounds: who loses to nobody undecided stays, and all it dominates go, with
+    their pairs. Of those left somebody always loses to nobody.
+    """
+    spark = pairs.sparkSession
+    left, path = replaced(pairs.select("winner", "loser"), "undecided")
+    gone = new_path(spark, "gone")
+    left.select(F.col("loser").alias("node")).limit(0).write.parquet(gone)
+    while not left.isEmpty():
+        beaten = left.select(F.col("loser").alias("winner")).distinct()
+        out, lost = replaced(left.join(beaten, "winner", "left_anti").select(F.col("loser").alias("node")).distinct(), "lost")
+        out.write.mode("append").parquet(gone)
+        for end in ("winner", "loser"):
+            left = left.join(out.select(F.col("node").alias(end)), end, "left_anti")
+        left, path = replaced(left.select("winner", "loser"), "undecided", path)
+        drop_path(spark, lost)
+    return spark.read.schema(pairs.select(F.col("loser").alias("node")).schema).parquet(gone)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tomolake.operators.graph import dominated
+from tomolake.operators.sizes import small
 from tomolake.operators.voxels import PLANE
 
 KEY = ["volume_id", "x", "y", "z"]
@@ -84,7 +85,7 @@ def remove_material(voxels: DataFrame, materials: DataFrame, material: int) -> t
 def next_free_id(materials: DataFrame) -> DataFrame:
     """The least unused id from 1 to 254, null if there is none."""
     ids = materials.sparkSession.range(1, 255).toDF("id")
-    return ids.join(F.broadcast(materials.select("id").distinct()), "id", "left_anti").agg(F.min("id").alias("next_id"))
+    return ids.join(small(materials.select("id").distinct()), "id", "left_anti").agg(F.min("id").alias("next_id"))
 
 
 def add_material(materials: DataFrame, name: str, low: int, high: int) -> DataFrame:
@@ -225,31 +226,23 @@ def frequency_map(maps: DataFrame, target: int) -> DataFrame:
 def suppress_boxes(boxes: DataFrame, iou: float = 0.5) -> DataFrame:
     """Boxes (det_id, slice, x, y, w, h, score) that survive greedy non-maximum suppression within their slice.
 
-    Overlaps above the limit are found by an equi-join on the tiles that boxes cover; slices with overlaps run the
-    greedy pass on the overlapping boxes only.
+    Of equal boxes of a slice only the strongest (score, then least id) can survive. Overlaps above the limit between
+    the others are found by an equi-join on the tiles that boxes cover; a pair counts in the tile of its common corner. Then rounds
+    decide, see dominated().
     """
     size = 32
-    cells = boxes.withColumn("tx", F.explode(F.sequence(F.floor(F.col("x") / size), F.floor((F.col("x") + F.col("w")) / size)))).withColumn("ty", F.explode(F.sequence(F.floor(F.col("y") / size), F.floor((F.col("y") + F.col("h")) / size))))
+    same = boxes.groupBy("slice", "x", "y", "w", "h").agg(F.max(F.struct("score", (-F.col("det_id")).alias("id"))).alias("top"))
+    alone = same.select("slice", "x", "y", "w", "h", F.col("top.score").alias("score"), (-F.col("top.id")).alias("det_id"))
+    cells = alone.withColumn("tx", F.explode(F.sequence(F.floor(F.col("x") / size), F.floor((F.col("x") + F.col("w")) / size)))).withColumn("ty", F.explode(F.sequence(F.floor(F.col("y") / size), F.floor((F.col("y") + F.col("h")) / size))))
     a, b = cells.alias("a"), cells.alias("b")
     overlap = F.greatest(F.lit(0), F.least(F.col("a.x") + F.col("a.w"), F.col("b.x") + F.col("b.w")) - F.greatest("a.x", "b.x")) * F.greatest(F.lit(0), F.least(F.col("a.y") + F.col("a.h"), F.col("b.y") + F.col("b.h")) - F.greatest("a.y", "b.y"))
     union = F.col("a.w") * F.col("a.h") + F.col("b.w") * F.col("b.h") - overlap
     before = (F.col("a.score") > F.col("b.score")) | ((F.col("a.score") == F.col("b.score")) & (F.col("a.det_id") < F.col("b.det_id")))
-    pairs = a.join(b, (F.col("a.slice") == F.col("b.slice")) & (F.col("a.tx") == F.col("b.tx")) & (F.col("a.ty") == F.col("b.ty"))).where(before & (overlap / union > iou))
-    pairs = pairs.select(F.col("a.slice").alias("slice"), F.col("a.det_id").alias("winner"), F.col("a.score").alias("score"), F.col("b.det_id").alias("det_id")).distinct()
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        beaten = {}
-        for r in pdf.itertuples():
-            beaten.setdefault(r.winner, []).append(r.det_id)
-        gone: set = set()
-        order = pdf[["winner", "score"]].drop_duplicates().sort_values(["score", "winner"], ascending=[False, True])
-        for w in order["winner"]:
-            if w not in gone:
-                gone.update(beaten[w])
-        return pd.DataFrame({"det_id": sorted(gone)}, dtype="int64")
-
-    gone = pairs.groupBy("slice").applyInPandas(greedy, "det_id long")
-    return boxes.join(gone, "det_id", "left_anti")
+    corner = (F.floor(F.greatest("a.x", "b.x") / size) == F.col("a.tx")) & (F.floor(F.greatest("a.y", "b.y") / size) == F.col("a.ty"))
+    pairs = a.join(b, (F.col("a.slice") == F.col("b.slice")) & (F.col("a.tx") == F.col("b.tx")) & (F.col("a.ty") == F.col("b.ty"))).where(corner & before & (overlap / union > iou))
+    gone = dominated(pairs.select(F.col("a.det_id").alias("winner"), F.col("b.det_id").alias("loser")))
+    kept = alone.join(gone.withColumnRenamed("node", "det_id"), "det_id", "left_anti").select("det_id")
+    return boxes.join(kept, "det_id", "left_semi")
 
 
 def label_boxes(voxels: DataFrame, boxes: DataFrame, material: int, least: float, view: str = "XY") -> DataFrame:
@@ -272,6 +265,17 @@ def box_points(boxes: DataFrame) -> DataFrame:
     return centre.unionByName(corners).unionByName(along).unionByName(up).distinct()
 
 
+def weighted_points(boxes: DataFrame, grid: int = 5) -> DataFrame:
+    """(det_id, kind, px, py, weight): a grid over the box whose points weigh more towards its centre, and the box filled in
+    steps of max(4, a tenth of the shorter side), each point of weight 1."""
+    g = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(grid - max(abs(i - grid // 2), abs(j - grid // 2))).cast("long").alias("weight")) for i in range(grid) for j in range(grid)]))
+    at = lambda a, side, k: (F.col(a) + F.col(side) * F.col(f"g.{k}") / (grid - 1)).cast("double")
+    grids = boxes.withColumn("g", g).select("det_id", F.lit("grid").alias("kind"), at("x", "w", "i").alias("px"), at("y", "h", "j").alias("py"), "g.weight")
+    step = F.greatest(F.lit(4), F.floor(F.least("w", "h") / 10)).cast("long")
+    along = boxes.withColumn("step", step).withColumn("px", F.explode(F.sequence("x", F.col("x") + F.col("w"), "step"))).withColumn("py", F.explode(F.sequence("y", F.col("y") + F.col("h"), "step")))
+    return grids.unionByName(along.select("det_id", F.lit("fill").alias("kind"), F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"), F.lit(1).cast("long").alias("weight")))
+
+
 def merge_masks(masks: DataFrame) -> DataFrame:
     """Places marked in any of the masks (mask_id, volume_id, x, y, z, value)."""
     return masks.where("value <> 0").select(KEY).distinct()

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import pi
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomolake.functions import physics as fx
-from tomolake.operators.graph import connected_components, shortest_paths
-from tomolake.operators.sizes import bounded
+from tomolake.operators.graph import connected_components, paths_within
+from tomolake.operators.sizes import bounded, small
 from tomolake.operators.stats import MILLIDARCY, kozeny_carman
-from tomolake.sources.shared import written
+from tomolake.sources.shared import replaced, written
 
 NEAREST = 6
 SIDE_BINS = 1024
@@ -62,36 +61,42 @@ def nearest_lists(pairs: DataFrame, k: int = NEAREST) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def capped(edges: DataFrame, k: int, order: Sequence[str], a: str = "a", b: str = "b") -> DataFrame:
+    """The edges that a pass in the given order keeps if it takes each whose two ends both have fewer than k by then.
+
+    Decided in rounds instead of one by one. An edge is taken once fewer than k of those not rejected come before it at
+    either end, whatever becomes of them; it is rejected once k taken ones come before it at one end. The first
+    undecided edge of all is always decided, and far apart ones at the same time. order must be unique to an edge.
+    """
+    names = [a, b, *[c for c in order if c not in (a, b)]]
+    left, path = replaced(edges.select(*names, F.lit(False).alias("taken")), "undecided")
+    at = Window.partitionBy("end").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    while not left.where("NOT taken").isEmpty():
+        ends = left.withColumn("end", F.explode(F.array(a, b)))
+        ends = ends.withColumns({"before": F.count("*").over(at), "sure": F.coalesce(F.sum(F.col("taken").cast("int")).over(at), F.lit(0))})
+        said = ends.groupBy(*names).agg(F.first("taken").alias("taken"), F.max("before").alias("before"), F.max("sure").alias("sure"))
+        decided = said.where(f"taken OR sure < {k}").select(*names, (F.col("taken") | (F.col("before") < k)).alias("taken"))
+        left, path = replaced(decided, "undecided", path)
+    return edges.join(left.select(*names), names, "left_semi")
+
+
 def throats(pores: DataFrame, k: int = NEAREST) -> DataFrame:
     """Throats in order of the lower pore's id and its ranks, each pore keeping at most k.
 
     A pair is a candidate if the higher pore is on the lower one's list. Only a pore with more than k candidates can be
-    full, so candidates between others are throats at once. The rest run through the cap in order, a group for each set of
-    such crowded pores that candidates connect: sets don't bear on each other. Radius is 0.4 of the smaller pore's,
-    length what is between the spheres, at least 0.1.
+    full, so candidates between others are throats at once; the rest go through the cap in rounds. Radius is 0.4 of the
+    smaller pore's, length what is between the spheres, at least 0.1.
     """
     lists = written(nearest_lists(connectable_pairs(pores), k).where("id < other"), "candidates")
     crowded = lists.select(F.explode(F.array("id", "other")).alias("pore")).groupBy("pore").count().where(F.col("count") > k).select("pore")
     for end in ("id", "other"):
         lists = lists.join(crowded.select(F.col("pore").alias(end), F.lit(True).alias(f"full_{end}")), end, "left")
     lists = written(lists, "crowded")
-    free = lists.where("full_id IS NULL AND full_other IS NULL").select(F.col("id").alias("pore1"), F.col("other").alias("pore2"), "distance", F.least("r_id", "r_other").alias("small"), (F.col("r_id") + F.col("r_other")).alias("both"))
-    lists = lists.where("full_id IS NOT NULL OR full_other IS NOT NULL").withColumn("via", F.coalesce(F.when(F.col("full_id"), F.col("id")), "other"))
-    roots = connected_components(lists.where("full_id AND full_other").select(F.col("id").alias("a"), F.col("other").alias("b")))
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        degree: dict[int, int] = {}
-        kept = []
-        for r in pdf.sort_values(["id", "rank"]).itertuples():
-            if degree.get(r.id, 0) < k and degree.get(r.other, 0) < k:
-                degree[r.id], degree[r.other] = degree.get(r.id, 0) + 1, degree.get(r.other, 0) + 1
-                kept.append((r.id, r.other, r.distance, min(r.r_id, r.r_other), r.r_id + r.r_other))
-        return pd.DataFrame(kept, columns=["pore1", "pore2", "distance", "small", "both"])
-
-    named = lists.join(roots, F.col("via") == F.col("node"), "left").withColumn("root", F.coalesce("root", "via"))
-    t = free.unionByName(named.groupBy("root").applyInPandas(take, "pore1 long, pore2 long, distance double, small double, both double"))
+    free = lists.where("full_id IS NULL AND full_other IS NULL")
+    # Candidates between a crowded and another pore count at the crowded one only: the other never fills up.
+    t = free.unionByName(capped(lists.where("full_id OR full_other"), k, ["id", "rank"], "id", "other")).withColumns({"small": F.least("r_id", "r_other"), "both": F.col("r_id") + F.col("r_other")})
     radius, length = 0.4 * F.col("small"), F.greatest(F.lit(0.1), F.col("distance") - F.col("both"))
-    return t.select("pore1", "pore2", "distance", radius.alias("radius"), length.alias("length"), (pi * radius * radius * length).alias("volume"))
+    return t.select(F.col("id").alias("pore1"), F.col("other").alias("pore2"), "distance", radius.alias("radius"), length.alias("length"), (pi * radius * radius * length).alias("volume"))
 
 
 def connection_counts(pores: DataFrame, edges: DataFrame) -> DataFrame:
@@ -131,41 +136,67 @@ def inlets_outlets(pores: DataFrame, share: float = 0.1) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def closest_between(a: DataFrame, b: DataFrame, start: float) -> DataFrame:
-    """The closest pair of points between two sets: cells of a doubling edge until one holds a pair.
+def nearest_before(points: DataFrame) -> DataFrame:
+    """For each cluster but the largest the closest pair of one of its points and one of a larger cluster.
+
+    points: (id, x, y, z, radius, cluster, size); of clusters of a size the least comes first. Gives (cluster, id, radius, id2, r2,
+    distance) with id2 in the larger cluster; of equal distances the least id2, then id. Points without coordinates meet none.
 
-    No row where a set has no point with coordinates: once cells are wider than all points together, none can be left.
+    All clusters descend together through an octree: a pair of cells (one of the cluster's, one with a larger cluster's
+    points) stays while its least distance doesn't exceed the least of the cluster's greatest ones. What is left at the
+    finest cells, about eight for a point, is compared point by point. A level is two equi-joins.
     """
-    ends = a.select(*"xyz").unionByName(b.select(*"xyz")).agg(*[(F.max(x) - F.min(x)).alias(x) for x in "xyz"]).first()
-    reach, widest = max(start, 1e-9), sum(ends[x] or 0.0 for x in "xyz")
-    while True:
-        cells = {f"c{x}": F.floor(F.col(x) / reach) for x in "xyz"}
-        left = a.withColumns(cells)
-        for x in "xyz":
-            left = left.withColumn(f"c{x}", F.explode(F.array(*[F.col(f"c{x}") + i for i in (-1, 0, 1)])))
-        right = b.select(F.col("id").alias("id2"), F.col("radius").alias("r2"), *[F.col(x).alias(f"{x}2") for x in "xyz"], *[c.alias(n) for n, c in {f"c{x}": F.floor(F.col(x) / reach) for x in "xyz"}.items()])
-        d = F.sqrt(sum(((F.col(x) - F.col(f"{x}2")) * (F.col(x) - F.col(f"{x}2")) for x in "xyz"), F.lit(0.0)))
-        met = left.join(right, ["cx", "cy", "cz"]).select("id", "id2", "radius", "r2", d.alias("distance")).where(F.col("distance") <= reach)
-        best = met.orderBy("distance", "id", "id2").limit(1)
-        if reach > widest or not best.isEmpty():
-            return best
-        reach *= 2
+    s = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{k}{a}") for a in "xyz" for k, f in (("low", F.min), ("high", F.max))]).first()
+    edge = max((s[f"high{a}"] or 0.0) - (s[f"low{a}"] or 0.0) for a in "xyz") or 1.0
+    levels = min(20, -(-max(1, s["n"]).bit_length() // 3) + 1)
+    cell = {f"c{a}": F.least(F.lit((1 << levels) - 1), F.floor((F.col(a) - F.lit(s[f"low{a}"] or 0.0)) / edge * (1 << levels)).cast("int")) for a in "xyz"}
+    p = points.withColumn("place", F.struct((-F.col("size")).alias("size"), "cluster"))
+    p = written(p.select("id", *"xyz", "radius", "cluster", "place", *[c.alias(n) for n, c in cell.items()]), "celled")
+    start = p.agg(F.min("place").alias("least")).first()["least"]
+    led = F.lit(True) if start is None else ~((F.col("place.size") == start["size"]) & (F.col("place.cluster") == start["cluster"]))
+
+    def at(level: int, name: str) -> list[Column]:
+        return [F.shiftright(f"c{a}", levels - level).alias(f"{name}{a}") for a in "xyz"]
+
+    def below(pairs: DataFrame, level: int) -> DataFrame:
+        up = pairs.select("place", *[F.col(f"{n}{a}").alias(f"{n}p{a}") for n in "ab" for a in "xyz"])
+        mine = p.where(led).select("place", *at(level, "a")).distinct()
+        theirs = p.groupBy(*at(level, "b")).agg(F.min("place").alias("first"))
+        for n, cells, keys in (("a", mine, ["place"]), ("b", theirs, [])):
+            parents = [f"{n}p{a}" for a in "xyz"]
+            up = up.join(cells.withColumns({f"{n}p{a}": F.shiftright(f"{n}{a}", 1) for a in "xyz"}), [*keys, *parents]).drop(*parents)
+        apart = [F.abs(F.col(f"a{a}") - F.col(f"b{a}")).cast("long") for a in "xyz"]
+        gap = sum((F.greatest(x - 1, F.lit(0)) * F.greatest(x - 1, F.lit(0)) for x in apart), F.lit(0))
+        span = sum(((x + 1) * (x + 1) for x in apart), F.lit(0))
+        return up.where(F.col("first") < F.col("place")).drop("first").withColumns({"gap": gap, "span": span})
+
+    pairs = p.where(led & F.col("cx").isNotNull()).select("place", *at(0, "a"), *[F.lit(0).alias(f"b{a}") for a in "xyz"]).distinct()
+    path = None
+    for level in range(1, levels + 1):
+        near, path = replaced(below(pairs, level), "cells", path)
+        pairs = near.join(near.groupBy("place").agg(F.min("span").alias("most")), "place").where("gap <= most").drop("gap", "span", "most")
+    own = p.select("place", "cluster", "id", *"xyz", "radius", *at(levels, "a"))
+    other = p.select(F.col("place").alias("larger"), F.col("id").alias("id2"), F.col("radius").alias("r2"), *[F.col(a).alias(f"{a}2") for a in "xyz"], *at(levels, "b"))
+    met = pairs.join(own, ["place", "ax", "ay", "az"]).join(other, ["bx", "by", "bz"]).where(F.col("larger") < F.col("place"))
+    d = F.sqrt(sum(((F.col(a) - F.col(f"{a}2")) * (F.col(a) - F.col(f"{a}2")) for a in "xyz"), F.lit(0.0)))
+    best = met.withColumn("distance", d).groupBy("cluster").agg(F.min(F.struct("distance", "id2", "id", "radius", "r2")).alias("best"))
+    return best.select("cluster", "best.id", "best.radius", "best.id2", "best.r2", "best.distance")
 
 
 def enforce_flow_path(pores: DataFrame, edges: DataFrame) -> DataFrame:
-    """throats, and where no inlet reaches an outlet further ones that join the clusters, largest first, by their
-    closest pores, until inlets and outlets share one. Clusters, not pores, are looped over."""
-    while True:
-        named = clusters(pores, edges)
-        sides = inlets_outlets(pores).join(named.select("id", "cluster"), "id").groupBy("cluster").agg(F.countDistinct("side").alias("n"))
-        if not sides.where("n = 2").isEmpty() or named.select("cluster").distinct().limit(2).count() < 2:
-            return edges
-        order = [r["cluster"] for r in named.groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster").limit(2).collect()]
-        step = pores.agg(F.avg("radius")).first()[0] or 1.0
-        pair = closest_between(named.where(F.col("cluster") == order[0]), named.where(F.col("cluster") == order[1]), 2 * step)
-        radius, length = 0.4 * F.least("radius", "r2"), F.greatest(F.lit(0.1), F.col("distance") - F.col("radius") - F.col("r2"))
-        new = pair.select(F.least("id", "id2").alias("pore1"), F.greatest("id", "id2").alias("pore2"), "distance", radius.alias("radius"), length.alias("length")).withColumn("volume", pi * F.col("radius") * F.col("radius") * F.col("length"))
-        edges = edges.unionByName(new.select(edges.columns))
+    """throats; where no inlet reaches an outlet over them, also those that join all clusters into one.
+
+    Clusters join the largest one by one, in order of size and then least pore, each by its closest pore to any that has
+    joined before. What has joined before a cluster is known from the order alone, so all of them are joined at once.
+    """
+    named = written(clusters(pores, edges), "clusters")
+    sides = inlets_outlets(pores).join(named.select("id", "cluster"), "id").groupBy("cluster").agg(F.countDistinct("side").alias("n"))
+    if not sides.where("n = 2").isEmpty():
+        return edges
+    pair = nearest_before(named)
+    radius, length = 0.4 * F.least("radius", "r2"), F.greatest(F.lit(0.1), F.col("distance") - F.col("radius") - F.col("r2"))
+    new = pair.select(F.least("id", "id2").alias("pore1"), F.greatest("id", "id2").alias("pore2"), "distance", radius.alias("radius"), length.alias("length")).withColumn("volume", pi * F.col("radius") * F.col("radius") * F.col("length"))
+    return edges.unionByName(new.select(edges.columns))
 
 
 def boundary_pores(pores: DataFrame, axis: str) -> DataFrame:
@@ -182,11 +213,10 @@ def axis_tortuosity(pores: DataFrame, edges: DataFrame, axis: str) -> DataFrame:
     Paths shorter than straight, or of 15 times it and more, are left out. Clamped to 1 and a limit that falls with
     the mean number of connections; null where no path is left.
     """
-    sides = boundary_pores(pores, axis)
+    sides = written(boundary_pores(pores, axis), "sides")
     arcs = edges.select(F.col("pore1").alias("a"), F.col("pore2").alias("b"), F.col("distance").alias("w"))
-    paths = shortest_paths(arcs, sides.where("side = 'inlet'").select(F.col("id").alias("source")))
-    ends = paths.join(sides.where("side = 'outlet'").select(F.col("id").alias("node")), "node")
     s = pores.agg((F.max(axis) - F.min(axis)).alias("straight"), F.count("*").alias("n"))
+    ends = paths_within(arcs, sides.where("side = 'inlet'").select(F.col("id").alias("source")), sides.where("side = 'outlet'").select(F.col("id").alias("node")), 15 * (s.first()["straight"] or 0.0))
     mean = edges.agg(F.count("*").alias("m"))
     kept = ends.crossJoin(F.broadcast(s)).where("distance >= straight AND distance < 15 * straight AND straight > 0")
     # Falling order makes it the upper one of two middles; paths of equal length are counted before they meet.
@@ -222,7 +252,7 @@ def flow_permeability(pores: DataFrame, edges: DataFrame, pressures: DataFrame,
     for k in (1, 2):
         e = e.join(p.select(F.col("id").alias(f"pore{k}"), F.col("pressure").alias(f"p{k}")), f"pore{k}")
         e = e.join(sides.select(F.col("id").alias(f"pore{k}"), F.col("inlet").alias(f"in{k}")), f"pore{k}", "left")
-    g = pi * F.pow(F.col("radius") * 1e-6, F.lit(4.0)) / (8 * viscosity * F.col("length") * 1e-6)
+    g = fx.throat_conductance(F.col("radius") * 1e-6, F.col("length") * 1e-6, viscosity)
     edge = F.coalesce("in1", F.lit(False)) != F.coalesce("in2", F.lit(False))
     q = e.agg(F.coalesce(F.sum(F.when(edge, F.abs(g * (F.col("p1") - F.col("p2"))))), F.lit(0.0)).alias("flow"))
     others = [a for a in "xyz" if a != axis]
@@ -230,17 +260,33 @@ def flow_permeability(pores: DataFrame, edges: DataFrame, pressures: DataFrame,
     box = pores.agg(side(axis).alias("length"), (side(others[0]) * side(others[1])).alias("area"))
     drop = p.agg((F.max("pressure") - F.min("pressure")).alias("drop"))
     out = q.crossJoin(box).crossJoin(drop)
-    k = F.col("flow") * viscosity * F.col("length") / (F.col("area") * F.col("drop")) / MILLIDARCY
+    k = fx.darcy_permeability(F.col("flow"), viscosity, F.col("length"), F.col("area"), F.col("drop"))
     return out.select("flow", "length", "area", "drop", F.when((F.col("drop") > 0) & (F.col("area") > 0), k).otherwise(0.0).alias("permeability"))
 
 
-def plane_hits(pores: DataFrame, planes: DataFrame) -> DataFrame:
-    """Pores cut by windows of planes (plane_id, c struct, n, u, v unit structs, half_u, half_v): the radius of the cut."""
+def plane_hits(pores: DataFrame, planes: DataFrame, *keep: str) -> DataFrame:
+    """Pores cut by windows of planes (plane_id, c struct, n, u, v unit structs, half_u, half_v): the radius of the cut.
+
+    An equi-join on orientation, slab along n and tile of (u, v). A plane lies in one slab and in the tiles that its window
+    covers; a pore is posted to one tile and to the slabs that its sphere reaches, so that the two meet once if at all.
+    keep: columns of pores to pass through.
+    """
     dot = lambda a, b: sum((F.col(f"{a}.{x}") * F.col(f"{b}.{x}") for x in "xyz"), F.lit(0.0))
-    p = pores.crossJoin(bounded(planes, "planes", 10_000)).withColumn("d", F.struct(*[(F.col(x) - F.col(f"c.{x}")).alias(x) for x in "xyz"]))
+    s, t = pores.agg(F.max("radius")).first()[0], planes.agg(F.max(F.greatest("half_u", "half_v"))).first()[0]
+    slab, tile = 2 * (s or 0.0) or 1.0, 2 * (t or 0.0) or 1.0
+    spread = lambda low, high, edge: F.explode(F.sequence(F.floor(low / edge - 1e-9), F.floor(high / edge + 1e-9)))
+    ways = planes.groupBy("n", "u", "v").agg(F.min("plane_id").alias("way"))
+    posted = planes.join(F.broadcast(ways), ["n", "u", "v"]).withColumn("slab", F.floor(dot("c", "n") / slab))
+    for a in "uv":
+        posted = posted.withColumn(f"t{a}", spread(dot("c", a) - F.col(f"half_{a}"), dot("c", a) + F.col(f"half_{a}"), tile))
+    kept = [c for c in keep if c not in ("id", "radius")]
+    turned = pores.select("id", "radius", *kept, F.struct(*"xyz").alias("p")).join(bounded(ways.select("way", *[F.col(a).alias(f"w{a}") for a in "nuv"]), "orientations", 1000))
+    turned = turned.withColumns({f"t{a}": F.floor(dot("p", f"w{a}") / tile) for a in "uv"})
+    turned = turned.withColumn("slab", spread(dot("p", "wn") - F.col("radius"), dot("p", "wn") + F.col("radius"), slab)).drop("wn", "wu", "wv")
+    p = turned.join(small(posted), ["way", "slab", "tu", "tv"]).withColumn("d", F.struct(*[(F.col(f"p.{x}") - F.col(f"c.{x}")).alias(x) for x in "xyz"]))
     p = p.withColumns({"off": dot("d", "n"), "pu": dot("d", "u"), "pv": dot("d", "v")})
     inside = (F.abs("off") <= F.col("radius")) & (F.abs("pu") <= F.col("half_u")) & (F.abs("pv") <= F.col("half_v"))
-    return p.where(inside).select("plane_id", "id", "pu", "pv", F.sqrt(F.col("radius") * F.col("radius") - F.col("off") * F.col("off")).alias("cut_radius"))
+    return p.where(inside).select("plane_id", "id", "pu", "pv", F.sqrt(F.col("radius") * F.col("radius") - F.col("off") * F.col("off")).alias("cut_radius"), *keep)
 
 
 def throats_2d(pores: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -284,12 +330,13 @@ def bracket(values: DataFrame, knots: DataFrame, key: str) -> DataFrame:
 
     Segments come from one pass over the knots, a calibration table; the range join is on their broadcast.
     """
+    bounded(knots, "knots", 10_000)  # before a window without a key runs over them
     w = Window.orderBy("x")
     k = knots.groupBy("x").agg(F.avg("y").alias("y"))
     seg = k.select("x", "y", F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"), F.row_number().over(w).alias("i"))
     low = F.when(F.col("i") == 1, F.lit(float("-inf"))).otherwise(F.col("x"))
     seg = seg.select(low.alias("low"), F.coalesce("x2", F.lit(float("inf"))).alias("high"), "x", "y", "x2", "y2")
-    v = values.join(bounded(seg, "knots", 10_000), (F.col(key) >= F.col("low")) & (F.col(key) < F.col("high")), "left")
+    v = values.join(F.broadcast(seg), (F.col(key) >= F.col("low")) & (F.col(key) < F.col("high")), "left")
     y = F.when(F.col("x2").isNull() | (F.col(key) <= F.col("x")), F.col("y")).otherwise(F.col("y") + (F.col("y2") - F.col("y")) * (F.col(key) - F.col("x")) / (F.col("x2") - F.col("x")))
     return v.withColumn("interpolated", y).drop("low", "high", "x2", "y2", "x", "y") if key not in ("x", "y") else v.withColumn("interpolated", y)
 

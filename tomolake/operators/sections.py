@@ -47,6 +47,18 @@ def label_fraction(voxels: DataFrame, label: int, *by: str) -> DataFrame:
     return voxels.groupBy(*by).agg(F.avg((F.col("label") == label).cast("double")).alias("fraction"))
 
 
+def unit_vectors() -> list[tuple[str, tuple[float, ...], tuple[float, ...], tuple[float, ...]]]:
+    """Name, normal and the two directions of each orientation."""
+    out = []
+    for name, n, u, v in ORIENTATIONS:
+        n = _unit(n)
+        if u is None:
+            u = _cross(n, v)
+            v = _cross(n, u)
+        out.append((name, tuple(map(float, n)), _unit(u), _unit(v)))
+    return out
+
+
 def _unit(v: Sequence[float]) -> tuple[float, ...]:
     size = sqrt(sum(x * x for x in v))
     return tuple(x / size for x in v)
@@ -63,25 +75,19 @@ def candidate_planes(pores: DataFrame, width: float, height: float, samples: int
     rows = []
     if box["lowx"] is not None and width <= box["highx"] - box["lowx"] and height <= max(box["highy"] - box["lowy"], box["highz"] - box["lowz"]):
         at = {a: [box[f"low{a}"] + (box[f"high{a}"] - box[f"low{a}"]) * (i + 0.5) / samples for i in range(samples)] for a in "xyz"}
-        for o, (name, n, u, v) in enumerate(ORIENTATIONS):
-            n = _unit(n)
-            if u is None:
-                u = _cross(n, v)
-                v = _cross(n, u)
-            u, v = _unit(u), _unit(v)
-            rows += [(((o * samples + i) * samples + j) * samples + k, name, i, j, k, (x, y, z), tuple(map(float, n)), u, v, width / 2, height / 2) for i, x in enumerate(at["x"]) for j, y in enumerate(at["y"]) for k, z in enumerate(at["z"])]
+        for o, (name, n, u, v) in enumerate(unit_vectors()):
+            rows += [(((o * samples + i) * samples + j) * samples + k, name, i, j, k, (x, y, z), n, u, v, width / 2, height / 2) for i, x in enumerate(at["x"]) for j, y in enumerate(at["y"]) for k, z in enumerate(at["z"])]
     point = "struct<x: double, y: double, z: double>"
     return pores.sparkSession.createDataFrame([tuple(tuple(map(float, c)) if isinstance(c, tuple) else c for c in r) for r in rows], f"plane_id long, orientation string, i long, j long, k long, c {point}, n {point}, u {point}, v {point}, half_u double, half_v double")
 
 
 def _shares(rows: DataFrame, *by: str) -> DataFrame:
     """Share of each of BINS equal bins of radius, the middle one where all radii are equal."""
-    w = Window.partitionBy(*by)
-    at = F.coalesce(F.try_divide(F.col("radius") - F.min("radius").over(w), F.max("radius").over(w) - F.min("radius").over(w)), F.lit(0.5))
-    binned = rows.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(at * BINS)))
-    total = binned.groupBy(*by).agg(F.count("*").alias("total"))
-    n = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"))
-    return n.join(total, list(by)).select(*by, "bin", (F.col("n") / F.col("total")).alias("share")) if by else n.crossJoin(F.broadcast(total)).select("bin", (F.col("n") / F.col("total")).alias("share"))
+    span = rows.groupBy(*by).agg(F.min("radius").alias("low"), F.max("radius").alias("high"), F.count("*").alias("total"))
+    spanned = rows.join(span, list(by)) if by else rows.crossJoin(F.broadcast(span))  # one row without keys
+    at = F.coalesce(F.try_divide(F.col("radius") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5))
+    n = spanned.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(at * BINS))).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    return n.select(*by, "bin", (F.col("n") / F.col("total")).alias("share"))
 
 
 def match_scores(section: DataFrame, pores: DataFrame, planes: DataFrame) -> DataFrame:
@@ -91,7 +97,7 @@ def match_scores(section: DataFrame, pores: DataFrame, planes: DataFrame) -> Dat
     0.2 of the ratio of counts (at most 1), 0.4 of what the radius histograms have in common, 0.4 of that of the mean
     connections (0.5 where both are 0).
     """
-    cut = plane_hits(pores, planes.drop("orientation", "i", "j", "k")).select("plane_id", "id").join(pores.select("id", "radius", "connections"), "id")
+    cut = plane_hits(pores, planes.drop("orientation", "i", "j", "k"), "radius", "connections").select("plane_id", "id", "radius", "connections")
     s = section.agg(F.count("*").alias("n2"), F.avg("connections").alias("c2"))
     grid = planes.select("plane_id").crossJoin(F.broadcast(planes.sparkSession.range(BINS).toDF("bin")))
     other = _shares(section.select("radius")).withColumnRenamed("share", "share2")

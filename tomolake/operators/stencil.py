@@ -1,51 +1,139 @@
-"""Neighbourhood filters: a halo form (chunks with copies of their surroundings, numpy) and a join form (SQL only).
+"""Neighbourhood filters: a halo form (chunks with strips of their surroundings, numpy) and a join form (SQL only).
 
-In the halo form each voxel is copied to every chunk whose halo of radius r holds it, groups of one chunk run a numpy
-kernel on an array padded at the volume's edge, and core voxels come out. One shuffle; memory is bound by one chunk.
+In the halo form tasks pack the voxels they read into pieces: for each chunk the bytes of its own voxels, and for each chunk
+around those of the face, edge and corner strips within the radius. A piece holds values in the narrowest type and places
+as a run, a bit mask or offsets, so that about a byte a voxel is shuffled, once. Groups of one chunk put their pieces
+together, run a numpy kernel on an array padded at the volume's edge, and core voxels come out. Memory is bound by a chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["volume_id", "x", "y", "z"]
+#: Voxels that a task gathers before it packs them.
+GATHERED = 1 << 20
+_TYPES = [np.dtype(t) for t in ("u1", "<i2", "<i4", "<f8")]
+
+
+def packed(at: np.ndarray, values: np.ndarray) -> bytes:
+    """Places (distinct, ascending) and values as bytes."""
+    whole = bool((values == np.floor(values)).all()) if len(values) else True
+    low, high = (values.min(), values.max()) if len(values) else (0, 0)
+    kind = next((k for k, t in enumerate(_TYPES[:3]) if whole and np.iinfo(t).min <= low and high <= np.iinfo(t).max), 3)
+    span = int(at[-1] - at[0]) + 1 if len(at) else 0
+    if span == len(at):
+        mode, where = 0, b""
+    elif span < 32 * len(at):
+        bits = np.zeros(span, bool)
+        bits[at - at[0]] = True
+        mode, where = 1, np.packbits(bits).tobytes()
+    else:
+        mode, where = 2, (at - at[0]).astype("<u4").tobytes()
+    head = np.array([kind, mode, at[0] if len(at) else 0, span, len(at)], "<i4").tobytes()
+    return head + where + values.astype(_TYPES[kind]).tobytes()
+
+
+def unpacked(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of packed()."""
+    kind, mode, first, span, n = np.frombuffer(piece, "<i4", 5).tolist()
+    size = (0, -(-span // 8), 4 * n)[mode]
+    where = piece[20 : 20 + size]
+    at = np.arange(n) if mode == 0 else np.flatnonzero(np.unpackbits(np.frombuffer(where, np.uint8), count=span)) if mode == 1 else np.frombuffer(where, "<u4").astype(np.int64)
+    return at + first, np.frombuffer(piece, _TYPES[kind], n, 20 + size)
+
+
+def blocks(voxels: DataFrame, work: Callable[[int, tuple[int, int, int], np.ndarray, np.ndarray], pa.Table], schema: str, radius: int, dims: Sequence[int], d: int = 64, value: str = "gray", flat: bool = False, pad: str | float = "edge", absent: float = 0) -> DataFrame:
+    """The rows of work(volume_id, corner, block, present) for each chunk of d x d x d voxels that holds any.
+
+    corner: the least x, y, z of the chunk. block: a float array [z, y, x] of the chunk and of what is within the radius
+    (not along z if `flat`, for slice filters); beyond the volume the edge is repeated, or `pad` is a constant. present:
+    where the chunk has voxels; others are `absent`.
+    """
+    reach = (0 if flat else radius, radius, radius)
+    dims = tuple(reversed(dims))  # z, y, x as in the arrays
+    side = [d + 2 * r for r in reach]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            volume, values = t.column("volume_id").to_numpy(), t.column("value").to_numpy()
+            at = [t.column(a).to_numpy() for a in "zyx"]
+            own = [x // d for x in at]
+            for shift in product(*[range(-(-(-r // d)), -(-r // d) + 1) for r in reach]):
+                chunk = [c + s for c, s in zip(own, shift, strict=True)]
+                there = [x - c * d + r for x, c, r in zip(at, chunk, reach, strict=True)]  # within the chunk's block
+                ok = np.logical_and.reduce([(c >= 0) & (c * d < n) & (p >= 0) & (p < w) for c, n, p, w in zip(chunk, dims, there, side, strict=True)])
+                if not ok.any():
+                    continue
+                place = ((there[0] * side[1] + there[1]) * side[2] + there[2])[ok]
+                keys = [volume[ok], *(c[ok] for c in chunk)]
+                order = np.lexsort((place, *keys[::-1]))
+                place, vals, keys = place[order], values[ok][order], [k[order] for k in keys]
+                cut = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))).tolist()
+                made = [packed(place[i:j], vals[i:j]) for i, j in zip(cut, [*cut[1:], len(place)], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[cut], pa.int64()) for k in keys), pa.array(made, pa.binary())], ["volume_id", "cz", "cy", "cx", "piece"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= GATHERED:
+                yield from out(held)
+                held, n = [], 0
+        if n:
+            yield from out(held)
+
+    def run(group: pa.Table) -> pa.Table:
+        corner = [group[c][0].as_py() * d for c in ("cz", "cy", "cx")]
+        block, there = np.full(np.prod(side), float(absent)), np.zeros(np.prod(side), bool)
+        for piece in group["piece"]:
+            at, values = unpacked(piece.as_py())
+            block[at], there[at] = values, True
+        core = tuple(slice(r, r + min(d, n - c)) for r, c, n in zip(reach, corner, dims, strict=True))
+        inside = tuple(slice(max(0, r - c), min(w, r + n - c)) for r, c, n, w in zip(reach, corner, dims, side, strict=True))
+        inside = tuple(slice(i.start, min(i.stop, c.stop + r)) for i, c, r in zip(inside, core, reach, strict=True))
+        sides = [(i.start - (c.start - r), c.stop + r - i.stop) for i, c, r in zip(inside, core, reach, strict=True)]
+        block = block.reshape(side)[inside]
+        block = np.pad(block, sides, "edge") if pad == "edge" else np.pad(block, sides, constant_values=pad)
+        present = there.reshape(side)[core]
+        if not present.any():
+            return empty
+        return work(group["volume_id"][0].as_py(), tuple(corner[::-1]), block, present)
+
+    empty = _schema(schema).empty_table()
+    sent = voxels.select("volume_id", "x", "y", "z", F.col(value).cast("double").alias("value")).mapInArrow(pieces, "volume_id long, cz long, cy long, cx long, piece binary")
+    return sent.groupBy("volume_id", "cz", "cy", "cx").applyInArrow(run, schema)
+
+
+def _schema(text: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[t]) for n, t in (c.split() for c in text.split(", "))])
 
 
-def halo(voxels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], radius: int, dims: Sequence[int], d: int = 64, value: str = "gray", flat: bool = False, pad: str | int = "edge") -> DataFrame:
+def places(volume: int, corner: tuple[int, int, int], present: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """A row for each voxel that is present: volume_id, x, y, z and its places of the columns, arrays of a chunk."""
+    z, y, x = np.nonzero(present)
+    return pa.table({"volume_id": np.full(len(x), volume), "x": x + corner[0], "y": y + corner[1], "z": z + corner[2]} | {n: c[present] for n, c in columns.items()})
+
+
+def halo(voxels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], radius: int, dims: Sequence[int], d: int = 64, value: str = "gray", flat: bool = False, pad: str | float = "edge", absent: float = 0) -> DataFrame:
     """(volume_id, x, y, z, value): the kernel's result for each voxel.
 
     kernel: from a padded float array [z, y, x] to the array of its core (radius less on each side; none along z if
-    `flat`, for slice filters). Beyond the volume the edge is repeated, or `pad` is a constant. Absent voxels are 0.
+    `flat`, for slice filters). Beyond the volume the edge is repeated, or `pad` is a constant.
     """
-    reach = {"x": radius, "y": radius, "z": 0 if flat else radius}
-    keyed = voxels.select("volume_id", "x", "y", "z", F.col(value).cast("double").alias("value"))
-    for a, n in zip("xyz", dims, strict=True):
-        r = reach[a]
-        low = F.greatest(F.lit(0), F.floor((F.col(a) - r) / d))
-        high = F.least(F.lit((n - 1) // d), F.floor((F.col(a) + r) / d))
-        keyed = keyed.withColumn(f"c{a}", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        volume = pdf["volume_id"].iloc[0]
-        base = {a: int(pdf[f"c{a}"].iloc[0]) * d for a in "xyz"}
-        top = {a: min(base[a] + d, n) for a, n in zip("xyz", dims, strict=True)}
-        low = {a: max(0, base[a] - reach[a]) for a in "xyz"}
-        high = {a: min(n, top[a] + reach[a]) for a, n in zip("xyz", dims, strict=True)}
-        block = np.zeros([high[a] - low[a] for a in "zyx"])
-        core = pdf[(pdf["x"] >= base["x"]) & (pdf["x"] < top["x"]) & (pdf["y"] >= base["y"]) & (pdf["y"] < top["y"]) & (pdf["z"] >= base["z"]) & (pdf["z"] < top["z"])]
-        block[pdf["z"] - low["z"], pdf["y"] - low["y"], pdf["x"] - low["x"]] = pdf["value"]
-        sides = [(reach[a] - (base[a] - low[a]), reach[a] - (high[a] - top[a])) for a in "zyx"]
-        block = np.pad(block, sides, "edge") if pad == "edge" else np.pad(block, sides, constant_values=pad)
-        out = kernel(block)
-        return pd.DataFrame({"volume_id": volume, "x": core["x"], "y": core["y"], "z": core["z"], "value": out[core["z"] - base["z"], core["y"] - base["y"], core["x"] - base["x"]]})
 
-    return keyed.groupBy("volume_id", "cx", "cy", "cz").applyInPandas(run, "volume_id long, x long, y long, z long, value double")
+    def work(volume: int, corner: tuple[int, int, int], block: np.ndarray, present: np.ndarray) -> pa.Table:
+        return places(volume, corner, present, value=np.asarray(kernel(block), float))
+
+    return blocks(voxels, work, "volume_id long, x long, y long, z long, value double", radius, dims, d, value, flat, pad, absent)
 
 
 def shifts(block: np.ndarray, radius: int, flat: bool = False) -> list[tuple[tuple[int, int, int], np.ndarray]]:

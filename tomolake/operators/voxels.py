@@ -112,7 +112,7 @@ def every_nth(voxels: DataFrame, n: int) -> DataFrame:
 
 def visible(voxels: DataFrame, materials: DataFrame) -> DataFrame:
     shown = materials.where("is_visible AND NOT is_exterior").select(F.col("id").alias("label"))
-    return voxels.join(F.broadcast(shown), "label", "left_semi")
+    return voxels.join(small(shown), "label", "left_semi")
 
 
 def to_chunks(voxels: DataFrame, dims: Sequence[int], d: int = 64) -> DataFrame:

@@ -12,8 +12,9 @@ from tomolake.operators import labels as lab
 from tomolake.operators import resample as res
 from tomolake.operators import voxels as vox
 from tomolake.plans import fixtures as fix
+from tomolake.plans import voxel_queries  # noqa: F401  whose statements are used here
 from tomolake.plans.fixtures import MAPS, PIXEL, POINTS, PORES, SERIES, VOX, dims, materials, voxels
-from tomolake.plans.registry import query
+from tomolake.plans.registry import ORACLES, query
 
 S, D = SparkSession, DataFrame
 WITH = f"WITH RECURSIVE {VOX}"
@@ -176,11 +177,11 @@ def f22_velocity_from_density(spark: S, d: str) -> D:
     return q.crossJoin(F.broadcast(mean)).select("volume_id", "x", "y", "z", fx.velocity_from_density(F.col("rho"), F.col("mean"), 3000.0, dims(spark, d)).alias("velocity"))
 
 
-@query(WITH + " SELECT m.id, round(coalesce(avg(v.gray * 10.0), 1000), 6) AS mean, round(25 * 25 * (SELECT d FROM dim) * 1e-9 * 1e9, 6) AS mm3, round(25 * 25 * (SELECT d FROM dim) * 1e-9 * 1000 * m.density, 6) AS grams FROM m LEFT JOIN v ON v.label = m.id AND m.id <> 3 GROUP BY m.id, m.density")
+@query(WITH + " SELECT m.id, round(coalesce(avg(v.gray * 10.0), 1000), 6) AS mean, round(25 * 25 * (SELECT d FROM dim) * 1e-9 * 1e9, 6) AS mm3, round(25 * 25 * (SELECT d FROM dim) * 1e-9 * 1000 * m.density, 6) AS grams FROM (SELECT id, density FROM m UNION ALL SELECT 9, 500.0) m LEFT JOIN v ON v.label = m.id GROUP BY m.id, m.density")
 def a05_mean_density_and_mass(spark: S, d: str) -> D:
-    """A05, with a material left empty, and A33 with pixels of 1 mm."""
-    m = materials(spark)
-    v = voxels(spark, d).where("label <> 3").withColumn("density", F.col("gray") * 10.0)
+    """A05, with a material that no voxel has, and A33 with pixels of 1 mm."""
+    m = materials(spark).unionByName(spark.createDataFrame([(9, 500.0)], "id long, density double"), allowMissingColumns=True)
+    v = voxels(spark, d).withColumn("density", F.col("gray") * 10.0)
     w, h, depth = dims(spark, d)
     volume, mass = fx.total_mass(F.lit(w), F.lit(h), F.lit(depth), F.lit(1.0), F.col("density"))
     return stats.material_mean(v, m, "density").join(m.select("id", (volume * 1e9).alias("mm3"), (mass * 1000).alias("grams")), "id")
@@ -340,7 +341,7 @@ def _linked(spark: S, d: str) -> D:
 
 
 X06 = f"""{PORES}, p3 AS (SELECT id, x, y, z, radius, id % 5 AS connections FROM pores), s2 AS (SELECT radius / 2 AS radius, id % 7 AS connections FROM pores WHERE id % 40 = 0), b AS (SELECT min(x - radius) AS x0, max(x + radius) AS x1, min(y - radius) AS y0, max(y + radius) AS y1, min(z - radius) AS z0, max(z + radius) AS z1 FROM p3),
-o(o, name, nx, ny, nz, ux, uy, uz, vx, vy, vz) AS (VALUES (0, 'XY', 0, 0, 1, 1, 0, 0, 0, 1, 0), (1, 'XZ', 0, 1, 0, 1, 0, 0, 0, 0, 1), (2, 'YZ', 1, 0, 0, 0, 1, 0, 0, 0, 1)),
+o(o, name, nx, ny, nz, ux, uy, uz, vx, vy, vz) AS (VALUES {", ".join(str((o, name, *n, *u, *v)) for o, (name, n, u, v) in enumerate(sections.unit_vectors()))}),
 g AS (SELECT ((o * 5 + i) * 5 + j) * 5 + k AS plane_id, name, i, j, o.*, x0 + (x1 - x0) * (i + 0.5) / 5 AS cx, y0 + (y1 - y0) * (j + 0.5) / 5 AS cy, z0 + (z1 - z0) * (k + 0.5) / 5 AS cz FROM o, b, range(5) a(i), range(5) c(j), range(5) e(k)),
 cut AS (SELECT plane_id, name, i, j, p3.radius, connections FROM g JOIN p3 ON abs((x - cx) * nx + (y - cy) * ny + (z - cz) * nz) <= radius AND abs((x - cx) * ux + (y - cy) * uy + (z - cz) * uz) <= 150 AND abs((x - cx) * vx + (y - cy) * vy + (z - cz) * vz) <= 100),
 b3 AS (SELECT plane_id, CAST(least(4, floor(CASE WHEN hi > lo THEN (radius - lo) / (hi - lo) ELSE 0.5 END * 5)) AS BIGINT) AS bin, 1.0 / n AS w FROM (SELECT *, min(radius) OVER q AS lo, max(radius) OVER q AS hi, count(*) OVER q AS n FROM cut WINDOW q AS (PARTITION BY plane_id))),
@@ -352,10 +353,10 @@ sc AS (SELECT plane_id, name, i, j, n, 100 * (0.2 * least(1.0, n / n2::DOUBLE) +
 
 @query(f"WITH {X06} SELECT plane_id, n, round(score, 6) AS score FROM sc")
 def c18_match_scores(spark: S, d: str) -> D:
-    """C17 and C18 for the upright planes; the tilted ones are held against a plain version in the tests."""
+    """J10, C17 and C18 over all nine orientations."""
     p = _linked(spark, d)
     section = p.where("id % 40 = 0").select((F.col("radius") / 2).alias("radius"), (F.col("id") % 7).alias("connections"))
-    planes = sections.candidate_planes(p, 300.0, 200.0).where("length(orientation) = 2")
+    planes = sections.candidate_planes(p, 300.0, 200.0)
     return sections.match_scores(section, p, planes)
 
 
@@ -364,12 +365,12 @@ def x06_best_planes(spark: S, d: str) -> D:
     """A top-k report."""
     p = _linked(spark, d)
     section = p.where("id % 40 = 0").select((F.col("radius") / 2).alias("radius"), (F.col("id") % 7).alias("connections"))
-    planes = sections.candidate_planes(p, 300.0, 200.0).where("length(orientation) = 2")
+    planes = sections.candidate_planes(p, 300.0, 200.0)
     scores = sections.match_scores(section, p, planes).withColumn("score", F.round("score", 9))
     return sections.best_planes(scores, planes, 10)
 
 
-NMR = """, o AS (SELECT a, b, c, sqrt(a * a + b * b + c * c) AS dist FROM range(-2, 3) p(a), range(-2, 3) q(b), range(-2, 3) r(c) WHERE a <> 0 OR b <> 0 OR c <> 0),
+NMR = """, o AS (SELECT a, b, c, sqrt(a * a + b * b + c * c) AS dist FROM range(-5, 6) p(a), range(-5, 6) q(b), range(-5, 6) r(c) WHERE a <> 0 OR b <> 0 OR c <> 0),
 ls AS (SELECT v.x, v.y, v.z, v.label, coalesce(min(CASE WHEN n.label <> v.label THEN dist END), 0) * 5e-6 AS size, avg(CASE WHEN dist = 1 THEN CASE WHEN n.label = v.label THEN 1.0 ELSE 0.0 END END) AS con FROM v CROSS JOIN o JOIN v n ON n.x = v.x + a AND n.y = v.y + b AND n.z = v.z + c WHERE v.label <> 0 GROUP BY v.label, v.x, v.y, v.z),
 st AS (SELECT label, count(*) AS n, count(*) / (SELECT count(*) FROM v)::DOUBLE AS porosity, avg(size) AS size, avg(con) AS con FROM ls GROUP BY label)"""
 
@@ -377,7 +378,7 @@ st AS (SELECT label, count(*) AS n, count(*) / (SELECT count(*) FROM v)::DOUBLE
 @query(WITH + NMR + " SELECT 1 AS volume_id, label, n, round(porosity, 6) AS porosity, round(size * 1e6, 6) AS mean_pore_size_um, round(con, 6) AS mean_connectivity FROM st")
 def a21_pore_structure(spark: S, d: str) -> D:
     """A21 with pixels of 5 um."""
-    return stats.pore_structure(voxels(spark, d), 2, 5e-6).select("volume_id", "label", "n", "porosity", (F.col("mean_pore_size") * 1e6).alias("mean_pore_size_um"), "mean_connectivity")
+    return stats.pore_structure(voxels(spark, d), 5, 5e-6, dims(spark, d)).select("volume_id", "label", "n", "porosity", (F.col("mean_pore_size") * 1e6).alias("mean_pore_size_um"), "mean_connectivity")
 
 
 MATERIAL = [(1, 1.0, 100.0, 1.0, 1.5, 1.0), (2, 0.4, 900.0, 0.6, 2.0, 0.8), (3, 0.0, 10.0, 1.5, 1.0, 1.0)]
@@ -387,7 +388,7 @@ COMPONENTS = NMR + ", pr(label, density, mean, strength, tort, effect) AS (VALUE
 @query(WITH + COMPONENTS + " SELECT t, round(sum(amp * exp(-t / pow(10, 0.9 * log10(t2) + 0.1))), 6) AS magnetisation FROM cp, (VALUES (0.0::DOUBLE), (1.0), (10.0), (100.0), (1000.0)) tt(t) GROUP BY t")
 def x04_relaxation_response(spark: S, d: str) -> D:
     """A21, F18, F20 and F19."""
-    s = stats.pore_structure(voxels(spark, d), 2, 5e-6)
+    s = stats.pore_structure(voxels(spark, d), 5, 5e-6, dims(spark, d))
     m = spark.createDataFrame(MATERIAL, "label long, density double, relaxation_time double, relaxation_strength double, tortuosity double, porosity_effect double")
     return relaxation.response(relaxation.components(s, m), [0, 1, 10, 100, 1000], 0.9, 0.1)
 
@@ -401,10 +402,13 @@ def x05_permeability_comparison(spark: S, d: str) -> D:
     return network.permeability_comparison(p, _chain(spark, d), p.select(F.col("id").alias("pore_id"), (F.col("x") * 1e5).alias("pressure")), 0.001, 1000.0, 1.5)
 
 
-@query(WITH + ", g2 AS (SELECT range AS i FROM range(0, 1)) SELECT 1 AS volume_id, count(*) AS n, (SELECT count(*) FROM g2) AS one FROM range(12 * 12 * (SELECT CAST(floor(d * 0.5) AS BIGINT) FROM dim))")
+HALF = [ORACLES[q].replace("1.4", "0.5") for q in ("r03_resample_gray", "r04_resample_labels")]
+
+
+@query(f"SELECT volume_id, x, y, z, gray, label FROM ({HALF[0]}) JOIN ({HALF[1]}) USING (volume_id, x, y, z)")
 def r05_resample_node(spark: S, d: str) -> D:
-    """Gray and labels of one resampled volume; their values are R03's and R04's."""
-    return res.resample(voxels(spark, d), 0.5, dims(spark, d)).groupBy("volume_id").agg(F.count("*").alias("n"), F.lit(1).alias("one"))
+    """Gray and labels of one resampled volume."""
+    return res.resample(voxels(spark, d), 0.5, dims(spark, d)).select("volume_id", "x", "y", "z", "gray", "label")
 
 
 PARTICLES = ", k AS (SELECT x, y, z, (z * 25 + y) * 25 + x AS i FROM v WHERE label = 1), c(i, component) AS (SELECT i, i FROM k UNION SELECT n.i, c.component FROM c JOIN k p ON p.i = c.i JOIN k n ON abs(n.x - p.x) + abs(n.y - p.y) + abs(n.z - p.z) = 1 WHERE c.component < n.i), f AS (SELECT i, min(component) AS id FROM c GROUP BY i), nb AS (SELECT f.id, k.i, max(CASE WHEN v.label <> 1 THEN 1 ELSE 0 END) AS edge FROM f JOIN k ON k.i = f.i JOIN v ON abs(v.x - k.x) + abs(v.y - k.y) + abs(v.z - k.z) = 1 GROUP BY f.id, k.i)"
@@ -463,11 +467,11 @@ def g34_merged_masks(spark: S, d: str) -> D:
     return lab.merge_masks(masks[0].unionByName(masks[1]))
 
 
-@query(WITH + ", e AS (SELECT x, y, z, gray * 3 + x AS value FROM v WHERE z BETWEEN 1 AND 4), p AS (SELECT x * 31 + y * 7 + z AS id, x, y, z FROM v WHERE z BETWEEN 1 AND 4 AND gray % 17 = 0), q AS (SELECT p.id, e.x, e.y, row_number() OVER (PARTITION BY p.id ORDER BY value DESC, e.y, e.x) AS i FROM p JOIN e ON e.z = p.z AND (e.x - p.x) * (e.x - p.x) + (e.y - p.y) * (e.y - p.y) <= 4) SELECT id, x, y FROM q WHERE i = 1")
+@query(WITH + ", e AS (SELECT x, y, z, gray * 3 + x AS value FROM v), p AS (SELECT (z * 25 + y) * 25 + x AS id, x, y, z FROM v WHERE gray % 17 = 0), q AS (SELECT p.id, e.x, e.y, row_number() OVER (PARTITION BY p.id ORDER BY value DESC, e.y, e.x) AS i FROM p JOIN e ON e.z = p.z AND (e.x - p.x) * (e.x - p.x) + (e.y - p.y) * (e.y - p.y) <= 4) SELECT id, x, y FROM q WHERE i = 1")
 def n16_snapped_points(spark: S, d: str) -> D:
-    v = voxels(spark, d).where("z BETWEEN 1 AND 4")
+    v = voxels(spark, d)
     edges = v.select("volume_id", "x", "y", "z", (F.col("gray") * 3 + F.col("x")).alias("value"))
-    points = v.where("gray % 17 = 0").select((F.col("x") * 31 + F.col("y") * 7 + F.col("z")).alias("id"), "volume_id", "x", "y", "z")
+    points = v.where("gray % 17 = 0").select(((F.col("z") * 25 + F.col("y")) * 25 + F.col("x")).alias("id"), "volume_id", "x", "y", "z")
     return stencil.snap_to_edge(edges, points, 2)
 
 
@@ -485,3 +489,12 @@ def r10_points_to_grid(spark: S, d: str) -> D:
 def r11_resized_mask(spark: S, d: str) -> D:
     mask = voxels(spark, d).where("z = 2").select("x", "y", F.when(F.col("gray") < 100, 1).otherwise(0).alias("value"))
     return res.resize_mask(mask, (25, 25), (40, 17), 5)
+
+
+@query(WITH + ", h AS (SELECT volume_id, z, gray // 32 AS b, count(*) AS n FROM v GROUP BY ALL), s AS (SELECT volume_id, z, b, n / sum(n) OVER (PARTITION BY volume_id, z) AS share FROM h) SELECT a.volume_id, a.z, round(sum(least(a.share, b.share)), 6) AS alike FROM s a JOIN s b ON b.volume_id = a.volume_id AND b.z = a.z + 1 AND b.b = a.b GROUP BY ALL")
+def f25_histogram_intersection(spark: S, d: str) -> D:
+    """what the gray histograms of each slice and the next have in common."""
+    share = [(F.sum((F.expr("gray div 32") == k).cast("int")) / F.count("*")) for k in range(8)]
+    h = voxels(spark, d).groupBy("volume_id", "z").agg(F.array(*share).alias("h"))
+    after = h.select("volume_id", (F.col("z") - 1).alias("z"), F.col("h").alias("next"))
+    return h.join(after, ["volume_id", "z"]).select("volume_id", "z", fx.intersection(F.col("h"), F.col("next")).alias("alike"))

@@ -42,9 +42,23 @@ def c14_connections_and_clusters(spark: S, d: str) -> D:
     return network.connection_counts(p, t).select("id", "connections").join(network.clusters(p, t).select("id", "cluster", "size"), "id")
 
 
-@query()
+SPARSE = PAIRS.replace("FROM part))", "FROM part)), small AS (SELECT id, x, y, z, radius / 3 AS radius FROM pores)").replace("FROM pores a JOIN pores b", "FROM small a JOIN small b").replace("avg(radius) AS mean FROM pores", "avg(radius) AS mean FROM small")
+FLOW = f"""{SPARSE.replace("WITH ", "WITH RECURSIVE ", 1)}, bo AS (SELECT id1 AS id, id2 AS other, distance, r1, r2 FROM ok UNION ALL SELECT id2, id1, distance, r2, r1 FROM ok),
+t AS (SELECT id AS pore1, other AS pore2, distance, r1, r2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM bo) WHERE rank <= 6 AND id < other),
+e AS (SELECT pore1 AS a, pore2 AS b FROM t UNION ALL SELECT pore2, pore1 FROM t), r(id, root) AS (SELECT id, id FROM small UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
+c AS (SELECT id, min(root) AS cluster FROM r GROUP BY id), z AS (SELECT cluster, row_number() OVER (ORDER BY count(*) DESC, cluster) AS place FROM c GROUP BY cluster),
+p AS (SELECT small.*, c.cluster, place FROM small JOIN c USING (id) JOIN z USING (cluster)), n AS (SELECT greatest(1, CAST(floor(count(*) * 0.1) AS BIGINT)) AS k FROM small),
+side AS (SELECT cluster, i <= k AS inlet, j <= k AS outlet FROM (SELECT cluster, row_number() OVER (ORDER BY z, id) AS i, row_number() OVER (ORDER BY z DESC, id DESC) AS j FROM p), n),
+open AS (SELECT count(*) AS n FROM (SELECT cluster FROM side GROUP BY cluster HAVING max(inlet) AND max(outlet))),
+near AS (SELECT a.place, arg_min((a.id, b.id, a.radius, b.radius), (sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), b.id, a.id)) AS w, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS distance FROM p a JOIN p b ON b.place < a.place, open WHERE open.n = 0 GROUP BY a.place),
+al AS (SELECT pore1, pore2, distance, r1, r2 FROM t UNION ALL SELECT least(w[1], w[2]), greatest(w[1], w[2]), distance, w[3], w[4] FROM near)
+SELECT pore1, pore2, round(distance, 6) AS distance, round(0.4 * least(r1, r2), 6) AS radius, round(greatest(0.1, distance - r1 - r2), 6) AS length, round(pi() * pow(0.4 * least(r1, r2), 2) * greatest(0.1, distance - r1 - r2), 6) AS volume FROM al"""
+
+
+@query(FLOW)
 def c10_flow_path(spark: S, d: str) -> D:
-    p = fix.pores(spark, d)
+    """Pores of a third of the radius, which leave many clusters; no pore has more than six candidates then."""
+    p = fix.pores(spark, d).withColumn("radius", F.col("radius") / 3)
     return network.enforce_flow_path(p, written(network.throats(p), "throats"))
 
 
@@ -183,9 +197,11 @@ def w03_peaks(spark: S, d: str) -> D:
     return series.peak_spacing(found, ["series_id"], "step", 0.001)
 
 
-@query()
+@query(f"WITH RECURSIVE {SERIES}, s AS (SELECT *, step - min(step) OVER (PARTITION BY series_id) AS i FROM series), r(series_id, step, i, v, y, z) AS (SELECT series_id, step, i, v, 0.0::DOUBLE, 0.0::DOUBLE FROM s WHERE i = 0 UNION ALL SELECT s.series_id, s.step, s.i, s.v, 0.9 * (r.y + s.v - r.v), r.z + 0.3 * (0.9 * (r.y + s.v - r.v) - r.z) FROM r JOIN s ON s.series_id = r.series_id AND s.i = r.i + 1) SELECT series_id, step, round(y + 1e-9, 6) + 0.0 AS high_pass, round(z + 1e-9, 6) + 0.0 AS band_pass FROM r")
 def w13_band_pass(spark: S, d: str) -> D:
-    return series.band_pass(fix.series(spark, d), ["series_id"], "step", 0.9, 0.3)
+    """W13; off the halves of the last place kept, on which values of few decimals fall."""
+    found = series.band_pass(fix.series(spark, d), ["series_id"], "step", 0.9, 0.3)
+    return found.select("series_id", "step", *[(F.col(c) + 1e-9).alias(c) for c in ("high_pass", "band_pass")])
 
 
 @query(f"WITH {SERIES} SELECT series_id, step, round(v, 6) AS v, round(regr_slope(v, step) OVER (PARTITION BY series_id ORDER BY step ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS slope FROM series")

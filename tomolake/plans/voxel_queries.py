@@ -12,7 +12,8 @@ from tomolake.operators import resample, series, stats, stencil
 from tomolake.operators import voxels as vox
 from tomolake.plans.fixtures import BOXES, MAPS, PIXEL, VOX, boxes, dims, grays, label_maps, materials, selections, voxels
 from tomolake.plans.registry import query
-from tomolake.sources import files
+from tomolake.sources import containers, files
+from tomolake.sources.shared import new_path
 
 S, D = SparkSession, DataFrame
 WITH = f"WITH RECURSIVE {VOX} "
@@ -206,6 +207,11 @@ def g33_box_points(spark: S, d: str) -> D:
     return lab.box_points(boxes(spark, d))
 
 
+@query(f"WITH {BOXES} SELECT det_id, 'grid' AS kind, round(x + w * i / CAST(4 AS DOUBLE), 6) AS px, round(y + h * j / CAST(4 AS DOUBLE), 6) AS py, 5 - greatest(abs(i - 2), abs(j - 2)) AS weight FROM boxes, range(5) a(i), range(5) b(j) UNION ALL SELECT det_id, 'fill', x + i * 4.0, y + j * 4.0, 1 FROM boxes, range(2) a(i), range(2) b(j) WHERE i * 4 <= w AND j * 4 <= h")
+def g33_weighted_points(spark: S, d: str) -> D:
+    return lab.weighted_points(boxes(spark, d))
+
+
 @query(WITH + ", n AS (SELECT gray, count(*) AS n FROM v GROUP BY gray) SELECT i AS gray, coalesce(n, 0) AS n FROM range(256) r(i) LEFT JOIN n ON n.gray = i")
 def a02_histogram(spark: S, d: str) -> D:
     return stats.histogram(voxels(spark, d))
@@ -243,6 +249,26 @@ def a08_particles(spark: S, d: str) -> D:
     return stats.flat_particles(stats.particles(found, PIXEL))
 
 
+FLAT = ", k AS (SELECT (z * 25 + y) * 25 + x AS i, x, y, z FROM v WHERE label = 1), e AS (SELECT a.i AS a, b.i AS b FROM k a JOIN k b ON a.z = b.z AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND a.i <> b.i), r(i, root) AS (SELECT i, i FROM k UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.i WHERE r.root < e.b), c AS (SELECT i, min(root) AS component FROM r GROUP BY i)"
+
+
+@query(WITH + FLAT + " SELECT 1 AS volume_id, component, count(*) AS voxel_count, round(count(*) * 1.0, 6) AS volume_um3, round(count(*) * 1e-9, 6) AS volume_mm3, CAST(sum(x) // count(*) AS BIGINT) AS center_x, CAST(sum(y) // count(*) AS BIGINT) AS center_y, CAST(sum(z) // count(*) AS BIGINT) AS center_z, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM c JOIN k ON k.i = c.i GROUP BY component HAVING count(*) >= 10")
+def a07_particles_2d(spark: S, d: str) -> D:
+    """8-connected particles by slice, of at least 10 pixels."""
+    found = comp.separate_particles(voxels(spark, d), 1, dims(spark, d), flat=True, conservative=True, chunk=16)
+    return stats.flat_particles(stats.particles(found, PIXEL))
+
+
+@query(WITH + "SELECT volume_id, x, y, z, CASE WHEN x BETWEEN 4 AND 21 AND label = 1 AND x BETWEEN 5 AND 20 AND gray % 2 = 0 THEN 255 ELSE gray END AS gray FROM v")
+def p10_written_back(spark: S, d: str) -> D:
+    """P10: even grays of a cropped material are brightened in the sub-volume and go back to their places."""
+    v = voxels(spark, d)
+    inner = lab.relabel(v, (F.col("label") == 1) & ~F.col("x").between(5, 20), 0)
+    sub = vox.sub_volume(inner, vox.material_bounds(inner, dims(spark, d)), 1)
+    sub = sub.withColumn("gray", F.when((F.col("label") == 1) & (F.col("gray") % 2 == 0), 255).otherwise(F.col("gray")))
+    return vox.write_back(v, sub, "gray").select("volume_id", "x", "y", "z", "gray")
+
+
 @query(WITH + LINKS + ", s AS (SELECT component FROM c GROUP BY component HAVING count(*) < 10), t AS (SELECT i FROM c JOIN s USING (component)) SELECT volume_id, x, y, z, gray, CASE WHEN t.i IS NULL THEN label ELSE 0 END AS label FROM v LEFT JOIN t ON t.i = (v.z * 25 + v.y) * 25 + v.x")
 def c05_remove_islands(spark: S, d: str) -> D:
     return comp.remove_islands(voxels(spark, d), dims(spark, d), 10, material=1).select("volume_id", "x", "y", "z", "gray", "label")
@@ -268,9 +294,9 @@ def a22_local_connectivity(spark: S, d: str) -> D:
     return stats.local_connectivity(voxels(spark, d))
 
 
-@query(WITH + ", o AS (SELECT a, b, c, sqrt(a * a + b * b + c * c) AS dist FROM range(-2, 3) p(a), range(-2, 3) q(b), range(-2, 3) r(c) WHERE a <> 0 OR b <> 0 OR c <> 0) SELECT v.volume_id, v.x, v.y, v.z, v.label, round(coalesce(min(CASE WHEN n.label <> v.label THEN dist END), 0), 6) AS pore_size FROM v CROSS JOIN o LEFT JOIN v n ON n.x = v.x + a AND n.y = v.y + b AND n.z = v.z + c WHERE v.label <> 0 GROUP BY v.volume_id, v.label, v.x, v.y, v.z")
+@query(WITH + ", o AS (SELECT a, b, c, sqrt(a * a + b * b + c * c) AS dist FROM range(-5, 6) p(a), range(-5, 6) q(b), range(-5, 6) r(c) WHERE a <> 0 OR b <> 0 OR c <> 0) SELECT v.volume_id, v.x, v.y, v.z, v.label, round(coalesce(min(CASE WHEN n.label <> v.label THEN dist END), 0), 6) AS pore_size FROM v CROSS JOIN o LEFT JOIN v n ON n.x = v.x + a AND n.y = v.y + b AND n.z = v.z + c WHERE v.label <> 0 GROUP BY v.volume_id, v.label, v.x, v.y, v.z")
 def a23_local_pore_size(spark: S, d: str) -> D:
-    return stats.local_pore_size(voxels(spark, d), 2, 1.0)
+    return stats.local_pore_size(voxels(spark, d), 5, 1.0, dims(spark, d), 16)
 
 
 @query(WITH + "SELECT volume_id, x AS a, y AS b, round(greatest(var_pop(gray / 255.0), 1e-6), 6) AS variance FROM v WHERE z BETWEEN 0 AND 9 GROUP BY ALL")
@@ -372,7 +398,13 @@ def n13_white_top_hat(spark: S, d: str) -> D:
     return stencil.white_top_hat(voxels(spark, d), 2, dims(spark, d), 16)
 
 
-@query()
+def _pass(table: str, source: str, axis: str, n: str) -> str:
+    """A CTE of one pass of five weights along an axis, edges repeated, rounded to bytes."""
+    others = [a for a in "xyz" if a != axis]
+    return f"{table} AS (SELECT s.volume_id, s.x, s.y, s.z, greatest(0, least(255, floor(sum(t.gray * exp(-k * k / 2.88)) / sum(exp(-k * k / 2.88)) + 0.5 + 1e-9))) AS gray FROM {source} s, range(-2, 3) q(k), dim, {source} t WHERE t.{axis} = least(greatest(s.{axis} + k, 0), {n} - 1) AND t.{others[0]} = s.{others[0]} AND t.{others[1]} = s.{others[1]} GROUP BY s.volume_id, s.x, s.y, s.z)"
+
+
+@query(WITH + f", {_pass('p1', 'v', 'x', 'w')}, {_pass('p2', 'p1', 'y', 'h')} SELECT volume_id, x, y, z, gray AS value FROM p2")
 def n01_gaussian_2d(spark: S, d: str) -> D:
     return stencil.gaussian_2d(voxels(spark, d), 5, 1.2, dims(spark, d), 16)
 
@@ -430,6 +462,24 @@ def s10_chunk_round_trip(spark: S, d: str) -> D:
     return both.join(grays(spark, d).select("volume_id", "x", "y", "z"), ["volume_id", "x", "y", "z"], "left_semi")
 
 
+@query(WITH + "SELECT 'volume' AS layout, x, y, z, gray AS value FROM v UNION ALL SELECT 'labels', x, y, z, CASE WHEN x < 25 AND y < 25 AND z < d THEN coalesce(label, 0) ELSE 0 END FROM dim, (SELECT a AS x, b AS y, c AS z FROM range(32) p(a), range(32) q(b), range(0, (SELECT ((d + 15) // 16) * 16 FROM dim)) r(c)) LEFT JOIN (SELECT x, y, z, label FROM v) USING (x, y, z) UNION ALL SELECT 'combined gray', x, y, z, gray FROM v UNION ALL SELECT 'combined labels', x, y, z, label FROM v UNION ALL SELECT 'material', id, lo, hi, CAST(ext AS BIGINT) FROM m")
+def s05_container_round_trip(spark: S, d: str) -> D:
+    """The voxels written as a volume, as labels and as a combined file, and read back by ranges of chunks."""
+    n, side, folder = dims(spark, d), 16, new_path(spark, "containers")
+    chunks = vox.to_chunks(voxels(spark, d), n, side)
+    both = {c: chunks.select("cx", "cy", "cz", F.col(c).alias("payload")) for c in ("gray", "label")}
+    kinds = [(r["id"], r["name"], r["argb"], r["min"], r["max"], r["is_exterior"]) for r in materials(spark).collect()]
+    containers.write_file(f"{folder}/v", "volume", n, PIXEL, side, gray=both["gray"])
+    containers.write_file(f"{folder}/l", "labels", n, PIXEL, side, labels=both["label"])
+    containers.write_file(f"{folder}/c", "combined", n, PIXEL, side, both["gray"], both["label"], kinds)
+    _, found, gray, label = containers.read_combined(spark, f"{folder}/c", side=side)
+    parts = {"volume": containers.chunk_voxels(containers.read_chunks(spark, f"{folder}/v", split_bytes=4 * side**3), "value"), "labels": containers.chunk_voxels(containers.read_chunks(spark, f"{folder}/l", "labels", split_bytes=4 * side**3), "value"), "combined gray": gray.withColumnRenamed("gray", "value"), "combined labels": label.withColumnRenamed("label", "value")}
+    out = found.select(F.lit("material").alias("layout"), F.col("id").cast("long").alias("x"), F.col("min").cast("long").alias("y"), F.col("max").cast("long").alias("z"), F.col("is_exterior").cast("long").alias("value"))
+    for name, part in parts.items():
+        out = part.select(F.lit(name).alias("layout"), "x", "y", "z", "value").unionByName(out)
+    return out
+
+
 @query(WITH + "SELECT volume_id, z, 'slice_' || lpad(CAST(z + 3 AS VARCHAR), 5, '0') || '.raw' AS name, 625 AS bytes, sha256(string_agg(chr(CAST(97 + gray % 26 AS INT)), '' ORDER BY y, x)) AS pixels FROM v GROUP BY volume_id, z")
 def s13_slice_images(spark: S, d: str) -> D:
     """Names, sizes and hashed pixels of the slices' images; pixels are letters here, which text can hold."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tomolake.functions.physics import number_in_name
 from tomolake.operators.sizes import small
+from tomolake.sources.containers import chunk_voxels, read_chunks
 
 MEASUREMENT = "id long, name string, view string, slice long, x1 long, y1 long, x2 long, y2 long, distance double, unit string, text string, created string"
 
@@ -63,7 +64,7 @@ def colours_to_labels(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
 def label_colours(voxels: DataFrame, materials: DataFrame) -> DataFrame:
     """Voxels with their material's colour (argb), black where there is none."""
     m = materials.select(F.col("id").alias("label"), F.col("argb"))
-    c = voxels.join(F.broadcast(m), "label", "left").withColumn("argb", F.coalesce("argb", F.lit(0).cast("long")))
+    c = voxels.join(small(m), "label", "left").withColumn("argb", F.coalesce("argb", F.lit(0).cast("long")))
     return c.select("volume_id", "x", "y", "z", "label", *[F.shiftright(F.col("argb"), s).bitwiseAND(255).alias(n) for n, s in (("r", 16), ("g", 8), ("b", 0))])
 
 
@@ -240,33 +241,9 @@ def read_network_lines(lines: DataFrame) -> DataFrame:
     return named.agg(value("Porosity").alias("porosity"), value("Tortuosity").alias("tortuosity"), column(3).alias("mean_radius"), column(7).alias("mean_connections"))
 
 
-#: Fixed value: bytes of the header of a volume in chunks: five whole numbers of four bytes, a double, three whole numbers.
-HEADER_BYTES = 40
-
-
 def read_chunked_volume(spark: SparkSession, path: str, value: str = "gray") -> DataFrame:
-    """(volume_id, x, y, z, value) of files with a header (width, height, depth, chunk side, bits; pixel size; three counts of
-    chunks) and chunks of bytes in order of z, y, x. A file is one record; what it holds beyond the dims is padding.
+    """(volume_id, x, y, z, value) of volume files in chunks, in ranges of chunks (see containers).
 
-    A file whose size doesn't fit its header is an error. volume_id is the place of the file's name among the names.
+    A file whose size doesn't fit its header is an error. volume_id is the place of the file's path among the paths.
     """
-    files = spark.read.format("binaryFile").load(path)
-    ids = files.select("path").withColumn("volume_id", F.row_number().over(Window.orderBy("path")).cast("long"))
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for r in pdf.itertuples():
-                w, h, d, side = (int(x) for x in np.frombuffer(r.content, "<i4", 4))
-                n = [-(-x // side) for x in (w, h, d)]
-                if len(r.content) != HEADER_BYTES + n[0] * n[1] * n[2] * side**3:
-                    raise ValueError(f"{r.path}: {len(r.content)} bytes don't fit {w} x {h} x {d} in chunks of {side}")
-                for c in range(n[0] * n[1] * n[2]):
-                    cx, cy, cz = c % n[0], c // n[0] % n[1], c // (n[0] * n[1])
-                    block = np.frombuffer(r.content, np.uint8, side**3, HEADER_BYTES + c * side**3)
-                    at = np.arange(side**3)
-                    x, y, z = cx * side + at % side, cy * side + at // side % side, cz * side + at // (side * side)
-                    inside = (x < w) & (y < h) & (z < d)
-                    yield pd.DataFrame({"volume_id": r.volume_id, "x": x[inside], "y": y[inside], "z": z[inside], "value": block[inside].astype(np.int64)})
-
-    rows = files.select("path", "content").join(ids, "path").mapInPandas(decode, "volume_id long, x long, y long, z long, value long")
-    return rows.withColumnRenamed("value", value)
+    return chunk_voxels(read_chunks(spark, path), value)

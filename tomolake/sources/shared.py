@@ -52,6 +52,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(df: DataFrame, name: str, old: str | None = None) -> tuple[DataFrame, str]:
+    """df as written() gives it, and its path; what it was made from is deleted. For loops that rewrite a table."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    if old:
+        drop_path(df.sparkSession, old)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
