@@ -272,24 +272,32 @@ def hash_name(x: bytes) -> int:
     return h
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(text, y) of about `per_class` rows of each class outside the held-out fold, picked by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class_bytes: int = 48 << 20, text_bytes: int = 1 << 20) -> DataFrame:
+    """(doc_id, text, y) of at most `per_class` texts and `class_bytes` bytes of each class outside the held-out fold.
 
-    Null ids, labels other than 0 and 1 and null texts are left out; a doc_id labelled more than once counts once, as 1 if any
-    of its labels is. The counts are taken over all rows; the bound is on what leaves Spark.
+    The texts with the least hashes of id and text are picked, a text that many rows of an id repeat once, and none of more
+    than `text_bytes` bytes. Null ids, labels other than 0 and 1 and null texts are left out; a doc_id labelled more than
+    once counts as 1 if any of its labels is. All rows are looked at; the bounds are on what leaves Spark, which is decided
+    on ids, hashes and sizes.
     """
     y = labels.where(f"{label} IN (0, 1) AND doc_id IS NOT NULL").where(fold() != 0).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    sizes = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
-    share = F.lit(0.0)
-    for k, n in sizes.items():
-        share = F.when(F.col("y") == k, min(1.0, per_class / n)).otherwise(share)
-    picked = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    # Broadcast: about per_class ids of each class, whatever the tables' sizes.
-    return docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    rows = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    narrow = rows.select("doc_id", "hash", F.octet_length("text").alias("n")).where(F.col("n") <= text_bytes).distinct().join(y.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    order = ["rank", "doc_id", "hash"]
+    picked = []
+    for k in (0, 1):
+        total = 0
+        for r in narrow.where(F.col("y") == k).withColumn("rank", F.xxhash64("doc_id", "hash")).orderBy(*order).limit(per_class).collect():
+            total += r["n"]
+            if total > class_bytes:
+                break
+            picked.append((r["doc_id"], r["hash"], k))
+    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, hash long, y int")
+    return rows.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "hash", "y").agg(F.first("text").alias("text")).select("doc_id", "text", "y")  # 2 per_class rows at most
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, kernel: Kernel = Kernel()) -> Model:
-    """The model from at most about `per_class` labelled texts of each class (whole texts)."""
+    """The model from at most `per_class` labelled texts of each class (whole texts, within labelled_sample()'s bytes)."""
     rows = sorted((r["doc_id"], r["text"], r["y"]) for r in labelled_sample(docs, labels, "toxic", per_class).collect())
     model = train([r[1] for r in rows], np.array([r[2] for r in rows], int), kernel)
     give_back()
