@@ -74,6 +74,11 @@ class Landmarks:
 
     def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Values against the landmarks, block by block; whether each text has a letter."""
+        k, size = self.measured(texts)
+        return k, size > 0
+
+    def measured(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Values against the landmarks, block by block; how many n-grams each text has, none without a letter."""
         out, size = np.zeros((len(texts), len(self.sizes)), np.float32), np.zeros(len(texts))
         for at in range(0, len(texts), BLOCK):
             rows = np.zeros((len(texts[at : at + BLOCK]), len(self.grams)), np.float32)
@@ -81,11 +86,16 @@ class Landmarks:
                 flags = grams_of(x)
                 rows[i], size[at + i] = flags[self.grams], np.count_nonzero(flags)
             out[at : at + BLOCK] = rows @ self.matrix
-        return out / np.sqrt(np.maximum(size, 1))[:, None], size > 0
+        return out / np.sqrt(np.maximum(size, 1))[:, None], size
 
 
 def landmarks_of(texts: list[str]) -> Landmarks:
-    flags = [np.packbits(grams_of(x)) for x in texts]
+    return landmarks_from([np.packbits(grams_of(x)).tobytes() for x in texts])
+
+
+def landmarks_from(bits: list[bytes]) -> Landmarks:
+    """Landmarks from the packed flags of their n-grams."""
+    flags = [np.frombuffer(x, np.uint8) for x in bits]
     grams = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(flags), count=sum(SIZES))) if flags else np.zeros(0, np.int64)
     own = [np.unpackbits(f, count=sum(SIZES))[grams] for f in flags]
     packed = np.packbits(np.array(own, np.uint8), axis=1) if own else np.zeros((0, 0), np.uint8)
@@ -121,28 +131,57 @@ class Model:
             names += [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
         return names, scores, nearest
 
+    def foreign(self, texts: list[str], least: float = 0.15, margin: float = 0.2, few: int = 200, few_margin: float = -0.1, few_least: float = 0.3) -> np.ndarray:
+        """Whether each text is without a letter or in none of the learned languages.
+
+        The latter is told by the margin of the best of the regressions (about 1 for a learned language): under `margin`; of texts of
+        fewer than `few` n-grams, which tell less, under `few_margin` and with no kernel value of `few_least`. A text with no kernel
+        value of `least` is like no learned text at all. Where no language was learned, or from too few landmarks to tell,
+        only texts without a letter are foreign.
+        """
+        out = np.zeros(len(texts), bool)
+        for at in range(0, len(texts), BLOCK):
+            k, size = self.landmarks.measured(texts[at : at + BLOCK])
+            out[at : at + BLOCK] = size == 0
+            if self.languages and len(self.landmarks.sizes) >= LEAST_LANDMARKS:
+                nearest, best = k.max(axis=1), (k @ self.weights + self.constants).max(axis=1)
+                out[at : at + BLOCK] |= (nearest < least) | np.where(size < few, (best < few_margin) & (nearest < few_least), best < margin)
+        return out
+
 
 def sample(docs: DataFrame, per_language: int, seed: int) -> DataFrame:
     """(doc_id, text, lang) of about `per_language` rows of each language outside the held-out fold, by a seeded hash of id and text.
 
-    The text is hashed too, so that an id that many rows share doesn't bring them all in; copies of one row with one id do.
+    The text is hashed too, so that an id that many rows share doesn't bring them all in; copies of one row count once.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(fold() != 0)
     sizes = written(known.groupBy("lang").count(), "sizes")  # broadcast only where its files are small
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")) * (1 << 20)
-    return known.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 20)) < share).select("doc_id", "text", "lang")
+    return known.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 20)) < share).select("doc_id", "text", "lang").distinct()
 
 
-def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: float = 1e-2) -> Model:
+def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: float = 1e-2, most_languages: int = 1024, most_rows: int = 1 << 14) -> Model:
     """The model from about `per_language` texts of each language, `landmarks` of which are landmarks.
 
-    Landmarks leave Spark as whole texts, the other rows of the sample as kernel values only.
+    Bounds hold over all languages together. The `most_languages` with the most rows are learned (of equals the first by
+    name); of many languages each has fewer rows, so that all have about `most_rows` rows, and `most_languages` landmarks, one
+    for each language at least. Landmarks leave Spark as bits of their n-grams (33 kB each), the other rows as kernel
+    values, no text does.
     """
     spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    counts = rows.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(fold() != 0).groupBy("lang").count()
+    names = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    n = max(1, len(names))
     # Written once: the landmarks, their counts and the kernel values are all read from the bounded sample.
-    picked = written(sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_language, 1), "language_sample")
-    rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in sample(picked, landmarks, 2).collect())
-    marks = landmarks_of([r[2] for r in rows])
+    picked = written(sample(rows.where(F.col("lang").isin(names)), min(per_language, max(1, most_rows // n)), 1), "language_sample")
+    chosen = sample(picked, min(landmarks, max(1, most_languages // n)), 2)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array([np.packbits(grams_of(x)).tobytes() for x in texts_of(batch, "text").to_pylist()], pa.binary())], ["lang", "doc_id", "bits"])
+
+    marks = landmarks_from([r["bits"] for r in sorted(chosen.mapInArrow(bits, "lang string, doc_id long, bits binary").collect())])
     shared = spark.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +232,12 @@ def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 64) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def reject_unidentified(docs: DataFrame, per_language: int = 400, landmarks: int = 64, least: float = 0.15) -> DataFrame:
-    """docs without the rows whose language is not identified: no letter, or a kernel value below `least` against every landmark.
+def reject_unidentified(docs: DataFrame, per_language: int = 400, landmarks: int = 64) -> DataFrame:
+    """docs without the rows whose language is not identified: no letter, or in none of the learned languages (Model.foreign).
 
-    Such a text shares next to no n-grams with a text of any learned language: it is in none of them. Null and empty texts
-    have no letter. Where no language can be learned, or only from under LEAST_LANDMARKS texts, every text with a letter
-    stays. Rows with repeated or null ids are
-    judged each, equal texts alike; other columns pass through; an empty table stays empty.
+    Null and empty texts have no letter. Where no language can be learned, or only from under LEAST_LANDMARKS texts, every
+    text with a letter stays. Rows with repeated or null ids are judged each, equal texts alike; other columns pass through;
+    an empty table stays empty.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, landmarks))
-    return filtered(docs, lambda: lambda texts: model.value.predict(texts.to_pylist())[2] >= least)
+    return filtered(docs, lambda: lambda texts: ~model.value.foreign(texts.to_pylist()))
