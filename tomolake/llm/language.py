@@ -131,13 +131,13 @@ class Model:
             names += [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
         return names, scores, nearest
 
-    def foreign(self, texts: list[str], least: float = 0.15, margin: float = 0.2, few: int = 200, few_margin: float = -0.1, few_least: float = 0.3) -> np.ndarray:
+    def foreign(self, texts: list[str], least: float = 0.15, margin: float = 0.2, near: float = 0.45, few: int = 200, few_margin: float = -0.1, few_least: float = 0.3) -> np.ndarray:
         """Whether each text is without a letter or in none of the learned languages.
 
-        The latter is told by the margin of the best of the regressions (about 1 for a learned language): under `margin`; of texts of
-        fewer than `few` n-grams, which tell less, under `few_margin` and with no kernel value of `few_least`. A text with no kernel
-        value of `least` is like no learned text at all. Where no language was learned, or from too few landmarks to tell,
-        only texts without a letter are foreign.
+        The latter is told by the margin of the best of the regressions (about 1 for a learned language): under `margin`, and with no
+        kernel value of `near`, as texts that mix learned languages have; of texts of fewer than `few` n-grams, which tell less, under
+        `few_margin` and with no kernel value of `few_least`. A text with no kernel value of `least` is like no learned text at
+        all. Where no language was learned, or from too few landmarks to tell, only texts without a letter are foreign.
         """
         out = np.zeros(len(texts), bool)
         for at in range(0, len(texts), BLOCK):
@@ -145,7 +145,7 @@ class Model:
             out[at : at + BLOCK] = size == 0
             if self.languages and len(self.landmarks.sizes) >= LEAST_LANDMARKS:
                 nearest, best = k.max(axis=1), (k @ self.weights + self.constants).max(axis=1)
-                out[at : at + BLOCK] |= (nearest < least) | np.where(size < few, (best < few_margin) & (nearest < few_least), best < margin)
+                out[at : at + BLOCK] |= (nearest < least) | np.where(size < few, (best < few_margin) & (nearest < few_least), (best < margin) & (nearest < near))
         return out
 
 
