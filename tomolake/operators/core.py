@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from math import cos, radians, sin
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tomolake.operators.stencil import blocks
 from tomolake.operators.voxels import plane
 
 ANGLES = range(0, 360, 15)
@@ -55,7 +56,8 @@ def core_circle(voxels: DataFrame, dims: Sequence[int], view: str = "XY", at: in
     """(volume_id, a, b, radius): the first circle, shrinking by `step`, none of whose 24 places has the background's gray.
 
     The background is the gray a tenth in from the corner. Where places have it, the centre moves away from their mean by
-    a fifth of the way. Without such a circle the starting one at the plane's centre is returned. A group is one slice.
+    a fifth of the way. Without such a circle the starting one at the plane's centre is returned. A slice is one group, of packed
+    pieces put together to two bytes a pixel.
     """
     from tomolake.operators.voxels import PLANE
 
@@ -63,9 +65,8 @@ def core_circle(voxels: DataFrame, dims: Sequence[int], view: str = "XY", at: in
     size = dict(zip("xyz", dims, strict=True))
     w, h = size[a], size[b]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((h, w), int)
-        image[pdf["b"], pdf["a"]] = pdf["gray"]
+    def run(volume: int, corner: tuple[int, int, int], block: np.ndarray, present: np.ndarray) -> pa.Table:
+        image = block[0]
         first, reference = min(w, h) // 2, image[h // 10, w // 10]
         x, y, found = w // 2, h // 2, None
         for radius in range(first, first // 5 - 1, -step):
@@ -73,13 +74,14 @@ def core_circle(voxels: DataFrame, dims: Sequence[int], view: str = "XY", at: in
             py = np.trunc(y + radius * np.sin(np.radians(ANGLES))).astype(int)
             inside = (px >= 0) & (px < w) & (py >= 0) & (py < h)
             px, py = px[inside], py[inside]
-            same = np.abs(image[py, px] - reference) <= tolerance
+            same = np.abs(image[py, px].astype(int) - int(reference)) <= tolerance
             if not same.any():
                 found = (x, y, radius)
                 break
             move = lambda c, p: c - int((int(p[same].sum() // same.sum()) - c) / step)  # noqa: E731, B023
             x, y = max(radius, min(w - radius, move(x, px))), max(radius, min(h - radius, move(y, py)))
         x, y, radius = found or (w // 2, h // 2, first)
-        return pd.DataFrame({"volume_id": [pdf["volume_id"].iloc[0]], "a": [x], "b": [y], "radius": [radius]})
+        return pa.table({"volume_id": [volume], "a": [int(x)], "b": [int(y)], "radius": [int(radius)]})
 
-    return plane(voxels, view, at).select("volume_id", "a", "b", "gray").groupBy("volume_id").applyInPandas(run, "volume_id long, a long, b long, radius long")
+    flat = plane(voxels, view, at).select("volume_id", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(0).cast("long").alias("z"), "gray")
+    return blocks(flat, run, "volume_id long, a long, b long, radius long", 0, (w, h, 1), (w, h, 1), kind=np.int16)

@@ -49,27 +49,28 @@ def unpacked(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at + first, np.frombuffer(piece, _TYPES[kind], n, 20 + size)
 
 
-def blocks(voxels: DataFrame, work: Callable[[int, tuple[int, int, int], np.ndarray, np.ndarray], pa.Table], schema: str, radius: int, dims: Sequence[int], d: int = 64, value: str = "gray", flat: bool = False, pad: str | float = "edge", absent: float = 0) -> DataFrame:
-    """The rows of work(volume_id, corner, block, present) for each chunk of d x d x d voxels that holds any.
+def blocks(voxels: DataFrame, work: Callable[[int, tuple[int, int, int], np.ndarray, np.ndarray], pa.Table], schema: str, radius: int, dims: Sequence[int], d: int | Sequence[int] = 64, value: str = "gray", flat: bool = False, pad: str | float = "edge", absent: float = 0, kind: type = float) -> DataFrame:
+    """The rows of work(volume_id, corner, block, present) for each chunk of d x d x d voxels (or of d along x, y, z) that holds any.
 
-    corner: the least x, y, z of the chunk. block: a float array [z, y, x] of the chunk and of what is within the radius
+    corner: the least x, y, z of the chunk. block: an array [z, y, x] of that kind of the chunk and of what is within the radius
     (not along z if `flat`, for slice filters); beyond the volume the edge is repeated, or `pad` is a constant. present:
     where the chunk has voxels; others are `absent`.
     """
     reach = (0 if flat else radius, radius, radius)
     dims = tuple(reversed(dims))  # z, y, x as in the arrays
-    side = [d + 2 * r for r in reach]
+    chunk_side = (d,) * 3 if isinstance(d, int) else tuple(reversed(d))
+    side = [m + 2 * r for m, r in zip(chunk_side, reach, strict=True)]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             volume, values = t.column("volume_id").to_numpy(), t.column("value").to_numpy()
             at = [t.column(a).to_numpy() for a in "zyx"]
-            own = [x // d for x in at]
-            for shift in product(*[range(-(-(-r // d)), -(-r // d) + 1) for r in reach]):
+            own = [x // m for x, m in zip(at, chunk_side, strict=True)]
+            for shift in product(*[range(-(-(-r // m)), -(-r // m) + 1) for r, m in zip(reach, chunk_side, strict=True)]):
                 chunk = [c + s for c, s in zip(own, shift, strict=True)]
-                there = [x - c * d + r for x, c, r in zip(at, chunk, reach, strict=True)]  # within the chunk's block
-                ok = np.logical_and.reduce([(c >= 0) & (c * d < n) & (p >= 0) & (p < w) for c, n, p, w in zip(chunk, dims, there, side, strict=True)])
+                there = [x - c * m + r for x, c, r, m in zip(at, chunk, reach, chunk_side, strict=True)]  # within the chunk's block
+                ok = np.logical_and.reduce([(c >= 0) & (c * m < n) & (p >= 0) & (p < w) for c, n, p, w, m in zip(chunk, dims, there, side, chunk_side, strict=True)])
                 if not ok.any():
                     continue
                 place = ((there[0] * side[1] + there[1]) * side[2] + there[2])[ok]
@@ -91,12 +92,12 @@ def blocks(voxels: DataFrame, work: Callable[[int, tuple[int, int, int], np.ndar
             yield from out(held)
 
     def run(group: pa.Table) -> pa.Table:
-        corner = [group[c][0].as_py() * d for c in ("cz", "cy", "cx")]
-        block, there = np.full(np.prod(side), float(absent)), np.zeros(np.prod(side), bool)
+        corner = [group[c][0].as_py() * m for c, m in zip(("cz", "cy", "cx"), chunk_side, strict=True)]
+        block, there = np.full(np.prod(side), absent, kind), np.zeros(np.prod(side), bool)
         for piece in group["piece"]:
             at, values = unpacked(piece.as_py())
             block[at], there[at] = values, True
-        core = tuple(slice(r, r + min(d, n - c)) for r, c, n in zip(reach, corner, dims, strict=True))
+        core = tuple(slice(r, r + min(m, n - c)) for r, c, n, m in zip(reach, corner, dims, chunk_side, strict=True))
         inside = tuple(slice(max(0, r - c), min(w, r + n - c)) for r, c, n, w in zip(reach, corner, dims, side, strict=True))
         inside = tuple(slice(i.start, min(i.stop, c.stop + r)) for i, c, r in zip(inside, core, reach, strict=True))
         sides = [(i.start - (c.start - r), c.stop + r - i.stop) for i, c, r in zip(inside, core, reach, strict=True)]
@@ -113,7 +114,7 @@ def blocks(voxels: DataFrame, work: Callable[[int, tuple[int, int, int], np.ndar
 
 
 def _schema(text: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string()}
     return pa.schema([(n, kinds[t]) for n, t in (c.split() for c in text.split(", "))])
 
 

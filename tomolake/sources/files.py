@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomolake.functions.physics import number_in_name
 from tomolake.operators.sizes import small
+from tomolake.operators.stencil import blocks
 from tomolake.sources.containers import chunk_voxels, read_chunks
 
 MEASUREMENT = "id long, name string, view string, slice long, x1 long, y1 long, x2 long, y2 long, distance double, unit string, text string, created string"
@@ -42,15 +44,13 @@ def read_raw_stack(spark: SparkSession, folder: str, width: int, height: int, pa
 
 
 def slice_images(voxels: DataFrame, width: int, height: int, prefix: str = "slice_", digits: int = 4, first: int = 0, value: str = "gray") -> DataFrame:
-    """(name, payload): a slice's bytes, row by row, under a padded name."""
+    """(name, payload): a slice's bytes, row by row, under a padded name. Slices are put together from packed pieces."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros(width * height, np.uint8)
-        image[pdf["y"] * width + pdf["x"]] = pdf["v"]
-        z = int(pdf["z"].iloc[0])
-        return pd.DataFrame({"volume_id": [pdf["volume_id"].iloc[0]], "z": [z], "name": [f"{prefix}{first + z:0{digits}d}.raw"], "payload": [image.tobytes()]})
+    def pack(volume: int, corner: tuple[int, int, int], block: np.ndarray, present: np.ndarray) -> pa.Table:
+        z = corner[2]
+        return pa.table({"volume_id": [volume], "z": [z], "name": [f"{prefix}{first + z:0{digits}d}.raw"], "payload": pa.array([block.tobytes()], pa.binary())})
 
-    return voxels.select("volume_id", "x", "y", "z", F.col(value).alias("v")).groupBy("volume_id", "z").applyInPandas(pack, "volume_id long, z long, name string, payload binary")
+    return blocks(voxels, pack, "volume_id long, z long, name string, payload binary", 0, (width, height, 1 << 31), (width, height, 1), value, kind=np.uint8)
 
 
 def colours_to_labels(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tomolake.sources.shared import written
+
 STEP = "run_id long, step long, p_value double, s_value double"
 
 
@@ -18,21 +20,36 @@ def read_frames(spark: SparkSession, path: str, stream: bool = False) -> DataFra
     return reader.schema(STEP).parquet(path)
 
 
+def _level(share: float, floor: float, sure: float) -> float:
+    """The magnitude over which a step is the first arrival.
+
+    A step arrives over `sure`, or over `floor` and that share of the maximum so far. The first one over the lower of the two
+    is itself the maximum so far, so with a share below 1 nothing before it matters.
+    """
+    if not 0 <= share < 1:
+        raise ValueError("the share of the maximum so far must be below 1")
+    return min(floor, sure)
+
+
 def p_arrivals(frames: DataFrame, share: float = 0.01, floor: float = 1e-10, sure: float = 1e-9) -> DataFrame:
     """(run_id, p_step): the first step whose magnitude is over `sure` or over that share of the maximum so far."""
-    w = Window.partitionBy("run_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    a = F.abs("p_value")
-    f = frames.withColumn("top", F.max(a).over(w))
-    hit = (a > sure) | (a > F.greatest(F.lit(floor), share * F.col("top")))
-    return f.groupBy("run_id").agg(F.min(F.when(hit, F.col("step"))).alias("p_step"))
+    hit = F.abs("p_value") > _level(share, floor, sure)
+    return frames.groupBy("run_id").agg(F.min(F.when(hit, F.col("step"))).alias("p_step"))
 
 
 def s_arrivals(frames: DataFrame, p: DataFrame, expected_ratio: float, share: float = 0.15, apart: int = 10, tolerance: float = 0.05) -> DataFrame:
     """(run_id, p_step, s_step): the first step at least `apart` after P whose S magnitude is over the share of its
-    maximum so far and over P's magnitude, in a ratio of 1.3 to 2.8 to P within the tolerance of the expected one."""
-    w = Window.partitionBy("run_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    maximum so far and over P's magnitude, in a ratio of 1.3 to 2.8 to P within the tolerance of the expected one.
+
+    Frames are dealt by ranges of run and step. A block's maximum so far is that of the blocks before it, known from one row
+    a block, and its own: a long run lies in many tasks.
+    """
     s, a = F.abs("s_value"), F.abs("p_value")
-    f = frames.withColumn("top", F.max(s).over(w)).join(p, "run_id")
+    blocks = written(frames.select("run_id", "step", "p_value", "s_value").repartitionByRange("run_id", "step").withColumn("block", F.spark_partition_id()), "blocks")
+    before = Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = blocks.groupBy("run_id", "block").agg(F.max(s).alias("top")).select("run_id", "block", F.max("top").over(before).alias("before"))
+    within = Window.partitionBy("run_id", "block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    f = blocks.withColumn("own", F.max(s).over(within)).join(tops, ["run_id", "block"]).withColumn("top", F.greatest("own", "before")).join(p, "run_id")
     ratio = F.col("step") / F.col("p_step")
     hit = (F.col("step") >= F.col("p_step") + apart) & (s > share * F.col("top")) & (s > a) & ratio.between(1.3, 2.8) & (F.abs(ratio - expected_ratio) <= tolerance * expected_ratio)
     return f.groupBy("run_id", "p_step").agg(F.min(F.when(hit, F.col("step"))).alias("s_step"))
@@ -68,19 +85,21 @@ def midplane_map(field: DataFrame, source: tuple[int, int, int], receiver: tuple
 
 
 def stream_p_arrivals(frames: DataFrame, share: float = 0.01, floor: float = 1e-10, sure: float = 1e-9) -> DataFrame:
-    """p_arrivals over a stream: each run keeps its maximum so far and whether it has arrived, and emits once.
+    """p_arrivals over a stream: each run keeps whether it has arrived, and emits once.
 
-    Frames of a run must come in order of step, over batches and within one.
+    Frames of a run must come in order of step over batches.
     """
+    level = _level(share, floor, sure)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top, arrived = state.get if state.exists else (0.0, False)
+        arrived = state.get[0] if state.exists else False
+        first = None
         for pdf in frames:
-            for step, v in pdf.sort_values("step")[["step", "p_value"]].itertuples(index=False):
-                top = max(top, abs(v))
-                if not arrived and (abs(v) > sure or abs(v) > max(floor, share * top)):
-                    arrived = True
-                    yield pd.DataFrame({"run_id": [key[0]], "p_step": [step]})
-        state.update((top, arrived))
-
-    return frames.groupBy("run_id").applyInPandasWithState(run, "run_id long, p_step long", "top double, arrived boolean", "append", GroupStateTimeout.NoTimeout)
+            hits = pdf.loc[pdf["p_value"].abs() > level, "step"]
+            if len(hits):
+                first = int(hits.min()) if first is None else min(first, int(hits.min()))
+        if first is not None and not arrived:
+            yield pd.DataFrame({"run_id": [key[0]], "p_step": [first]})
+        state.update((arrived or first is not None,))
+
+    return frames.groupBy("run_id").applyInPandasWithState(run, "run_id long, p_step long", "arrived boolean", "append", GroupStateTimeout.NoTimeout)
