@@ -18,7 +18,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def reject_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, null and empty ones too, and those unlike every text of a learned language go."""
+    """Documents without a letter, null and empty ones too, and those in none of the learned languages go."""
     return language.reject_unidentified(docs)
 
 
@@ -45,8 +45,8 @@ STAGES = [
     ("segmentation", sample_segmentations),
 ]
 
-#: None: classifiers, hashes and sampling are outside SQL. Tests hold the stages against their operators, and those against
-#: plain versions.
+#: None: classifiers, hashes and sampling are outside SQL. Tests hold the stages against their operators, those against
+#: plain versions, and run() against plain code over raw rows.
 ORACLE_SQL = None
 
 

@@ -4,6 +4,7 @@ from hashlib import sha256
 
 import corpus_pipeline
 from tests.conftest import DATA
+from tests.llm.test_near_duplicates import closure, reference
 
 from tomolake.llm import decontaminate, language, segment, simhash, toxicity
 
@@ -96,3 +97,28 @@ def test_pipeline_stages(spark):
     five = f["segmentation"](spark, four, DATA)
     assert ids(five) == ids(four) and five.where("NOT decoded_ok").isEmpty()
     assert five.columns == segment.digests(segment.sample_segmentations(docs.limit(0))).columns
+
+
+def test_pipeline_against_plain_code(spark):
+    """Raw rows through all five stages, row by row on the driver; only the two models are fitted by Spark."""
+    sf = "/root/testdata/sf0.001"
+    table = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    docs = table("documents")
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    toxic = toxicity.fit(docs, table("labels"))
+    rows = [r for r in rows if toxic.scores([r["text"] or ""])[0] < 0.5]
+    tongues = language.fit(spark.createDataFrame(rows, docs.schema))
+    rows = [r for r in rows if re.search(r"[^\W\d_]", r["text"] or "") and not tongues.foreign([r["text"]])[0]]
+    prints = {r["doc_id"]: reference(r["text"]) for r in rows}
+    root = closure(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    rows = [r for r in rows if root[r["doc_id"]] == r["doc_id"]]
+    windows = {}
+    for item in table("benchmark").collect():
+        x = words(item["text"])
+        n = min(10, len(x))
+        windows.setdefault(n, set()).update(tuple(x[s : s + n]) for s in range(len(x) - n + 1 if x else 0))
+    clean = lambda w: not any(tuple(w[p : p + n]) in found for n, found in windows.items() if n for p in range(len(w) - n + 1))
+    want = {r["doc_id"] for r in rows if clean(words(r["text"]))}
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert {r["doc_id"] for r in out} == want and 100 < len(want) < docs.count()
+    assert all(r["decoded_ok"] for r in out)
