@@ -20,3 +20,17 @@ def test_smooth_map_joins_nothing(spark):
     got = labels.smooth_map(maps, 2)
     assert sorted(map(tuple, got.collect())) == sorted((*k, v) for k, v in want.items())
     assert "Join" not in plan(got)
+
+
+def test_row_gaussian_joins_nothing(spark):
+    rng = np.random.default_rng(2)
+    gray = {(x, y, z): int(rng.integers(0, 256)) for x in range(20) for y in range(3) for z in range(2) if rng.random() < 0.6}
+    v = spark.createDataFrame([(1, *k, g) for k, g in gray.items()], "volume_id long, x long, y long, z long, gray long")
+    got = stencil.row_gaussian(v, 2.0)
+    assert "Join" not in plan(got)
+    rows = {tuple(r)[1:4]: r["value"] for r in got.collect()}
+    assert rows.keys() == gray.keys() and got.count() == len(gray)
+    for (x, y, z), value in rows.items():
+        w = {i: np.exp(-i * i / 8) for i in range(-6, 7) if (x + i, y, z) in gray}
+        assert abs(value - sum(gray[x + i, y, z] * u for i, u in w.items()) / sum(w.values())) < 1e-9
+    assert "Broadcast" not in plan(stencil.joined(v, [((0, 0, 0), 1.0)], lambda v, w: stencil.F.sum(v * w)))
