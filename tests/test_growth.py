@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tomolake.operators import labels, stencil
+from tomolake.operators import labels, network, stencil
 
 
 def plan(df):
@@ -34,3 +34,25 @@ def test_row_gaussian_joins_nothing(spark):
         w = {i: np.exp(-i * i / 8) for i in range(-6, 7) if (x + i, y, z) in gray}
         assert abs(value - sum(gray[x + i, y, z] * u for i, u in w.items()) / sum(w.values())) < 1e-9
     assert "Broadcast" not in plan(stencil.joined(v, [((0, 0, 0), 1.0)], lambda v, w: stencil.F.sum(v * w)))
+
+
+def test_crowded_places_list_only_what_they_need(spark, monkeypatch):
+    monkeypatch.setattr(network, "BLOCK", 3)
+    rng = np.random.default_rng(3)
+    places = [(float(x), float(y), float(z)) for x, y, z in rng.integers(0, 40, (14, 3))]
+    crowd = [(i * 7 % 211, *places[min(13, int(rng.exponential(3)))], float(rng.integers(1, 6) * 2)) for i in range(211)]
+    pores = spark.createDataFrame(crowd, "id long, x double, y double, z double, radius double")
+    mean, near, pairs = np.mean([r[4] for r in crowd]), {}, []
+    for a in crowd:
+        for b in crowd:
+            d = float(np.sqrt(sum((u - v) ** 2 for u, v in zip(a[1:4], b[1:4]))))
+            if a[0] != b[0] and d <= 3 * mean and (a[4] + b[4] - d) / min(a[4], b[4]) >= 0.1:
+                near.setdefault(a[0], []).append((d, b[0], a[4], b[4]))
+                pairs += [(a[0], b[0], a[4], b[4], d)] * (a[0] < b[0])
+    got = network.nearest_connectable(pores)
+    want = [(i, o, d, r, s, k) for i, found in near.items() for k, (d, o, r, s) in enumerate(sorted(found)[:6], 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 600
+    assert sorted(map(tuple, network.connectable_pairs(pores).collect())) == sorted(pairs)
+    # 3,000 pores of one place have 4.5 million pairs, of which their lists need none.
+    one = spark.range(3000).selectExpr("id", "1D AS x", "1D AS y", "1D AS z", "2D AS radius")
+    assert network.nearest_connectable(one).count() == 18_000

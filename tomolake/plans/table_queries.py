@@ -25,7 +25,7 @@ def j06_connectable_pairs(spark: S, d: str) -> D:
 
 @query(PAIRS + ", b AS (SELECT id1 AS id, id2 AS other, distance FROM ok UNION ALL SELECT id2, id1, distance FROM ok), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM b) SELECT id, other, round(distance, 6) AS distance, rank FROM r WHERE rank <= 6")
 def w06_nearest_lists(spark: S, d: str) -> D:
-    return network.nearest_lists(network.connectable_pairs(fix.pores(spark, d))).select("id", "other", "distance", "rank")
+    return network.nearest_connectable(fix.pores(spark, d)).select("id", "other", "distance", "rank")
 
 
 #: Throats where no pore has more than six candidates, as in the given pores.
