@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tomolake.operators import labels, network, stencil
+from tomolake.operators import calibrate, labels, network, stencil
 
 
 def plan(df):
@@ -64,3 +64,21 @@ def test_bracket_takes_any_number_of_knots(spark):
     got = {r["id"]: r["interpolated"] for r in network.bracket(values, knots, "gray").collect()}
     assert got == {0: 0.0, 1: 0.0, 2: 0.5, 3: 14.0, 4: 19_999.0, 5: 24_691.5, 6: 40_000.0, 7: 40_000.0, 8: None}
     assert [r["interpolated"] for r in network.bracket(values.where("id = 3"), knots.limit(0), "gray").collect()] == [None]
+
+
+def test_vp_vs_of_many_points(spark):
+    rng = np.random.default_rng(4)
+    points = [(i, float(rng.integers(0, 6)) + 0.5 * (i % 2), float(rng.integers(0, 40)), float(rng.integers(10, 30)) / 10) for i in range(300)]
+    wanted = [(i, float(rng.integers(-3, 44)), float(rng.integers(0, 9)) + 0.4) for i in range(80)]
+    w, p = spark.createDataFrame(wanted, "id long, density double, pressure_mpa double"), spark.createDataFrame(points, "id long, pressure_mpa double, density double, vp_vs double")
+    got = {r["id"]: r["vp_vs"] for r in calibrate.predict_vp_vs(w, p).collect()}
+    for i, d, q in wanted:
+        near = sorted((abs(x[2] - d), x[0], x[2], x[3]) for x in points if abs(x[1] - q) <= 1)[:2]
+        if near:
+            (_, _, d1, r1), (_, _, d2, r2) = near
+            t = min(1.0, max(0.0, (d - d1) / (d2 - d1))) if d1 != d2 else 0.0
+            assert abs(got[i] - (r1 + t * (r2 - r1))) < 1e-9
+    # 30,000 points at one pressure and 30,000 places of one density: the pairs would be 9e8.
+    many = spark.range(30_000).selectExpr("id", "1.0D AS pressure_mpa", "CAST(id AS double) AS density", "2.0D AS vp_vs")
+    same = spark.range(30_000).selectExpr("id", "17.5D AS density", "1.2D AS pressure_mpa")
+    assert calibrate.predict_vp_vs(same, many).where("vp_vs = 2.0").count() == 30_000

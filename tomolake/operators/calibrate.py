@@ -210,13 +210,28 @@ def predict_by_density(wanted: DataFrame, points: DataFrame, kind: str) -> DataF
 def predict_vp_vs(wanted: DataFrame, points: DataFrame, default_poisson: float = 0.25) -> DataFrame:
     """wanted (id, density, pressure_mpa) with vp_vs from the two points nearest in density within 1 MPa.
 
-    Between the two by density, held at their values beyond; one point's own; without any the ratio of default_poisson. Points
-    meet by whole MPa, so the range join is an equi-join.
+    Between the two by density, held at their values beyond; one point's own; without any the ratio of default_poisson. Distinct
+    places are asked once at each pressure of points within 1 MPa, and see the two densities below and above; of points
+    that share pressure and density only the two least ids can count.
     """
-    w = wanted.withColumn("cell", F.explode(F.array(*[F.floor("pressure_mpa") + i for i in (-1, 0, 1)])))
-    p = points.select(F.floor("pressure_mpa").alias("cell"), F.col("pressure_mpa").alias("p"), F.col("density").alias("d"), F.col("vp_vs").alias("r"), F.col("id").alias("point"))
-    met = w.join(p, "cell").where(F.abs(F.col("p") - F.col("pressure_mpa")) <= 1).withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy(F.abs(F.col("d") - F.col("density")), "point"))).where("i <= 2")
-    two = met.groupBy("id").agg(*[F.max(F.when(F.col("i") == k, F.struct("d", "r"))).alias(f"p{k}") for k in (1, 2)])
+    p = points.select(F.col("pressure_mpa").alias("p"), F.col("density").alias("d"), F.col("id").alias("point"), F.col("vp_vs").alias("r")).where("p IS NOT NULL AND d IS NOT NULL AND NOT isnan(d)")
+    two = p.withColumn("i", F.row_number().over(Window.partitionBy("p", "d").orderBy("point"))).where("i <= 2")
+    knots = two.groupBy("p", "d").agg(F.collect_list(F.struct("point", "d", "r")).alias("knot"))
+    near = Window.partitionBy("p").orderBy("d")
+    knots = knots.withColumns({"below": F.concat("knot", F.coalesce(F.lag("knot").over(near), F.array())), "above": F.concat("knot", F.coalesce(F.lead("knot").over(near), F.array()))}).drop("knot")
+    asked = wanted.select("density", "pressure_mpa").distinct().where("density IS NOT NULL AND NOT isnan(density)")
+    cells = asked.withColumn("cell", F.explode(F.array(*[F.floor("pressure_mpa") + i for i in (-1, 0, 1)])))
+    levels = p.select("p", F.floor("p").alias("cell")).distinct()
+    met = cells.join(levels, "cell").where(F.abs(F.col("p") - F.col("pressure_mpa")) <= 1).select("density", "pressure_mpa", "p")
+    none = F.lit(None).cast(knots.schema["below"].dataType)
+    rows = knots.withColumn("asked", F.lit(0)).unionByName(met.select("p", F.col("density").cast("double").alias("d")).distinct().withColumns({"below": none, "above": none, "asked": F.lit(1)}))
+    w = Window.partitionBy("p").orderBy("d", "asked")  # a point of the very density comes before it
+    back = Window.partitionBy("p").orderBy(F.desc("d"), F.desc("asked"))
+    rows = rows.withColumns({n: F.last(c, True).over(o.rowsBetween(Window.unboundedPreceding, 0)) for n, c, o in (("low", "below", w), ("high", "above", back))})
+    seen = rows.where("asked = 1").select("p", F.col("d").alias("density"), F.explode(F.concat(F.coalesce("low", F.array()), F.coalesce("high", F.array()))).alias("k"))
+    ranked = met.join(seen, ["p", "density"]).select("density", "pressure_mpa", "k.*").withColumn("i", F.row_number().over(Window.partitionBy("density", "pressure_mpa").orderBy(F.abs(F.col("d") - F.col("density")), "point"))).where("i <= 2")
+    two = ranked.groupBy("density", "pressure_mpa").agg(*[F.max(F.when(F.col("i") == k, F.struct("d", "r"))).alias(f"p{k}") for k in (1, 2)])
+    two = two.select(F.col("density").alias("__d"), F.col("pressure_mpa").alias("__p"), "p1", "p2")
     t = F.coalesce(F.try_divide(F.col("density") - F.col("p1.d"), F.col("p2.d") - F.col("p1.d")), F.lit(0.0))
     found = F.col("p1.r") + F.coalesce(F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)) * (F.col("p2.r") - F.col("p1.r")), F.lit(0.0))
-    return wanted.join(two, "id", "left").withColumn("vp_vs", F.coalesce(found, vp_vs_from_poisson(F.lit(default_poisson)))).drop("p1", "p2")
+    return wanted.join(two, (F.col("density") == F.col("__d")) & (F.col("pressure_mpa") == F.col("__p")), "left").withColumn("vp_vs", F.coalesce(found, vp_vs_from_poisson(F.lit(default_poisson)))).drop("p1", "p2", "__d", "__p")
