@@ -3,6 +3,7 @@
 import numpy as np
 
 from tomolake.operators import calibrate, labels, network, stencil
+from tomolake.sources import containers
 
 
 def plan(df):
@@ -82,3 +83,8 @@ def test_vp_vs_of_many_points(spark):
     many = spark.range(30_000).selectExpr("id", "1.0D AS pressure_mpa", "CAST(id AS double) AS density", "2.0D AS vp_vs")
     same = spark.range(30_000).selectExpr("id", "17.5D AS density", "1.2D AS pressure_mpa")
     assert calibrate.predict_vp_vs(same, many).where("vp_vs = 2.0").count() == 30_000
+
+
+def test_deep_volumes_have_heads():
+    part = containers.Part(1, "f", (2, 2, 14_400), 1e-6, 2, 0)
+    assert containers._checked(part, 4 * 14_400) is part

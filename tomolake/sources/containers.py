@@ -69,7 +69,7 @@ class Combined:
 
 
 def _checked(part: Part, size: int, exact: bool = True) -> Part:
-    if min(part.dims) <= 0 or max(part.dims) > 10_000 or not 0 < part.side <= 1024:
+    if min(part.dims) <= 0 or not 0 < part.side <= 1024:  # the size of the file bounds the dims
         raise ValueError(f"{part.file}: dims {part.dims} or a chunk side of {part.side} are out of range")
     if (part.offset + part.size != size) if exact else (part.offset + part.size > size):
         raise ValueError(f"{part.file}: {size} bytes don't fit {part.dims} in chunks of {part.side}")
