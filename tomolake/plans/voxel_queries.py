@@ -383,7 +383,7 @@ def n10_sobel_3d(spark: S, d: str) -> D:
 
 @query(WITH + ", o AS (SELECT a, exp(-a * a / 8.0) AS wt FROM range(-6, 7) p(a)) SELECT v.volume_id, v.x, v.y, v.z, round(sum(n.gray * wt) / sum(wt), 6) AS value FROM v, o, v n WHERE n.x = v.x + a AND n.y = v.y AND n.z = v.z GROUP BY v.volume_id, v.x, v.y, v.z")
 def n14_row_gaussian(spark: S, d: str) -> D:
-    """The join form."""
+    """A window along each row."""
     return stencil.row_gaussian(voxels(spark, d), 2.0)
 
 
