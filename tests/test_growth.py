@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tomolake.operators import calibrate, labels, network, stencil
+from tomolake.operators import calibrate, labels, network, resample, stencil
 from tomolake.sources import containers
 
 
@@ -153,3 +153,19 @@ def test_section_counts_need_no_pairs(spark, monkeypatch):
     # 100,000 pores of one place have 5e9 pairs.
     one = spark.range(100_000).selectExpr("id", "1D AS x", "1D AS y", "2D AS radius")
     assert [tuple(r) for r in network.throat_counts_2d(one).groupBy("connections").count().collect()] == [(99_999, 100_000)]
+
+
+def test_resample_gray_joins_nothing(spark):
+    rng = np.random.default_rng(8)
+    dims, factor = (9, 5, 7), 1.4
+    gray = {(x, y, z): int(rng.integers(0, 256)) for x in range(9) for y in range(5) for z in range(7) if rng.random() < 0.25}
+    nothing = next(iter(gray))
+    v = spark.createDataFrame([(k, *at, None if at == nothing else g) for k in (1, 2) for at, g in gray.items()], "volume_id long, x long, y long, z long, gray long")
+    out, t = [int(n * factor) for n in dims], lambda i, n, m: i * float((n - 1) / (m - 1))
+    # The general form, corner by corner.
+    places = spark.createDataFrame([(k, x, y, z, *(t(i, n, m) for i, n, m in zip((x, y, z), dims, out))) for k in (1, 2) for x in range(out[0]) for y in range(out[1]) for z in range(out[2])], "volume_id long, x long, y long, z long, sx double, sy double, sz double")
+    want = sorted(map(str, resample._trilinear(v, places, dims).collect()))
+    for d in (2, 3, 32):
+        got = resample.resample_gray(v, factor, dims, d)
+        assert sorted(map(str, got.collect())) == want and len(want) > 300
+    assert "Join" not in plan(got)
