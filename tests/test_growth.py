@@ -169,3 +169,15 @@ def test_resample_gray_joins_nothing(spark):
         got = resample.resample_gray(v, factor, dims, d)
         assert sorted(map(str, got.collect())) == want and len(want) > 300
     assert "Join" not in plan(got)
+
+
+def test_tasks_gather_few_voxels(spark):
+    assert stencil.GATHERED * 5 * 8 <= 3 << 20
+    n = 5 * stencil.GATHERED // 2
+    v = spark.range(n, numPartitions=1).selectExpr("1L AS volume_id", "id % 50 AS x", "id div 50 % 50 AS y", "id div 2500 AS z", "id * 7919 % 251 AS gray")
+    gray = np.zeros(-(-n // 2500) * 2500)
+    gray[:n] = np.arange(n) * 7919 % 251
+    block = np.pad(gray.reshape(-1, 50, 50), [(0, 0), (1, 1), (1, 1)], "edge")
+    want = np.floor(sum(block[:, j : j + 50, i : i + 50] for j in range(3) for i in range(3)) / 9 + 1e-9)[: n // 2500]
+    got = stencil.box_mean_2d(v, 3, (50, 50, -(-n // 2500)), 16).where(f"z < {n // 2500}").orderBy("z", "y", "x").toPandas()["value"].to_numpy()
+    assert (got.reshape(want.shape) == want).all()
