@@ -181,3 +181,10 @@ def test_tasks_gather_few_voxels(spark):
     want = np.floor(sum(block[:, j : j + 50, i : i + 50] for j in range(3) for i in range(3)) / 9 + 1e-9)[: n // 2500]
     got = stencil.box_mean_2d(v, 3, (50, 50, -(-n // 2500)), 16).where(f"z < {n // 2500}").orderBy("z", "y", "x").toPandas()["value"].to_numpy()
     assert (got.reshape(want.shape) == want).all()
+
+
+def test_yield_sorts_curves_once(spark):
+    curve = spark.range(60).selectExpr("id % 2 AS test_id", "id div 2 AS step", "(id div 2) * 0.001D AS axial", "least(id div 2, 9) * 50.0D AS stress", "(id div 2) * 0.0004D AS volumetric")
+    got = calibrate.bounded_yield(curve)
+    assert "Window" not in plan(got) and plan(calibrate.yield_strength(curve)).count("Window") == 0
+    assert got.count() == 2

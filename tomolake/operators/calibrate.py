@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tomolake.functions.physics import chart_units, vp_vs_from_poisson
 from tomolake.operators.network import bracket, nearest_model
 from tomolake.operators.stats import linear_fit
+from tomolake.sources.shared import written
 
 
 def density_line(points: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def youngs_modulus(curve: DataFrame) -> DataFrame:
     """Slope up to the proportional limit (the first five rows if fewer), within 1e3 and 2e5; below an R2 of 0.9 the
     secant at half of the greatest stress."""
     w = Window.partitionBy("test_id").orderBy("step")
-    c = curve.join(proportional_limit(curve), "test_id").withColumn("i", F.row_number().over(w))
+    c = curve.join(written(proportional_limit(curve), "limits"), "test_id").withColumn("i", F.row_number().over(w))
     few = F.sum((F.col("axial") <= F.col("limit")).cast("int")).over(Window.partitionBy("test_id")) < 5
     c = c.withColumn("few", few)
     fit = linear_fit(c.where("(few AND i <= 5) OR (NOT few AND axial <= limit)"), F.col("axial"), F.col("stress"), "test_id")
@@ -74,11 +75,13 @@ def yield_strength(curve: DataFrame, offset: float = 0.002) -> DataFrame:
     """(test_id, yield_strength): stress where the curve first crosses the elastic line moved by the offset, between two rows;
     else that of the first row at or beyond the proportional limit; else where the elastic line meets the tangent (over two
     rows to each side) at the peak, in curves of ten rows with three to each side of it; else the greatest stress."""
+    # What has a row a test is written: else each use sorts the curves anew, all within one task where there are few tests.
     w = Window.partitionBy("test_id").orderBy("step")
-    c = curve.join(youngs_modulus(curve), "test_id").withColumn("gap", F.col("stress") - F.col("youngs") * (F.col("axial") - offset))
+    c = curve.join(written(youngs_modulus(curve), "moduli"), "test_id").withColumn("gap", F.col("stress") - F.col("youngs") * (F.col("axial") - offset))
     c = c.withColumns({"gap0": F.lag("gap").over(w), "stress0": F.lag("stress").over(w), "i": F.row_number().over(w) - 1, "slope": F.regr_slope("stress", "axial").over(w.rowsBetween(-2, 2))})
+    c = written(c, "gaps")
     cross = c.where("gap0 > 0 AND gap <= 0").groupBy("test_id").agg(F.min_by(F.col("stress0") + (F.col("stress") - F.col("stress0")) * F.col("gap0") / (F.col("gap0") - F.col("gap")), "step").alias("found"))
-    limit = c.join(proportional_limit(curve), "test_id").where("axial >= limit").groupBy("test_id").agg(F.min_by("stress", "step").alias("at_limit"))
+    limit = c.join(written(proportional_limit(curve), "limits"), "test_id").where("axial >= limit").groupBy("test_id").agg(F.min_by("stress", "step").alias("at_limit"))
     peak = c.groupBy("test_id").agg(F.max("stress").alias("top"), F.count("*").alias("n"), F.first("youngs").alias("youngs"), F.max_by(F.struct("axial", "stress", "slope", "i"), F.struct("stress", -F.col("step"))).alias("p"))
     meets = F.try_divide(F.col("p.stress") - F.col("p.slope") * F.col("p.axial"), F.col("youngs") - F.col("p.slope"))
     tangent = F.when((F.col("n") >= 10) & F.col("p.i").between(3, F.col("n") - 3) & meets.between(0, F.col("p.axial")), F.col("youngs") * meets)
@@ -92,7 +95,7 @@ def bounded_yield(curve: DataFrame) -> DataFrame:
     (brittleness above 0.7, below 0.3), and within 0.0005 and 0.01 of the modulus."""
     y, peak = F.col("yield_strength"), F.col("peak_stress")
     y = F.when(F.col("brittleness") > 0.7, F.greatest(y, 0.8 * peak)).when(F.col("brittleness") < 0.3, F.least(y, 0.6 * peak)).otherwise(y)
-    both = yield_strength(curve).join(brittleness(curve), "test_id").join(youngs_modulus(curve), "test_id")
+    both = written(yield_strength(curve), "yields").join(written(brittleness(curve), "brittleness"), "test_id").join(written(youngs_modulus(curve), "moduli"), "test_id")
     return both.select("test_id", F.greatest(F.col("youngs") * 0.0005, F.least(F.col("youngs") * 0.01, y)).alias("yield_strength"))
 
 
