@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tomolake.operators import calibrate, labels, network, resample, stencil
+from tomolake.operators import calibrate, labels, network, resample, stats, stencil
 from tomolake.sources import containers
 
 
@@ -188,3 +188,25 @@ def test_yield_sorts_curves_once(spark):
     got = calibrate.bounded_yield(curve)
     assert "Window" not in plan(got) and plan(calibrate.yield_strength(curve)).count("Window") == 0
     assert got.count() == 2
+
+
+def test_areas_and_connectivity_send_no_voxel_to_its_neighbours(spark):
+    rng = np.random.default_rng(17)
+    dims, big = (11, 6, 14), 1 << 40
+    label = {(x, y, z): [None, 1, 2, big][rng.integers(0, 4)] for x in range(11) for y in range(6) for z in range(14) if rng.random() < 0.6}
+    rows = spark.createDataFrame([(v, *k, c) for v in (1, 7) for k, c in label.items()] + [(7, 0, 0, 0, 9)] * ((0, 0, 0) not in label), "volume_id long, x long, y long, z long, label long")
+    area, share = {}, {}
+    for volume in (1, 7):
+        value = label | ({(0, 0, 0): 9} if volume == 7 and (0, 0, 0) not in label else {})
+        for k, own in value.items():
+            near = [value[t] for a in range(3) for s in (-1, 1) if (t := tuple(c + s * (a == i) for i, c in enumerate(k))) in value]
+            known = [c == own for c in near if None not in (c, own)]
+            if near:
+                share[(volume, *k, own)] = sum(known) / len(known) if known else None
+                area.setdefault((volume, own), []).extend([not all(known)] if known else [])
+    area = {k: 1.5 * 4 * sum(v) if v else None for k, v in area.items()}
+    got = stats.surface_area(rows, 2.0, dims, "label", d=4)
+    assert {tuple(r)[:2]: r["area"] for r in got.collect()} == area and got.count() == len(area)
+    shares = stats.local_connectivity(rows, dims, d=4)
+    assert {tuple(r)[:5]: r["connectivity"] for r in shares.collect()} == share and shares.count() == len(share)
+    assert "Join" not in plan(got) and "Join" not in plan(shares)

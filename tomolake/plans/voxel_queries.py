@@ -285,13 +285,13 @@ def c19_surface_faces(spark: S, d: str) -> D:
 
 @query(WITH + FACES + ", q AS (SELECT v.volume_id, v.label, max(CASE WHEN n.label <> v.label THEN 1 ELSE 0 END) AS edge FROM v, o, v n WHERE n.x = v.x + a AND n.y = v.y + b AND n.z = v.z + c GROUP BY v.volume_id, v.label, v.x, v.y, v.z) SELECT volume_id, label, round(sum(edge) * 1.5, 6) AS area_um2 FROM q GROUP BY ALL")
 def a10_surface_area(spark: S, d: str) -> D:
-    return stats.surface_area(voxels(spark, d), PIXEL * 1e6, "label").withColumnRenamed("area", "area_um2")
+    return stats.surface_area(voxels(spark, d), PIXEL * 1e6, dims(spark, d), "label").withColumnRenamed("area", "area_um2")
 
 
 @query(WITH + FACES + " SELECT v.volume_id, v.x, v.y, v.z, v.label, round(avg(CASE WHEN n.label = v.label THEN 1.0 ELSE 0.0 END), 6) AS connectivity FROM v, o, v n WHERE n.x = v.x + a AND n.y = v.y + b AND n.z = v.z + c GROUP BY v.volume_id, v.label, v.x, v.y, v.z")
 def a22_local_connectivity(spark: S, d: str) -> D:
     """J04 and A22."""
-    return stats.local_connectivity(voxels(spark, d))
+    return stats.local_connectivity(voxels(spark, d), dims(spark, d))
 
 
 @query(WITH + ", o AS (SELECT a, b, c, sqrt(a * a + b * b + c * c) AS dist FROM range(-5, 6) p(a), range(-5, 6) q(b), range(-5, 6) r(c) WHERE a <> 0 OR b <> 0 OR c <> 0) SELECT v.volume_id, v.x, v.y, v.z, v.label, round(coalesce(min(CASE WHEN n.label <> v.label THEN dist END), 0), 6) AS pore_size FROM v CROSS JOIN o LEFT JOIN v n ON n.x = v.x + a AND n.y = v.y + b AND n.z = v.z + c WHERE v.label <> 0 GROUP BY v.volume_id, v.label, v.x, v.y, v.z")
