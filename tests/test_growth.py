@@ -210,3 +210,30 @@ def test_areas_and_connectivity_send_no_voxel_to_its_neighbours(spark):
     shares = stats.local_connectivity(rows, dims, d=4)
     assert {tuple(r)[:5]: r["connectivity"] for r in shares.collect()} == share and shares.count() == len(share)
     assert "Join" not in plan(got) and "Join" not in plan(shares)
+
+
+def test_transform_joins_only_places_inside_the_source(spark):
+    rng = np.random.default_rng(10)
+    dims, far = (9, 7, 40), 1 << 40
+    # Most chunks of volume 5 are empty; places between are 0.
+    value = {(5, 1, 2, 3): (200, 3), (5, 8, 6, 39): (None, None)} | {(6, x, y, z): (int(rng.integers(0, 256)), [None, 1, far][rng.integers(0, 3)]) for x in range(9) for y in range(7) for z in range(40) if rng.random() < 0.8}
+    v = spark.createDataFrame([(*k, *c) for k, c in value.items()], "volume_id long, x long, y long, z long, gray long, label long")
+    m = resample.matrix((1.0, 1.0, 1.0), (0.1, 0.2, 0.3), (0.5, 0.0, -0.5))
+    out, inverse = resample.output_dims(dims, (1, 1, 1), m, True), np.linalg.inv(m)
+    got = {tuple(r)[:4]: (r["gray"], r["label"]) for r in resample.transform(v, m, out, dims, d=4).collect()}
+    assert len(got) == 2 * np.prod(out) == resample.transform(v, m, out, dims, d=4).count()
+    inside = 0
+    for volume, x, y, z in got:
+        s = np.round(inverse[:3, :3] @ (np.array([x, y, z]) - (np.array(out) - 1) / 2) + inverse[:3, 3] + (np.array(dims) - 1) / 2, 9)
+        want = (0, 0)
+        if (s >= 0).all() and (s <= np.array(dims) - 1).all():
+            inside += 1
+            b, total = np.floor(s).astype(int), 0.0
+            for o in np.ndindex(2, 2, 2):
+                total += np.prod(np.where(np.array(o) == 1, s - b, 1 - s + b)) * (value.get((volume, *map(int, b + o)), (0, 0))[0] or 0)
+            want = (int(np.round(np.round(total, 9))), value.get((volume, *map(int, np.rint(s))), (0, 0))[1] or 0)
+        assert got[volume, x, y, z] == want
+    assert 0 < inside < len(got) / 2
+    # The rest is made beside the joins, in a branch without one.
+    branches = plan(resample.transform(v, m, out, dims, d=4)).split("Range (")
+    assert "Union" in branches[0] and "hashpartitioning(volume_id" not in branches[-1].split("BroadcastExchange")[0] and "Python" not in branches[-1]
