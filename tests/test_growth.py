@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tomolake.operators import calibrate, labels, network, resample, stats, stencil
+from tomolake.operators import calibrate, graph, labels, network, resample, stats, stencil
 from tomolake.sources import containers
 
 
@@ -237,3 +237,61 @@ def test_transform_joins_only_places_inside_the_source(spark):
     # The rest is made beside the joins, in a branch without one.
     branches = plan(resample.transform(v, m, out, dims, d=4)).split("Range (")
     assert "Union" in branches[0] and "hashpartitioning(volume_id" not in branches[-1].split("BroadcastExchange")[0] and "Python" not in branches[-1]
+
+
+def plain_distances(n, edges):
+    far = np.full((n, n), np.inf)
+    np.fill_diagonal(far, 0)
+    for a, b, w in edges:
+        far[a, b] = far[b, a] = min(far[a, b], w)
+    for k in range(n):
+        far = np.minimum(far, far[:, k : k + 1] + far[k : k + 1])
+    return far
+
+
+def test_paths_take_no_round_for_each_band(spark, monkeypatch):
+    rounds = []
+    plain = graph.replaced
+    monkeypatch.setattr(graph, "replaced", lambda *a: rounds.append(a[1]) or plain(*a))
+    chain = [(i, i + 1, 1.0) for i in range(40)]
+    one, ends = spark.createDataFrame([(0,)], "source long"), spark.createDataFrame([(40,), (0,)], "node long")
+    assert sorted(map(tuple, graph.paths_within(spark.createDataFrame(chain, "a long, b long, w double"), one, ends, 1e9).collect())) == [(0, 0, 0.0), (0, 40, 40.0)]
+    assert len(rounds) < 5
+    # Many blocks and chunks, nodes without a place, ways that turn out shorter later.
+    monkeypatch.setattr(graph, "NODES", 7)
+    monkeypatch.setattr(graph, "SOURCES", 2)
+    rng = np.random.default_rng(4)
+    edges = [(a, b, float(rng.integers(0, 40)) / 4) for a, b in rng.integers(0, 50, (90, 2)).tolist()]
+    far = plain_distances(50, edges)
+    sources, places = spark.range(0, 50, 6).toDF("source"), spark.createDataFrame([(i, i % 10) for i in range(45)], "node long, place long")
+    for limit in (12.0, 1e9):
+        got = graph.paths_within(spark.createDataFrame(edges, "a long, b long, w double"), sources, spark.range(25).toDF("node"), limit, places)
+        assert sorted(map(tuple, got.collect())) == sorted((i, j, far[i, j]) for i in range(0, 50, 6) for j in range(25) if far[i, j] < limit)
+
+
+def test_tortuosity_of_pores_that_share_places(spark, monkeypatch):
+    monkeypatch.setattr(network, "RANKED", 4)
+    monkeypatch.setattr(network, "SIDE_BINS", 3)
+    walked = []
+    plain = network.paths_within
+    monkeypatch.setattr(network, "paths_within", lambda arcs, sources, *a: walked.append(sources.distinct().count()) or plain(arcs, sources, *a))
+    rng = np.random.default_rng(6)
+    places = [(10.0 * x + float(rng.random()), 10.0 * y + float(rng.random()), 5.0) for x in range(5) for y in range(4)]
+    at = np.array([places[i // 3] for i in range(60)])
+    pores = spark.createDataFrame([(i, *map(float, at[i]), 1.0) for i in range(60)], "id long, x double, y double, z double, radius double")
+    alike = [(3 * i + j, 3 * i + k) for i in range(20) for j, k in ((0, 1), (0, 2), (1, 2))]
+    near = [(3 * i + int(rng.integers(3)), 3 * j + int(rng.integers(3))) for i in range(20) for j in range(i + 1, 20) if np.linalg.norm(at[3 * i] - at[3 * j]) < 16 and rng.random() < 0.5]
+    for cut in (False, True):  # cut: nothing leads along x
+        edges = [(a, b, float(np.linalg.norm(at[a] - at[b]))) for a, b in alike + near if not cut or (at[a][0] < 15) == (at[b][0] < 15)]
+        far, want, top = plain_distances(60, edges), {"z": 1.0}, np.searchsorted([2, 3, 4], 2 * len(edges) / 60, "right")
+        for k, axis in enumerate("xy"):
+            v = at[:, k]
+            straight = v.max() - v.min()
+            paths = sorted(d for d in far[np.ix_(v <= v.min() + 2, v >= v.max() - 2)].flat if straight <= d < 15 * straight)
+            want[axis] = min(max(paths[len(paths) // 2] / straight, 1.0), (11.0, 8.0, 6.5, 5.0)[top]) if paths else None
+        e = spark.createDataFrame(edges, "pore1 long, pore2 long, distance double")
+        got = {r["axis"]: r["tortuosity"] for r in network.axis_tortuosity(pores, e).collect()}
+        assert (want["x"] is None) == cut and got.keys() == want.keys() and want["y"] > 1
+        assert all(got[a] is None if w is None else abs(got[a] - w) < 1e-9 for a, w in want.items())
+        assert abs(network.tortuosity(pores, e).first()["tortuosity"] - np.mean([w for w in want.values() if w])) < 1e-9
+    assert max(walked) <= 20

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomolake.sources.shared import drop_path, new_path, replaced, written
 
+#: Nodes of a block, and sources that a task walks through it.
+NODES = 1 << 14
+SOURCES = 32
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge (a, b), of any orderable type; root is the least node reachable.
@@ -53,36 +61,92 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
         known = written(known.unionByName(frontier).groupBy("source", "node").agg(F.min("distance").alias("distance")), "distances")
 
 
-def paths_within(edges: DataFrame, sources: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
+def _ranged(rows: DataFrame, size: int, keys: list[str], name: str) -> tuple[DataFrame, int]:
+    """rows in ranges of the keys of about the given size, numbered by the column `name`, and how many ranges there are."""
+    n = -(-rows.count() // size) or 1
+    return written(rows.repartitionByRange(n, *keys).withColumn(name, F.spark_partition_id()), name), n
+
+
+def _reached(near: dict[Any, list], starts: list[tuple[float, Any]], limit: float) -> dict[Any, float]:
+    """Distances below the limit over the arcs near (node: [(other, w)]) from starts (distance, node)."""
+    best: dict[Any, float] = {}
+    heapify(starts)
+    while starts:
+        d, node = heappop(starts)
+        if node not in best:
+            best[node] = d
+            for other, w in near.get(node, ()):
+                if other not in best and d + w < limit:
+                    heappush(starts, (d + w, other))
+    return best
+
+
+def paths_within(edges: DataFrame, sources: DataFrame, targets: DataFrame, limit: float, places: DataFrame | None = None) -> DataFrame:
     """(source, node, distance) of the shortest paths shorter than the limit from the sources (source) to the targets (node).
 
-    Edges are undirected (a, b, w), w not below 0. Distances are settled in bands as wide as the longest edge: a band is relaxed
-    until it no longer changes, its targets are written out, and the band before it is forgotten. No edge leads from
-    later bands back beyond it, so what is kept is the band at hand and what lies ahead, not every pair of source and node.
+    Edges are undirected (a, b, w), w not below 0. Nodes are dealt into blocks of about NODES by their place (places: node, place;
+    near nodes should have near ones, which saves rounds and changes no result), sources into chunks of about SOURCES. A
+    task walks the arcs of one block for one chunk, from where paths enter it to where they leave it, and a round takes all
+    blocks that were entered anew or by shorter ways. What is kept is each source's distance to the nodes where paths enter
+    a block; targets are read off once that no longer changes.
     """
-    spark = edges.sparkSession
-    short = edges.where(F.col("w") < limit)
+    short = edges.where(F.col("w") < limit).where("a != b")
     arcs = written(short.select("a", "b", "w").unionByName(short.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")), "arcs")
-    width = arcs.agg(F.max("w")).first()[0] or 0.0
-    start = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")).distinct()
-    known, path = replaced(start.where(F.lit(limit > 0)), "band")
-    found, end = new_path(spark, "settled"), 0.0
-    known.drop("fresh").limit(0).write.parquet(found)
-    while True:
-        low = known.where(F.col("distance") >= end).agg(F.min("distance")).first()[0]
-        if low is None:
-            return spark.read.schema(known.drop("fresh").schema).parquet(found)
-        end = low + (width or 1.0)
-        in_band = F.col("distance") < end
-        while not known.where(F.col("fresh") & in_band).isEmpty():
-            arrived = known.where(F.col("fresh") & in_band).join(arcs, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("distance")).where(F.col("distance") < limit)
-            both = known.withColumn("fresh", F.col("fresh") & ~in_band).unionByName(arrived.withColumn("fresh", F.lit(True)))
-            # The shorter of what was known and what has arrived; at equal lengths what was known.
-            shorter = both.groupBy("source", "node").agg(F.min(F.struct("distance", "fresh")).alias("m")).select("source", "node", "m.*")
-            known, path = replaced(shorter, "band", path)
-        band = known.where((F.col("distance") >= low) & in_band).select("source", "node", "distance")
-        band.join(targets.select("node").distinct(), "node", "left_semi").select("source", "node", "distance").write.mode("append").parquet(found)
-        known = known.where(F.col("distance") >= low - 1e-9 * width)
+    nodes = arcs.select(F.col("a").alias("node")).distinct()
+    nodes = nodes.withColumn("place", F.col("node")) if places is None else nodes.join(places.groupBy("node").agg(F.min("place").alias("place")), "node", "left")
+    nodes, many = _ranged(nodes, NODES, ["place", "node"], "block")
+    sources, targets = sources.select("source").distinct(), targets.select("node").distinct()
+    start, chunks = _ranged(sources.join(nodes, F.col("source") == F.col("node")), SOURCES, ["place", "node"], "chunk")
+    for end, block in (("a", "block"), ("b", "beyond")):
+        arcs = arcs.join(nodes.select(F.col("node").alias(end), F.col("block").alias(block)), end)
+    ends = targets.join(nodes, "node").groupBy("block").agg(F.collect_list("node").alias("ends"))
+    packed = arcs.groupBy("block").agg(F.collect_list(F.struct("a", "b", "w", "beyond")).alias("arc")).select("block", "arc.a", "arc.b", "arc.w", "arc.beyond")
+    packed = written(packed.join(ends, "block", "left"), "packed")
+    kind = dict(nodes.dtypes)["node"]
+    schema = f"chunk int, source {kind}, block int, node {kind}, distance double"
+    tasks = max(chunks, edges.sparkSession.sparkContext.defaultParallelism)
+
+    def walked(entries: DataFrame, leaving: bool) -> DataFrame:
+        """Where paths from the entries enter other blocks, or the targets that they reach in their own."""
+
+        def walk(key: tuple[pa.Scalar, ...], entered: pa.Table, blocks: pa.Table) -> pa.Table:
+            chunk, block = (k.as_py() for k in key)
+            near, out, starts, rows = {}, {}, {}, []
+            for a, b, w, beyond in zip(*(blocks[c][0].as_py() for c in ("a", "b", "w", "beyond")), strict=True):
+                if beyond == block:
+                    near.setdefault(a, []).append((b, w))
+                elif leaving:
+                    out.setdefault(a, []).append((b, w, beyond))
+            for source, node, distance in zip(*(entered[c].to_pylist() for c in ("source", "node", "distance")), strict=True):
+                starts.setdefault(source, []).append((distance, node))
+            wanted = [] if leaving else blocks["ends"][0].as_py() or []
+            for source, first in starts.items():
+                best = _reached(near, first, limit)
+                rows += [(chunk, source, block, node, best[node]) for node in wanted if node in best and node != source]
+                left: dict[Any, tuple[float, int]] = {}
+                for a in out.keys() & best.keys():
+                    for b, w, beyond in out[a]:
+                        if best[a] + w < limit:
+                            left[b] = min(left.get(b, (limit, beyond)), (best[a] + w, beyond))
+                rows += [(chunk, source, beyond, node, d) for node, (d, beyond) in left.items()]
+            return pa.table([pa.array([r[i] for r in rows], entered.schema.field(c).type) for i, c in enumerate(columns)], names=columns)
+
+        columns = ["chunk", "source", "block", "node", "distance"]
+        met = entries.select("chunk", "block").distinct().join(packed, "block").withColumnsRenamed({"chunk": "at_chunk", "block": "at_block"})
+        # A task has little to read and much to walk: so many of them, whatever the size of their rows.
+        came = entries.select(*columns).repartition(tasks, "chunk", "block").groupBy("chunk", "block")
+        return came.cogroup(met.repartition(tasks, "at_chunk", "at_block").groupBy("at_chunk", "at_block")).applyInArrow(walk, schema)
+
+    fresh = F.lit(limit > 0)
+    known, path = replaced(start.where(fresh).select("chunk", "source", "block", "node", F.lit(0.0).alias("distance"), fresh.alias("fresh")), "entered")
+    while many > 1 and not known.where("fresh").isEmpty():
+        both = known.withColumn("fresh", F.lit(False)).unionByName(walked(known.where("fresh"), True).withColumn("fresh", F.lit(True)))
+        # The shorter of what was known and what has arrived; at equal lengths what was known.
+        shorter = both.groupBy("chunk", "source", "block", "node").agg(F.min(F.struct("distance", "fresh")).alias("m")).select("chunk", "source", "block", "node", "m.*")
+        known, path = replaced(shorter, "entered", path)
+    found = walked(known, False).select("source", "node", "distance")
+    own = sources.join(targets, F.col("source") == F.col("node")).where(fresh).select("source", "node", F.lit(0.0).alias("distance"))
+    return written(found.unionByName(own), "settled")
 
 
 def dominated(pairs: DataFrame) -> DataFrame:
